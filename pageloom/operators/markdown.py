@@ -65,7 +65,7 @@ def _link_end(attrs: Column) -> Column:
     title = F.coalesce(F.try_element_at(attrs, F.lit("title")), F.lit(""))
     return F.concat(
         F.lit(GLUE + "]("),
-        _escape_target(F.element_at(attrs, "href")),
+        _escape_target(unmarked(F.element_at(attrs, "href"))),
         F.when(
             F.trim(title) != "",
             F.concat(F.lit(' "'), _escape_target(unmarked(title)), F.lit('"')),
