@@ -7,15 +7,15 @@ a page loses them first.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEXT, TEXT_END = "﷐", "﷑"  # borders of one text node
-STRESS, STRESSED = "﷒", "﷓"  # strip the next text / the last text was stripped
-PARA, LINE, ROW = "﷔", "﷕", "﷖"  # pending blank line, line, table row end
-GLUE = "﷗"  # what is pending before this is dropped
-START = "﷘"  # what is pending after this is dropped
-BREAK = "﷙"  # hard line break
-CODE, CODE_END = "﷚", "﷛"  # number of a code block
-QUOTE, QUOTE_END = "﷜", "﷝"  # quote depth from here on
-SPACE = "﷞"  # blank that does not collapse
+TEXT, TEXT_END = "\ufdd0", "\ufdd1"  # borders of one text node
+STRESS, STRESSED = "\ufdd2", "\ufdd3"  # strip the next text / the last text was stripped
+PARA, LINE, ROW = "\ufdd4", "\ufdd5", "\ufdd6"  # pending blank line, line, table row end
+GLUE = "\ufdd7"  # what is pending before this is dropped
+START = "\ufdd8"  # what is pending after this is dropped
+BREAK = "\ufdd9"  # hard line break
+CODE, CODE_END = "\ufdda", "\ufddb"  # number of a code block
+QUOTE, QUOTE_END = "\ufddc", "\ufddd"  # quote depth from here on
+SPACE = "\ufdde"  # blank that does not collapse
 
 ALL = "".join(chr(c) for c in range(0xFDD0, 0xFDE0))
 

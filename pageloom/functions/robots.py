@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.core import let, strip_ws
 from pageloom.functions.urls import _opt, build_url, url_parts
 
-_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def unquote(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.core import let
 
-_MARK = "﷐"  # a Unicode noncharacter, so no valid URL holds it
+_MARK = "\ufdd0"  # a Unicode noncharacter, so no valid URL holds it
 _SPLIT = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?"
     r"((?:[^?#]*/)?[^?#/;]*)(?:;([^?#]*))?(?:\?([^#]*))?(?:#(.*))?\z"

@@ -12,7 +12,7 @@ from pageloom.functions.text import FENCE
 KNOWN_LANGS = ("bash", "shell", "sh", "nix", "json", "yaml", "toml", "python", "js", "ts")
 LANG_PREFIX = "language-"
 
-_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _NUMBER_LINE = rf"^[{SPACES}]*\p{{Nd}}{{1,3}}[{SPACES}]*\z"
 _TREE_LINE = rf"^[{SPACES}│└├┬─›>•·`~\\/|:_-]+\z"
 
