@@ -23,6 +23,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def where_has(text: Column, needles: tuple[str, ...], rule: Callable[[Column], Column]) -> Column:
+    """Apply ``rule`` only to texts that hold one of ``needles``: a substring
+    search costs far less than a regex pass that finds nothing."""
+
+    def guarded(t: Column) -> Column:
+        found = t.contains(needles[0])
+        for needle in needles[1:]:
+            found = found | t.contains(needle)
+        return F.when(found, rule(t)).otherwise(t)
+
+    return let(text, guarded)
+
+
+def one_blank(text: Column) -> Column:
+    """Every run of white space as one blank; single blanks are left alone."""
+    return F.regexp_replace(text, rf"[{SPACES}&&[^ ]]{WS}*+| {WS}++", " ")
+
+
 def strip_ws(value: Column) -> Column:
     """Trim all Unicode white space, where SQL ``trim`` only takes blanks."""
     return F.regexp_replace(value, rf"^{WS}++|(?<!{WS}){WS}++\z", "")

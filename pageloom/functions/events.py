@@ -13,15 +13,20 @@ open at the end is closed there; script and style hold raw text.
 from __future__ import annotations
 
 import re
+import sys
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The parser travels with its tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements that are clutter wherever they stand.
 BOILERPLATE = ("nav", "aside", "script", "style", "header", "footer", "form", "img")
 
@@ -31,6 +36,9 @@ VOID = frozenset(
     "keygen link menuitem meta nextid param source spacer track wbr".split()
 )
 
+# Elements that mark their text as stressed.
+EMPHASIS = frozenset(("em", "i", "u", "strong", "b", "del", "strike", "s"))
+
 EVENT = T.StructType(
     [
         T.StructField("i", T.IntegerType()),  # position in the array, from 0
@@ -46,6 +54,9 @@ EVENT = T.StructType(
         T.StructField("quote_depth", T.IntegerType()),  # open blockquotes around it
         T.StructField("pre_no", T.IntegerType()),  # number of a pre, from 0
         T.StructField("pre_depth", T.IntegerType()),  # open pre elements around it
+        # of a text: 1 = first text since an emphasis tag opened, 2 = next text
+        T.StructField("stress", T.IntegerType()),
+        T.StructField("last_tag", T.StringType()),  # of a text after stress: tag before it
         T.StructField("in_link", T.BooleanType()),
         T.StructField("in_head", T.BooleanType()),
     ]
@@ -96,6 +107,8 @@ class _EventBuilder(_Tokens):
         self.tables: list[list[int]] = []
         self.quotes = self.pres = self.links = self.pre_total = 0
         self.head = False
+        self.stress = 0
+        self.last_tag: str | None = None
         self.closed_voids: list[str] = []
         self.feed(html)
         self.close()
@@ -107,7 +120,7 @@ class _EventBuilder(_Tokens):
         for column in self.columns:
             del column[self.start :]
 
-    def emit(self, kind, tag=None, text=None, attrs=(), j=None, n=None, row=None, pre_no=None):
+    def emit(self, kind, tag=None, text=None, attrs=(), j=None, n=None, row=None, pre_no=None, stress=0):
         here = len(self.columns[0]) - self.start
         values = (
             here,
@@ -123,6 +136,8 @@ class _EventBuilder(_Tokens):
             self.quotes,
             pre_no,
             self.pres,
+            stress,
+            self.last_tag if stress == 2 else None,
             self.links > 0,
             self.head,
         )
@@ -142,7 +157,8 @@ class _EventBuilder(_Tokens):
                 text = "\n"
             elif _BLANK.fullmatch(text):
                 text = " "
-        self.emit("t", text=text)
+        self.emit("t", text=text, stress=self.stress)
+        self.stress = 2 if self.stress == 1 else 0
 
     def push(self, tag: str, attrs: dict) -> None:
         self.flush()
@@ -152,6 +168,9 @@ class _EventBuilder(_Tokens):
             self.stack.append((tag, -1, attrs))
             return
         n = pre_no = None
+        self.last_tag = tag
+        if tag in EMPHASIS:
+            self.stress = 1
         if tag == "li" and self.lists:
             self.lists[-1][1] += 1
             n = self.lists[-1][1]
@@ -189,6 +208,7 @@ class _EventBuilder(_Tokens):
             self.skipping -= 1
             return
         n = row = None
+        self.last_tag = tag
         if tag == "tr" and self.tables:
             self.tables[-1][0] += 1
             row, n = self.tables[-1]

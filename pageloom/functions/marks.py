@@ -7,8 +7,6 @@ a page loses them first.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEXT, TEXT_END = "\ufdd0", "\ufdd1"  # borders of one text node
-STRESS, STRESSED = "\ufdd2", "\ufdd3"  # strip the next text / the last text was stripped
 PARA, LINE, ROW = "\ufdd4", "\ufdd5", "\ufdd6"  # pending blank line, line, table row end
 GLUE = "\ufdd7"  # what is pending before this is dropped
 START = "\ufdd8"  # what is pending after this is dropped

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import SPACES, let, strip_ws
+from pageloom.functions.core import let, one_blank, strip_ws
 from pageloom.functions.events import BOILERPLATE, VOID, parse_events, parse_links
 from pageloom.functions.marks import LINE, unmarked
 from pageloom.functions.urls import normalize_url
@@ -125,7 +125,7 @@ def plain_text(body: Column) -> Column:
     """Text without markup; blocks on lines of their own, code as it is."""
 
     def part(e: Column) -> Column:
-        flowing = F.regexp_replace(unmarked(e.text), f"[{SPACES}]++", " ")
+        flowing = one_blank(unmarked(e.text))
         return (
             F.when(e.in_head, F.lit(""))
             .when(
@@ -139,7 +139,7 @@ def plain_text(body: Column) -> Column:
 
     joined = F.array_join(F.transform(body, part), "")
     lines = F.regexp_replace(joined, rf"[ ]*+{LINE}[ {LINE}]*+", "\n")
-    return F.regexp_replace(lines, r"^[ \n]++|(?<![ \n])[ \n]++\z", "")
+    return F.trim(lines, F.lit(" \n"))
 
 
 def content_record(events: Column, fields=CONTENT_FIELDS) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import SPACES, let
+from pageloom.functions.core import SPACES, WS, let, one_blank, strip_ws, where_has
 from pageloom.functions.marks import (
     BREAK,
     CODE,
@@ -24,10 +24,6 @@ from pageloom.functions.marks import (
     ROW,
     SPACE,
     START,
-    STRESS,
-    STRESSED,
-    TEXT,
-    TEXT_END,
     unmarked,
 )
 from pageloom.functions.text import after_fences, before_fences
@@ -47,14 +43,21 @@ def escape_data(text: Column) -> Column:
 
     ``& < >`` begin a fresh piece of text, as they are entities in the source.
     """
-    space = f"[{SPACES}]"
-    line_start = r"(?md)(^|(?<=[&<>]))"
-    escaped = F.regexp_replace(text, r"(\\)(?=[\\`*_{}\[\]()#+\-.!])", r"\\\\")
-    escaped = F.regexp_replace(escaped, rf"{line_start}({space}*+\p{{Nd}}+)(\.)(?={space})", r"$1$2\\.")
-    escaped = F.regexp_replace(escaped, rf"{line_start}({space}*+)(\+)(?={space})", r"$1$2\\+")
-    escaped = F.regexp_replace(escaped, rf"{line_start}({space}*+)(-)(?=[-{SPACES}])", r"$1$2\\-")
-    suspect = rf"(?d)\\|(?:^|[\n&<>]){space}*+(?:\p{{Nd}}++\.|[+-])"
-    return F.when(text.rlike(suspect), escaped).otherwise(text)
+
+    def guarded(t: Column) -> Column:
+        line_start = r"(?md)(^|(?<=[&<>]))"
+        escaped = F.regexp_replace(t, r"(\\)(?=[\\`*_{}\[\]()#+\-.!])", r"\\\\")
+        escaped = F.regexp_replace(
+            escaped, rf"{line_start}({WS}*+\p{{Nd}}+)(\.)(?={WS})", r"$1$2\\."
+        )
+        escaped = F.regexp_replace(escaped, rf"{line_start}({WS}*+)(\+)(?={WS})", r"$1$2\\+")
+        escaped = F.regexp_replace(
+            escaped, rf"{line_start}({WS}*+)(-)(?=[-{SPACES}])", r"$1$2\\-"
+        )
+        suspect = t.rlike(r"[\\&<>\n]") | t.rlike(rf"^{WS}*+(?:\p{{Nd}}++\.|[+-])")
+        return F.when(suspect, escaped).otherwise(t)
+
+    return let(text, guarded)
 
 
 def _escape_target(text: Column) -> Column:
@@ -84,7 +87,7 @@ def _opening(e: Column) -> Column:
         case = case.when(e.tag == tag, F.lit(PARA + marks + SPACE + START))
     for mark in sorted(set(STRESS_MARKS.values())):
         tags = [t for t, m in STRESS_MARKS.items() if m == mark]
-        case = case.when(e.tag.isin(*tags), F.lit(mark + STRESS))
+        case = case.when(e.tag.isin(*tags), F.lit(mark))
     return (
         case.when(e.tag.isin(*CODE_TAGS), F.lit("`"))
         .when(e.tag == "a", F.when(href.isNotNull() & ~href.startswith("#"), F.lit("[")))
@@ -154,13 +157,22 @@ def _closing(e: Column) -> Column:
     )
 
 
-def _token(e: Column) -> Column:
-    text = F.concat(
-        F.lit(TEXT), escape_data(unmarked(e.text)), F.lit(TEXT_END)
+def _text(e: Column) -> Column:
+    """A text node. Stressed text is stripped, as its marks must touch it; a
+    word that follows stressed text in the same line gets a blank."""
+    text = unmarked(e.text)
+    follows = text.rlike(rf"^[^\]\[(){{}}{SPACES}.!?]") & ~e.last_tag.isin("a", "code", "pre")
+    return escape_data(
+        F.when(e.stress == 1, strip_ws(text))
+        .when((e.stress == 2) & follows, F.concat(F.lit(" "), text))
+        .otherwise(text)
     )
+
+
+def _token(e: Column) -> Column:
     return F.coalesce(
         F.when((e.pre_depth > 0) | e.in_head | (e.kind == "r"), F.lit(""))
-        .when(e.kind == "t", text)
+        .when(e.kind == "t", _text(e))
         .when(e.kind == "o", _opening(e))
         .otherwise(_closing(e)),
         F.lit(""),
@@ -168,37 +180,42 @@ def _token(e: Column) -> Column:
 
 
 def _settle(joined: Column) -> Column:
-    """White space and stress marks; each pass is linear in the text."""
+    """Turn pending marks into white space. Every pass is linear in the text
+    and starts from a mark, and passes for marks a text lacks are skipped."""
     pending = f"{PARA}{LINE}{ROW}"
-    space = f"[{SPACES}]"
-    passes = [
-        # stressed text is stripped, and a word right after it gets a blank
-        (rf"{STRESS}([^{TEXT}]*+){TEXT}{space}*+([^{TEXT_END}]*?){space}*+{TEXT_END}",
-         f"$1{TEXT}$2{TEXT_END}{STRESSED}"),
-        (rf"{STRESSED}([^{TEXT}]*+)(?<![\[`)]){TEXT}(?=[^\]\[(){{}}{SPACES}.!?{TEXT_END}])",
-         f"$1{TEXT} "),
-        # a link whose text is its target
-        (rf"\[{TEXT}([a-zA-Z+]+://[^{TEXT_END}]*+){TEXT_END}{GLUE}\]\(\1\)", "<$1>"),
-        (rf"[{TEXT}{TEXT_END}{STRESS}{STRESSED}]", ""),
-        (rf"{space}++", " "),
-        (rf"[{pending}][ {pending}]*+{GLUE}", ""),
-        (GLUE, ""),
-        (rf"{START}[ {pending}{START}]*+", ""),
-        # leaving a quote: what is pending belongs to the outer text
-        (rf"[ {pending}]++({QUOTE}\d+{QUOTE_END}{PARA})", "$1"),
-        (rf"[ {LINE}{ROW}]*+{PARA}[ {pending}]*+", "\n\n"),
-        (rf"[ {LINE}]*+{ROW}[ {LINE}{ROW}]*+", f"{SPACE}{SPACE}\n"),
-        (rf"[ ]*+{LINE}[ {LINE}]*+", "\n"),
-        (rf"[ ]*+{BREAK}[ ]*+", f"{SPACE}{SPACE}\n"),
-        (rf"(?<![ \n{SPACE}])[ \n{SPACE}]++\z", ""),
-    ]
-    text = F.concat(F.lit(START), joined, F.lit(""))
-    for pattern, replacement in passes:
-        text = F.regexp_replace(text, pattern, replacement)
-    return let(
+
+    def passes(*pairs: tuple[str, str]):
+        def run(t: Column) -> Column:
+            for pattern, replacement in pairs:
+                t = F.regexp_replace(t, pattern, replacement)
+            return t
+
+        return run
+
+    text = one_blank(F.concat(F.lit(START), joined))
+    text = where_has(
+        text,
+        (GLUE,),
+        passes(
+            # a link whose text is its target
+            (rf"\[([a-zA-Z+]+://[^\]{GLUE}]*+){GLUE}\]\(\1\)", "<$1>"),
+            (rf"[{pending}][ {pending}]*+{GLUE}", ""),
+            (GLUE, ""),
+        ),
+    )
+    text = F.regexp_replace(text, rf"{START}[ {pending}{START}]*+", "")
+    text = F.regexp_replace(text, rf" ++(?=[{pending}{BREAK}{QUOTE}])", "")
+    text = where_has(
         text,
-        lambda t: F.when(t.contains(QUOTE), _quote_lines(t)).otherwise(t),
+        (QUOTE,),
+        # leaving a quote: what is pending belongs to the outer text
+        passes((rf"[{pending}][ {pending}]*+({QUOTE}\d+{QUOTE_END}{PARA})", "$1")),
     )
+    text = F.regexp_replace(text, rf"[{LINE}{ROW}]*+{PARA}[ {pending}]*+", "\n\n")
+    text = where_has(text, (ROW,), passes((rf"{LINE}*+{ROW}[ {LINE}{ROW}]*+", f"{SPACE}{SPACE}\n")))
+    text = where_has(text, (LINE,), passes((rf"{LINE}[ {LINE}]*+", "\n")))
+    text = where_has(text, (BREAK,), passes((rf"{BREAK} *+", f"{SPACE}{SPACE}\n")))
+    return where_has(F.rtrim(text, F.lit(f" \n{SPACE}")), (QUOTE,), _quote_lines)
 
 
 def _quote_lines(text: Column) -> Column:
