@@ -74,3 +74,16 @@ def render(fmt: str, date: Column | None = None) -> Column:
     if fmt == "json":
         return render_json(F.col("title"), F.col("url"), body, date)
     return body
+
+
+def render_dispatch(
+    fmt: Column, title: Column, url: Column, bodies: dict[str, Column], date: Column
+) -> Column:
+    """R5 with the format in a column; ``bodies`` gives the body of each format."""
+    return (
+        F.when(fmt == "md", render_md(title, url, bodies["md"], date))
+        .when(fmt == "json", render_json(title, url, bodies["json"], date))
+        .when(fmt == "txt", bodies["txt"])
+        .when(fmt == "html", bodies["html"])
+        .otherwise(F.raise_error(F.concat(F.lit("unknown format "), fmt)))
+    )

@@ -150,7 +150,7 @@ def _within_limit(kept: DataFrame, saved: DataFrame | None, max_pages: int) -> D
         )
     return first_n_per_key(
         limited, ["seed_id"], [F.col("ord")], F.col("_left"), "url", max_pages
-    ).drop("_left")
+    ).select(*kept.columns)
 
 
 def _open_seeds(

@@ -40,7 +40,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; no job is run."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
