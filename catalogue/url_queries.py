@@ -346,9 +346,8 @@ def robots_rules_query(spark, sf_dir):
     FROM p""",
 )
 def robots_allowed(spark, sf_dir):
-    return J.robots_join(
-        pages(spark, sf_dir).select("page_id", "url"), robots(spark, sf_dir), agent="bot/1.0"
-    )
+    policies = J.robots_policies(robots(spark, sf_dir), agent="bot/1.0")
+    return J.robots_join(pages(spark, sf_dir).select("page_id", "url"), policies)
 
 
 @query(

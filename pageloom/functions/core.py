@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@lru_cache(maxsize=512)
+def over(rule: Callable[..., Column], *names: str, **options) -> Column:
+    """``rule`` over columns given by name, built once per process.
+
+    A rule with nested lambdas takes thousands of calls into the JVM to build,
+    which is seconds of driver time; the same Column serves every plan.
+    """
+    return rule(*[F.col(name) for name in names], **options)
+
+
 def where_has(text: Column, needles: tuple[str, ...], rule: Callable[[Column], Column]) -> Column:
     """Apply ``rule`` only to texts that hold one of ``needles``: a substring
     search costs far less than a regex pass that finds nothing."""

@@ -272,12 +272,27 @@ class _EventBuilder(_Tokens):
         self.raw(f"<?{data}>")
 
 
+# Events kept as Python objects before they are packed, which bounds the memory
+# of a worker however dense the markup of a batch is.
+CHUNK = 100_000
+
+
+def _packed(builder: _EventBuilder, errors: list, offsets: list[int]) -> pa.Array:
+    fields = [
+        pa.array(values, type=_ARROW[field.dataType])
+        for values, field in zip(builder.columns, EVENT)
+    ]
+    events = pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, EVENT.names)
+    )
+    return pa.StructArray.from_arrays([pa.array(errors, pa.string()), events], PARSED.names)
+
+
 def _parse_batch(pages: pa.Array, skip: tuple[str, ...]) -> pa.Array:
-    builder = _EventBuilder(skip)
-    errors: list[str | None] = []
-    offsets = [0]
-    for html in pages.to_pylist():
-        error = None
+    chunks = []
+    builder, errors, offsets = _EventBuilder(skip), [], [0]
+    for page in pages:
+        html, error = page.as_py(), None
         if html is not None:
             try:
                 builder.page(html)
@@ -286,14 +301,11 @@ def _parse_batch(pages: pa.Array, skip: tuple[str, ...]) -> pa.Array:
                 error = f"{type(bad).__name__}: {bad}"
         errors.append(error)
         offsets.append(len(builder.columns[0]))
-    fields = [
-        pa.array(values, type=_ARROW[field.dataType])
-        for values, field in zip(builder.columns, EVENT)
-    ]
-    events = pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, EVENT.names)
-    )
-    return pa.StructArray.from_arrays([pa.array(errors, pa.string()), events], PARSED.names)
+        if offsets[-1] > CHUNK:
+            chunks.append(_packed(builder, errors, offsets))
+            builder, errors, offsets = _EventBuilder(skip), [], [0]
+    chunks.append(_packed(builder, errors, offsets))
+    return pa.concat_arrays(chunks)
 
 
 def parse_events(html: Column, skip: tuple[str, ...] = BOILERPLATE) -> Column:

@@ -50,7 +50,7 @@ def build_url(scheme, authority, path, params, query) -> Column:
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
         F.when(authority != "", F.concat(F.lit("//"), authority))
-        .when((scheme != "") & ((path == "") | rooted), F.lit("//"))
+        .when((scheme != "") & (((path == "") & (params == "")) | rooted), F.lit("//"))
         .otherwise(""),
         F.when((authority != "") & (path != "") & ~rooted, F.lit("/")).otherwise(""),
         path,

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import let, one_blank, strip_ws
-from pageloom.functions.events import BOILERPLATE, VOID, parse_events, parse_links
+from pageloom.functions.core import let, one_blank, over, strip_ws
+from pageloom.functions.events import BOILERPLATE, PARSED, VOID, parse_events, parse_links
 from pageloom.functions.marks import LINE, unmarked
 from pageloom.functions.urls import normalize_url
 from pageloom.operators.code import class_list, code_blocks
@@ -178,19 +178,27 @@ def content_record(events: Column, fields=CONTENT_FIELDS) -> Column:
     return let(select_main(events), sliced)
 
 
+def _content_of(parsed: Column, fields: tuple[str, ...]) -> Column:
+    none = F.array().cast(PARSED["events"].dataType)
+    return let(
+        F.coalesce(parsed.events, none), lambda events: content_record(events, fields)
+    )
+
+
 def extract_content(
     pages: DataFrame, fields: tuple[str, ...] = CONTENT_FIELDS, html: str = "html"
 ) -> DataFrame:
     """Replace ``html`` by the asked content fields and an ``error`` column."""
-    kept = [F.col(c) for c in pages.columns if c != html]
-    parsed = pages.select(*kept, parse_events(F.col(html), BOILERPLATE).alias("_parsed"))
-    record = let(
-        F.coalesce(F.col("_parsed.events"), F.array().cast(parsed.schema["_parsed"].dataType["events"].dataType)),
-        lambda events: content_record(events, fields),
+    kept = [c for c in pages.columns if c != html]
+    return (
+        pages.select(*kept, parse_events(F.col(html), BOILERPLATE).alias("_parsed"))
+        .select(
+            *kept,
+            over(_content_of, "_parsed", fields=tuple(fields)).alias("_content"),
+            F.col("_parsed.error").alias("error"),
+        )
+        .select(*kept, *[f"_content.{f}" for f in fields], "error")
     )
-    return parsed.select(
-        *kept, record.alias("_content"), F.col("_parsed.error").alias("error")
-    ).select(*kept, *[F.col(f"_content.{f}").alias(f) for f in fields], "error")
 
 
 def refresh_target(content: Column) -> Column:
@@ -199,6 +207,11 @@ def refresh_target(content: Column) -> Column:
     return let(strip_ws(found), lambda t: F.when(t != "", t))
 
 
+def queue_hrefs(links: Column) -> Column:
+    """O1: the refresh target, or NULL, followed by the anchors' hrefs."""
+    return F.concat(F.array(refresh_target(links.refresh)), links.hrefs)
+
+
 def link_targets(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """H4, H5, O1: one row per link as ``pos, href, target``.
 
@@ -206,10 +219,8 @@ def link_targets(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -
     is 0, then the anchors from 1. ``target`` is the normalised URL, or NULL.
     """
     found = pages.select(*keep, parse_links(F.col("html")).alias("_links"))
-    listed = found.select(
-        *keep,
-        F.posexplode(
-            F.concat(F.array(refresh_target(F.col("_links.refresh"))), F.col("_links.hrefs"))
-        ).alias("pos", "href"),
-    ).filter(F.col("href").isNotNull())
-    return listed.withColumn("target", normalize_url(F.col("url"), F.col("href")))
+    return (
+        found.select(*keep, F.posexplode(over(queue_hrefs, "_links")).alias("pos", "href"))
+        .filter(F.col("href").isNotNull())
+        .withColumn("target", over(normalize_url, "url", "href"))
+    )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import let
+from pageloom.functions.core import let, over
 from pageloom.functions.robots import robots_allowed, robots_policy
 from pageloom.functions.urls import normalize_url, url_origin, url_parts
 from pageloom.schemas import EXPORT_KEYS
@@ -61,19 +61,21 @@ def first_by_hash(pages: DataFrame, earlier: DataFrame | None = None) -> DataFra
     return firsts.select(*pages.columns)
 
 
-def robots_join(
-    candidates: DataFrame, robots: DataFrame, agent: str, missing: bool = True
-) -> DataFrame:
+def robots_policies(robots: DataFrame, agent: str) -> DataFrame:
+    """``origin, policy``: the rules that bind ``agent``, one row per origin."""
+    return robots.select(
+        "origin", over(robots_policy, "status", "body", agent=agent).alias("policy")
+    )
+
+
+def robots_join(candidates: DataFrame, policies: DataFrame, missing: bool = True) -> DataFrame:
     """Adds ``allowed``. One row per origin on the right, rules in an array,
     so no page is paired with single rules."""
-    policies = robots.select(
-        F.col("origin").alias("_origin"),
-        robots_policy(F.col("status"), F.col("body"), agent).alias("_policy"),
-    )
+    named = policies.select(F.col("origin").alias("_origin"), F.col("policy").alias("_policy"))
     return (
-        candidates.withColumn("_origin", url_origin(F.col("url")))
-        .join(policies, "_origin", "left")
-        .withColumn("allowed", robots_allowed(F.col("_policy"), F.col("url"), missing))
+        candidates.withColumn("_origin", over(url_origin, "url"))
+        .join(named, "_origin", "left")
+        .withColumn("allowed", over(robots_allowed, "_policy", "url", missing=missing))
         .drop("_origin", "_policy")
     )
 
@@ -111,13 +113,13 @@ def scope_join(
     bases.
     """
     keys = ["_scheme", "_authority", "_prefix"]
-    left = urls.withColumn("_parts", url_parts(F.col(url))).select(
+    left = urls.withColumn("_parts", over(url_parts, url)).select(
         *urls.columns,
         F.col("_parts.scheme").alias("_scheme"),
         F.lower(F.col("_parts.authority")).alias("_authority"),
         F.col("_parts.path").alias("_path"),
     )
-    right = seeds.withColumn("_parts", url_parts(F.col(scope))).select(
+    right = seeds.withColumn("_parts", over(url_parts, scope)).select(
         *seeds.columns,
         F.col("_parts.scheme").alias("_scheme"),
         F.lower(F.col("_parts.authority")).alias("_authority"),
@@ -129,7 +131,7 @@ def scope_join(
         return listed.join(scopes, keys).drop(*keys)
 
     whole = (F.col("_prefix") == "") | F.col("_prefix").endswith("/")
-    found = matched(left, _directories(F.col("_path")), right.filter(whole))
+    found = matched(left, over(_directories, "_path"), right.filter(whole))
     if directories_only:
         return found
     partial = right.filter(~whole)

@@ -11,14 +11,17 @@ executor costs one level at most. The driver sees counts only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pageloom.config import HarvestConfig
+from pageloom.functions.core import over
 from pageloom.functions.events import parse_links
 from pageloom.functions.urls import content_sha1, crawl_base, normalize_seed, normalize_url
-from pageloom.operators.content import refresh_target
+from pageloom.operators.content import queue_hrefs
 from pageloom.operators.filters import (
+    depth_limit,
     first_n_per_key,
     include_exclude,
     lang_keep,
@@ -30,6 +33,7 @@ from pageloom.operators.joins import (
     latest_captures,
     page_key,
     robots_join,
+    robots_policies,
     seen_anti,
 )
 from pageloom.session import spread, work_dir, written
@@ -37,39 +41,50 @@ from pageloom.session import spread, work_dir, written
 SAVED = ("seed_id", "seed", "url", "depth", "ord", "page_id")
 
 
-def link_index(pages: DataFrame, path: str) -> DataFrame:
+def queue_targets(url: Column, links: Column) -> Column:
+    """Normalised targets of a page in queue order, the first of equals."""
+    targets = F.transform(queue_hrefs(links), lambda href: normalize_url(url, href))
+    return F.array_distinct(F.filter(targets, lambda t: t.isNotNull()))
+
+
+def base_of(seed: Column) -> Column:
+    return crawl_base(normalize_seed(seed))
+
+
+def link_index(pages: DataFrame, folder: str) -> DataFrame:
     """``url, page_id, ok, sha1, targets`` of the newest capture of each URL.
 
     One pass over the HTML for the whole crawl; after it, only this narrow table
-    is read. Targets keep queue order, refresh tag first, first of equals.
+    is read. Targets keep queue order, refresh tag first, first of equals. Older
+    captures are found on ids alone; their table's size is known when they are
+    taken out, so the link lists are shuffled only if there are very many.
     """
     extra = [c for c in ("captured_at",) if c in pages.columns]
     raw = pages.select(
-        page_key(F.col("url")).alias("url"),
+        over(page_key, "url").alias("url"),
         "page_id",
         *extra,
         response_gate(pages).alias("ok"),
         content_sha1(F.col("html")).alias("sha1"),
         parse_links(F.col("html")).alias("_links"),
     )
-    hrefs = F.concat(F.array(refresh_target(F.col("_links.refresh"))), F.col("_links.hrefs"))
-    targets = F.array_distinct(
-        F.filter(
-            F.transform(hrefs, lambda h: normalize_url(F.col("url"), h)),
-            lambda t: t.isNotNull(),
-        )
-    )
+    targets = over(queue_targets, "url", "_links").alias("targets")
     index = written(
-        raw.select("url", "page_id", *extra, "ok", "sha1", targets.alias("targets")), path
+        raw.select("url", "page_id", *extra, "ok", "sha1", targets), f"{folder}/links"
     )
     newest = latest_captures(index).select("page_id")
-    return index.join(newest, "page_id", "left_semi").drop(*extra)
+    older = written(
+        index.select("page_id").join(newest, "page_id", "left_anti"), f"{folder}/older"
+    )
+    if older.isEmpty():
+        return index
+    return index.join(older, "page_id", "left_anti")
 
 
-def _select_urls(urls: DataFrame, robots: DataFrame | None, cfg: HarvestConfig) -> DataFrame:
+def _select_urls(urls: DataFrame, policies: DataFrame | None, cfg: HarvestConfig) -> DataFrame:
     """P4, P3 and P9 on a frontier."""
-    if robots is not None:
-        urls = robots_join(urls, robots, cfg.agent, cfg.robots_missing)
+    if policies is not None:
+        urls = robots_join(urls, policies, cfg.robots_missing)
         urls = urls.filter("allowed").drop("allowed")
     return urls.filter(
         include_exclude(F.col("url"), cfg.include, cfg.exclude)
@@ -86,42 +101,47 @@ def crawl(
     """Saved pages as ``seed_id, seed, url, depth, ord, page_id``."""
     spark = pages.sparkSession
     folder = work_dir(spark)
-    index = written(link_index(spread(pages, "page_id"), f"{folder}/links"), f"{folder}/index")
+    index = link_index(spread(pages, "page_id"), folder)
+    policies = None
+    if robots is not None:
+        policies = written(robots_policies(robots, cfg.agent), f"{folder}/robots")
     captures = index.select("url", "page_id", "ok", "sha1")
     links = index.select("page_id", "targets")
     frontier = seeds.select(
         "seed_id",
         "seed",
-        crawl_base(normalize_seed(F.col("seed"))).alias("base"),
+        over(base_of, "seed").alias("base"),
     ).select("*", F.col("base").alias("url"), F.array().cast("array<int>").alias("ord"))
 
-    seen: DataFrame | None = None
-    saved: DataFrame | None = None
+    seen, saved = _Levels(spark), _Levels(spark)
     saved_total, depth = 0, 0
     while True:
-        level = f"{folder}/depth={depth}"
         new = frontier.groupBy("seed_id", "url").agg(
             F.min(F.struct("ord", "seed", "base")).alias("_first")
         )
-        if seen is not None:
-            new = seen_anti(new, seen)
-        new = written(new.select("seed_id", "url", "_first.*"), f"{level}/seen")
-        fetched = fetch_join(_select_urls(new, robots, cfg), captures).filter("ok")
-        kept = first_by_hash(
-            fetched.select("seed_id", "sha1", "ord", "seed", "base", "url", "page_id"), saved
+        if seen:
+            new = seen_anti(new, seen.table())
+        new = seen.add(new.select("seed_id", "url", "_first.*"), f"{folder}/seen/{depth}")
+        fetched = fetch_join(_select_urls(new, policies, cfg), captures).filter("ok")
+        first = first_by_hash(
+            fetched.select("seed_id", "sha1", "ord", "seed", "base", "url", "page_id"),
+            saved.table() if saved else None,
         ).withColumn("depth", F.lit(depth))
-        kept = written(kept, f"{level}/found")
-        found = kept.count()
-        if saved_total + found > cfg.max_pages:
-            kept = written(_within_limit(kept, saved, cfg.max_pages), f"{level}/kept")
-            found = kept.count()
-        saved_total += found
-        seen = new if seen is None else seen.unionByName(new)
-        saved = kept if saved is None else saved.unionByName(kept)
-        if found == 0 or (cfg.depth and depth >= cfg.depth):
+        path = f"{folder}/found/{depth}"
+        found = written(first, path)
+        count = found.count()
+        if saved_total + count > cfg.max_pages:
+            earlier = saved.table() if saved else None
+            path = f"{folder}/kept/{depth}"
+            found = written(_within_limit(found, earlier, cfg.max_pages), path)
+            count = found.count()
+        saved.hold(found, path)
+        saved_total += count
+        if count == 0 or (cfg.depth and depth >= cfg.depth):
             break
         frontier = (
-            _open_seeds(kept, saved, cfg.max_pages, saved_total)
+            _open_seeds(found, saved.table(), cfg.max_pages, saved_total)
+            .filter(depth_limit(F.col("depth"), cfg.depth))
             .join(links, "page_id")
             .select(
                 "seed_id", "seed", "base", "ord", F.posexplode("targets").alias("pos", "target")
@@ -136,7 +156,31 @@ def crawl(
             )
         )
         depth += 1
-    return saved.select(*SAVED)
+    return saved.table().select(*SAVED)
+
+
+class _Levels:
+    """The written tables of all levels so far, read back as one relation."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.schema: StructType | None = None
+        self.paths: list[str] = []
+
+    def __bool__(self) -> bool:
+        return bool(self.paths)
+
+    def add(self, rows: DataFrame, path: str) -> DataFrame:
+        level = written(rows, path)
+        self.hold(level, path)
+        return level
+
+    def hold(self, level: DataFrame, path: str) -> None:
+        self.schema = level.schema
+        self.paths.append(path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
 def _within_limit(kept: DataFrame, saved: DataFrame | None, max_pages: int) -> DataFrame:

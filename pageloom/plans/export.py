@@ -8,21 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.config import HarvestConfig
+from pageloom.functions.core import over
 from pageloom.functions.render import body_fields, render
 from pageloom.functions.urls import content_sha1, crawl_base, domain_key, normalize_seed, slugify_path
 from pageloom.operators.aggregates import last_write_wins
 from pageloom.operators.content import extract_content
 from pageloom.operators.joins import diff_join
 from pageloom.schemas import EXPORT_KEYS
-from pageloom.session import spread
+from pageloom.session import broadcast_bytes, estimated_bytes, spread
+
+
+def path_below_seed(seed: Column, url: Column, fmt: str) -> Column:
+    return slugify_path(crawl_base(normalize_seed(seed)), url, fmt)
 
 
 def planned_writes(saved: DataFrame, fmt: str) -> DataFrame:
     """One row per output path, decided on ids before any parsing."""
-    seed = normalize_seed(F.col("seed"))
     placed = saved.select(
-        domain_key(F.col("seed")).alias("domain"),
-        slugify_path(crawl_base(seed), F.col("url"), fmt).alias("out_path"),
+        over(domain_key, "seed").alias("domain"),
+        over(path_below_seed, "seed", "url", fmt=fmt).alias("out_path"),
         F.struct("seed_id", "depth", "ord").alias("ord"),
         "url",
         "page_id",
@@ -38,18 +42,21 @@ def export_rows(
 ) -> DataFrame:
     """The export table of saved pages.
 
-    Duplicate paths are settled first, so a page is parsed only if it is written.
-    Bodies join back by id: with few pages wanted the ids are broadcast and the
-    HTML stays where it is. ``date`` is epoch seconds; the hash leaves it out.
+    Duplicate paths are settled on ids first. If the ids are few enough to be
+    broadcast, the other pages are dropped before parsing. Otherwise pages are
+    parsed where they are scanned and their content, a fraction of the HTML, is
+    joined, so HTML is never shuffled. ``date`` is epoch seconds; the hash leaves
+    it out.
     """
     writes = planned_writes(saved, cfg.format)
-    extra = [c for c in ("captured_at",) if c in pages.columns]
-    bodies = spread(pages.select("page_id", "html", *extra), "page_id")
-    joined = writes.join(bodies, "page_id")
+    extra = ["captured_at"] if "captured_at" in pages.columns else []
     raw = [F.col("html").alias("raw_html")] if cfg.save_html else []
-    content = extract_content(
-        joined.select("*", *raw), tuple(dict.fromkeys(body_fields(cfg.format)))
-    )
+    fields = body_fields(cfg.format)
+    bodies = spread(pages.select("page_id", "html", *extra), "page_id").select("*", *raw)
+    if estimated_bytes(writes) <= broadcast_bytes(pages.sparkSession):
+        content = extract_content(bodies.join(writes, "page_id"), fields)
+    else:
+        content = extract_content(bodies, fields).join(writes, "page_id")
     captured = F.col("captured_at") if extra else F.lit(None).cast("timestamp")
     stamp = date if date is not None else F.unix_timestamp(captured)
     return content.select(

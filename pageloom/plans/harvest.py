@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.config import HarvestConfig
+from pageloom.functions.core import over
 from pageloom.operators.filters import include_exclude, lang_keep, response_gate
 from pageloom.operators.joins import (
     fetch_join,
     latest_captures,
     page_key,
     robots_join,
+    robots_policies,
     split_routes,
 )
 from pageloom.plans.crawl import SAVED, crawl
@@ -29,18 +31,19 @@ def sitemap_harvest(
     """Pages listed by each seed's sitemaps; an acyclic plan, no HTML read."""
     urls = sitemap_urls(seeds, sitemaps, cfg.distinct_sitemap_urls)
     if robots is not None and cfg.sitemap_robots:
-        urls = robots_join(urls, robots, cfg.agent, cfg.robots_missing).filter("allowed")
+        policies = robots_policies(robots, cfg.agent)
+        urls = robots_join(urls, policies, cfg.robots_missing).filter("allowed")
     if cfg.sitemap_patterns:
         urls = urls.filter(include_exclude(F.col("url"), cfg.include, cfg.exclude))
     urls = urls.filter(lang_keep(F.col("url"), cfg.lang))
     extra = [c for c in ("captured_at",) if c in pages.columns]
     captures = pages.select(
-        page_key(F.col("url")).alias("_key"), "page_id", *extra, response_gate(pages).alias("_ok")
+        over(page_key, "url").alias("_key"), "page_id", *extra, response_gate(pages).alias("_ok")
     )
     newest = latest_captures(captures, "_key")
     fetched = captures.drop("_key").filter("_ok").join(newest, "page_id")
     return (
-        urls.withColumn("_key", page_key(F.col("url")))
+        urls.withColumn("_key", over(page_key, "url"))
         .join(fetched.select("_key", "page_id"), "_key")
         .select("seed_id", "seed", "url", F.lit(0).alias("depth"), "ord", "page_id")
     )

@@ -43,6 +43,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Size up to which Spark broadcasts a table by itself; -1 for never."""
+    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
+    number = value.rstrip("bkmgt")
+    unit = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[value[len(number) :][:1]]
+    return int(number) << unit if int(number) > 0 else int(number)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of an input that is too small to be split.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import strip_ws
+from pageloom.functions.core import let, over, strip_ws
 from pageloom.functions.urls import normalize_seed, url_resolve
 from pageloom.operators.joins import scope_join
 from pageloom.schemas import SITEMAPS
@@ -43,8 +43,8 @@ def parsed_sitemaps(sitemaps: DataFrame) -> DataFrame:
         "status",
         "content_type",
         "root",
-        _locations(F.col("_xml.sitemap")).alias("children"),
-        _locations(F.col("_xml.url")).alias("urls"),
+        over(_locations, "_xml.sitemap").alias("children"),
+        over(_locations, "_xml.url").alias("urls"),
     )
 
 
@@ -55,16 +55,22 @@ def sitemap_gate() -> Column:
     ).contains("xml")
 
 
+def sitemap_places(seed: Column) -> Column:
+    """Addresses of a seed's sitemaps: at its host's root and next to it."""
+
+    def resolved(base: Column) -> Column:
+        return F.array(*[url_resolve(base, F.lit(p)) for p in ("/sitemap.xml", "sitemap.xml")])
+
+    return F.array_distinct(let(normalize_seed(seed), resolved))
+
+
 def sitemap_candidates(seeds: DataFrame) -> DataFrame:
     """``seed_id, seed, place, sitemap_url``, both places of each seed.
 
     A seed at the host root has the same address twice; it is kept once, or
     every page below would be listed twice.
     """
-    seed = normalize_seed(F.col("seed"))
-    places = F.array_distinct(
-        F.array(url_resolve(seed, F.lit("/sitemap.xml")), url_resolve(seed, F.lit("sitemap.xml")))
-    )
+    places = over(sitemap_places, "seed")
     return seeds.select("seed_id", "seed", F.posexplode(places).alias("place", "sitemap_url"))
 
 
@@ -105,7 +111,7 @@ def sitemap_urls(
     seed's two places. So a host with many seeds and a large sitemap never pairs
     every seed with every URL.
     """
-    scoped = sitemap_candidates(seeds).withColumn("scope", normalize_seed(F.col("seed")))
+    scoped = sitemap_candidates(seeds).withColumn("scope", over(normalize_seed, "seed"))
     places = scoped.groupBy("seed_id", "seed", "scope").agg(
         F.map_from_entries(F.collect_list(F.struct("sitemap_url", "place"))).alias("_places")
     )

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pageloom.config import HarvestConfig
-from pageloom.functions.urls import content_sha1, crawl_base, normalize_seed
+from pageloom.functions.core import over
+from pageloom.functions.urls import content_sha1
 from pageloom.operators.joins import page_key, scope_join
+from pageloom.plans.crawl import base_of
 from pageloom.plans.export import changed_rows, export_rows
 from pageloom.schemas import EXPORT, EXPORT_KEYS, PAGES
 
@@ -25,7 +27,7 @@ def stream_dedup(pages: DataFrame, by: str = "url", delay: str | None = None) ->
     ``captured_at`` column, state older than the watermark is dropped.
     """
     keyed = pages.withColumn(
-        by, page_key(F.col("url")) if by == "url" else content_sha1(F.col("html"))
+        by, over(page_key, "url") if by == "url" else content_sha1(F.col("html"))
     )
     if delay and "captured_at" in pages.columns:
         return keyed.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark([by])
@@ -56,12 +58,12 @@ def stream_diff_export(
     Each batch owns the folder ``batch_id=N`` and overwrites it, so a batch that
     is run again after a failure leaves one copy.
     """
-    scopes = seeds.withColumn("scope", crawl_base(normalize_seed(F.col("seed"))))
+    scopes = seeds.withColumn("scope", over(base_of, "seed"))
 
     def export_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         saved = scope_join(
-            batch.select(page_key(F.col("url")).alias("url"), "page_id"),
+            batch.select(over(page_key, "url").alias("url"), "page_id"),
             scopes,
             directories_only=True,
         ).select(
