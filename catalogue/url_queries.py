@@ -360,6 +360,16 @@ def max_pages(spark, sf_dir):
     return P.first_n_per_key(rows, ["origin"], [F.col("page_id")], 3, "page_id", 3)
 
 
+@query(
+    "page_number",
+    rf"""WITH {PARTS} SELECT origin, page_id,
+      row_number() OVER (PARTITION BY origin ORDER BY page_id) AS number FROM p""",
+)
+def page_number(spark, sf_dir):
+    rows = pages(spark, sf_dir).select(origin_of().alias("origin"), "page_id")
+    return A.page_number(rows, "origin", "page_id", run=50)
+
+
 @query(
     "domain_totals",
     rf"""WITH {PARTS} SELECT authority AS domain, count(*) AS pages,

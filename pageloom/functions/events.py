@@ -70,6 +70,8 @@ _ARROW = {
     T.BooleanType(): pa.bool_(),
     T.MapType(T.StringType(), T.StringType()): pa.map_(pa.string(), pa.string()),
 }
+# Noncharacters that later steps use as marks; no valid text has them.
+_MARKS = re.compile("[\ufdd0-\ufddf]")
 _BLANK_WITH_BREAK = re.compile(r"[ \t\r\f\v]*\n[ \t\r\n\f\v]*")
 _BLANK = re.compile(r"[ \t\r\n\f\v]+")
 _NUMBER = re.compile(r"-?\d+\Z")
@@ -110,7 +112,7 @@ class _EventBuilder(_Tokens):
         self.stress = 0
         self.last_tag: str | None = None
         self.closed_voids: list[str] = []
-        self.feed(html)
+        self.feed(_MARKS.sub("", html))
         self.close()
         self.flush()
         while self.stack:

@@ -1,12 +1,9 @@
 """Marks put into a text while it is assembled from events.
 
-All are Unicode noncharacters, which valid text never holds; text coming from
-a page loses them first.
+All are Unicode noncharacters, which valid text never holds; the parser drops
+them from pages.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 PARA, LINE, ROW = "\ufdd4", "\ufdd5", "\ufdd6"  # pending blank line, line, table row end
 GLUE = "\ufdd7"  # what is pending before this is dropped
 START = "\ufdd8"  # what is pending after this is dropped
@@ -14,9 +11,3 @@ BREAK = "\ufdd9"  # hard line break
 CODE, CODE_END = "\ufdda", "\ufddb"  # number of a code block
 QUOTE, QUOTE_END = "\ufddc", "\ufddd"  # quote depth from here on
 SPACE = "\ufdde"  # blank that does not collapse
-
-ALL = "".join(chr(c) for c in range(0xFDD0, 0xFDE0))
-
-
-def unmarked(text: Column) -> Column:
-    return F.translate(text, ALL, "")

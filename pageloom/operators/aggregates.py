@@ -6,7 +6,7 @@ a window over one whole key, the operator says why it is not needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,31 @@ def first_seen(queue: DataFrame) -> DataFrame:
     return queue.groupBy("seed_id", "url").agg(F.min("ord").alias("ord"))
 
 
+def page_number(
+    saved: DataFrame, key: str, order: str, run: int = 10_000, name: str = "number"
+) -> DataFrame:
+    """Running number per key by the whole-number column ``order``.
+
+    Rows are numbered within runs of ``run`` order values, and runs get the
+    number of rows before them. The largest window is a run or the list of a
+    key's runs, so a key with a billion rows is no single task.
+    """
+    runs = saved.withColumn("_run", F.floor(F.col(order) / run))
+    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        runs.groupBy(key, "_run")
+        .agg(F.count("*").alias("_rows"))
+        .select(key, "_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    )
+    within = F.row_number().over(Window.partitionBy(key, "_run").orderBy(order))
+    return (
+        runs.withColumn("_at", within)
+        .join(offsets, [key, "_run"])
+        .withColumn(name, F.col("_before") + F.col("_at"))
+        .select(*saved.columns, name)
+    )
+
+
 def last_write_wins(
     writes: DataFrame, keys: tuple[str, ...] = ("domain", "out_path"), order: str = "ord"
 ) -> DataFrame:

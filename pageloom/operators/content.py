@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.core import let, one_blank, over, strip_ws
 from pageloom.functions.events import BOILERPLATE, PARSED, VOID, parse_events, parse_links
-from pageloom.functions.marks import LINE, unmarked
+from pageloom.functions.marks import LINE
 from pageloom.functions.urls import normalize_url
 from pageloom.operators.code import class_list, code_blocks
 from pageloom.operators.markdown import markdown_text
@@ -125,12 +125,12 @@ def plain_text(body: Column) -> Column:
     """Text without markup; blocks on lines of their own, code as it is."""
 
     def part(e: Column) -> Column:
-        flowing = one_blank(unmarked(e.text))
+        flowing = one_blank(e.text)
         return (
             F.when(e.in_head, F.lit(""))
             .when(
                 e.kind == "t",
-                F.when((e.pre_depth > 0), unmarked(e.text)).otherwise(flowing),
+                F.when((e.pre_depth > 0), e.text).otherwise(flowing),
             )
             .when(e.kind.isin("o", "c") & e.tag.isin(*BLOCKS), F.lit(LINE))
             .when((e.kind == "c") & e.tag.isin("td", "th"), F.lit(" "))

@@ -101,7 +101,7 @@ def scope_join(
     seeds: DataFrame,
     scope: str = "scope",
     url: str = "url",
-    directories_only: bool = False,
+    directories_only: bool | None = None,
 ) -> DataFrame:
     """Every URL with each seed whose scope it is in.
 
@@ -109,8 +109,9 @@ def scope_join(
     about as many rows as its path has segments, and meets only the seeds it
     belongs to. Seeds are never paired with all URLs of their host. Scopes that
     end inside a segment are met by character prefixes, for URLs of their hosts
-    only; ``directories_only`` leaves that branch out where scopes are crawl
-    bases.
+    only. That branch reads the URLs again, so the seeds are asked first whether
+    there are any such scopes; ``directories_only`` says so without asking, as
+    for crawl bases.
     """
     keys = ["_scheme", "_authority", "_prefix"]
     left = urls.withColumn("_parts", over(url_parts, url)).select(
@@ -132,9 +133,11 @@ def scope_join(
 
     whole = (F.col("_prefix") == "") | F.col("_prefix").endswith("/")
     found = matched(left, over(_directories, "_path"), right.filter(whole))
+    partial = right.filter(~whole)
+    if directories_only is None:
+        directories_only = partial.isEmpty()
     if directories_only:
         return found
-    partial = right.filter(~whole)
     hosts = partial.select("_scheme", "_authority").distinct()
     near = left.filter(F.col("_path") != "").join(hosts, ["_scheme", "_authority"], "left_semi")
     characters = F.transform(

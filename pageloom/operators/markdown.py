@@ -24,7 +24,6 @@ from pageloom.functions.marks import (
     ROW,
     SPACE,
     START,
-    unmarked,
 )
 from pageloom.functions.text import after_fences, before_fences
 from pageloom.operators.code import fence
@@ -68,10 +67,10 @@ def _link_end(attrs: Column) -> Column:
     title = F.coalesce(F.try_element_at(attrs, F.lit("title")), F.lit(""))
     return F.concat(
         F.lit(GLUE + "]("),
-        _escape_target(unmarked(F.element_at(attrs, "href"))),
+        _escape_target(F.element_at(attrs, "href")),
         F.when(
             F.trim(title) != "",
-            F.concat(F.lit(' "'), _escape_target(unmarked(title)), F.lit('"')),
+            F.concat(F.lit(' "'), _escape_target(title), F.lit('"')),
         ).otherwise(""),
         F.lit(")"),
     )
@@ -160,7 +159,7 @@ def _closing(e: Column) -> Column:
 def _text(e: Column) -> Column:
     """A text node. Stressed text is stripped, as its marks must touch it; a
     word that follows stressed text in the same line gets a blank."""
-    text = unmarked(e.text)
+    text = e.text
     follows = text.rlike(rf"^[^\]\[(){{}}{SPACES}.!?]") & ~e.last_tag.isin("a", "code", "pre")
     return escape_data(
         F.when(e.stress == 1, strip_ws(text))
@@ -248,13 +247,16 @@ def restore_fences(text: Column, blocks: Column) -> Column:
         block = F.get(blocks, piece.cast("int") - first)
         return F.when(at % 2 == 1, fence(block.lang, block.code)).otherwise(piece)
 
-    return F.array_join(F.transform(F.split(text, f"[{CODE}{CODE_END}]"), part), "")
+    def restored(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, f"[{CODE}{CODE_END}]"), part), "")
+
+    return where_has(text, (CODE,), restored)
 
 
 def markdown_text(body: Column, blocks: Column) -> Column:
     """H11-H18 over the events of the main container."""
     joined = F.array_join(F.transform(body, _token), "")
     settled = F.concat(
-        F.translate(_settle(joined), SPACE, " "), F.lit("\n")
+        F.replace(_settle(joined), F.lit(SPACE), F.lit(" ")), F.lit("\n")
     )
     return after_fences(restore_fences(before_fences(settled), blocks))
