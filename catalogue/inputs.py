@@ -201,10 +201,11 @@ def graph_pages(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataF
 
 
 def graph_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of each site."""
-    return pages(spark, sf_dir).filter(F.col("page_id") < SITES).select(
-        F.col("page_id").alias("seed_id"), graph_url(F.col("page_id")).alias("seed")
-    )
+    """The first address of each site."""
+    site = F.pmod("page_id", F.lit(SITES))
+    return pages(spark, sf_dir).select(
+        site.alias("seed_id"), graph_url(site).alias("seed")
+    ).distinct()
 
 
 GRAPH_SQL = f"""g AS (

@@ -5,7 +5,12 @@ per level for all seeds at once visits them in the same order. ``ord`` is the
 place of a URL in its level: the place of its parent followed by the position
 of the link. Arrays compare element by element, which is queue order.
 
-Each level is written to the work folder: lineage stays short and a lost
+What a URL is refused for (robots, patterns, no capture, bad response) does
+not change during a crawl, and the text of a URL neither. So the saved pages
+and their hashes are all the memory a level needs: a URL that was taken from
+the queue before is either saved, or refused again, or its text is known.
+
+Each level is one write to the work folder: lineage stays short and a lost
 executor costs one level at most. The driver sees counts only.
 """
 
@@ -113,15 +118,15 @@ def crawl(
         over(base_of, "seed").alias("base"),
     ).select("*", F.col("base").alias("url"), F.array().cast("array<int>").alias("ord"))
 
-    seen, saved = _Levels(spark), _Levels(spark)
+    saved = _Levels(spark)
     saved_total, depth = 0, 0
     while True:
         new = frontier.groupBy("seed_id", "url").agg(
             F.min(F.struct("ord", "seed", "base")).alias("_first")
         )
-        if seen:
-            new = seen_anti(new, seen.table())
-        new = seen.add(new.select("seed_id", "url", "_first.*"), f"{folder}/seen/{depth}")
+        if saved:
+            new = seen_anti(new, saved.table())
+        new = new.select("seed_id", "url", "_first.*")
         fetched = fetch_join(_select_urls(new, policies, cfg), captures).filter("ok")
         first = first_by_hash(
             fetched.select("seed_id", "sha1", "ord", "seed", "base", "url", "page_id"),
@@ -170,11 +175,6 @@ class _Levels:
     def __bool__(self) -> bool:
         return bool(self.paths)
 
-    def add(self, rows: DataFrame, path: str) -> DataFrame:
-        level = written(rows, path)
-        self.hold(level, path)
-        return level
-
     def hold(self, level: DataFrame, path: str) -> None:
         self.schema = level.schema
         self.paths.append(path)
