@@ -315,13 +315,16 @@ def parse_events(html: Column, skip: tuple[str, ...] = BOILERPLATE) -> Column:
 
     Leaving clutter out here keeps menus, scripts and styles, most of the bytes
     of a page, from crossing back into the JVM. ``skip=()`` gives all events.
+
+    The function is declared nondeterministic, although it is not, so that a
+    filter on its result is not moved below it and pages parsed twice.
     """
 
     @F.arrow_udf(returnType=PARSED)
     def parse(pages: pa.Array) -> pa.Array:
         return _parse_batch(pages, skip)
 
-    return parse(html)
+    return parse.asNondeterministic()(html)
 
 
 LINKS = T.StructType(
@@ -352,9 +355,7 @@ class _LinkReader(_Tokens):
                 self.refresh = values.get("content") or ""
 
 
-@F.arrow_udf(returnType=LINKS)
-def parse_links(pages: pa.Array) -> pa.Array:
-    """Targets of a page as written, boilerplate included, in document order."""
+def _links_of(pages: pa.Array) -> pa.Array:
     reader = _LinkReader()
     found = []
     for html in pages.to_pylist():
@@ -369,3 +370,14 @@ def parse_links(pages: pa.Array) -> pa.Array:
         ],
         LINKS.names,
     )
+
+
+def parse_links(html: Column) -> Column:
+    """``struct<refresh, hrefs>`` of a page as written, boilerplate included, in
+    document order. Nondeterministic for the reason given above."""
+
+    @F.arrow_udf(returnType=LINKS)
+    def parse(pages: pa.Array) -> pa.Array:
+        return _links_of(pages)
+
+    return parse.asNondeterministic()(html)
