@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.config import HarvestConfig
@@ -14,7 +15,7 @@ from pageloom.functions.urls import content_sha1, crawl_base, domain_key, normal
 from pageloom.operators.aggregates import last_write_wins
 from pageloom.operators.content import extract_content
 from pageloom.operators.joins import diff_join
-from pageloom.schemas import EXPORT_KEYS
+from pageloom.schemas import EXPORT, EXPORT_KEYS
 from pageloom.session import broadcast_bytes, estimated_bytes, spread
 
 
@@ -93,6 +94,45 @@ def write_export(export: DataFrame, path: str, mode: str = "overwrite") -> None:
     export.hint("rebalance", "domain").write.mode(mode).partitionBy("domain").parquet(path)
 
 
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    """An export kept in batches, with the ``batch_id`` of each row."""
+    schema = f"{EXPORT}, batch_id bigint"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def standing_hashes(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """Hash of what stands at each path after the batches before ``before``.
+    Reads keys and hashes only."""
+    return (
+        _batches(spark, path)
+        .filter(F.col("batch_id") < before)
+        .groupBy(*EXPORT_KEYS)
+        .agg(F.max_by("content_sha1", "batch_id").alias("content_sha1"))
+    )
+
+
+def write_changes(export: DataFrame, path: str, batch_id: int) -> None:
+    """K3: write the rows that differ from what stands at their paths.
+
+    A batch owns the folder ``batch_id=N`` and overwrites it, so a batch that is
+    run again after a failure leaves one copy.
+    """
+    fresh = changed_rows(export, standing_hashes(export.sparkSession, path, batch_id))
+    write_export(fresh, f"{path}/batch_id={batch_id}")
+
+
+def standing_export(spark: SparkSession, path: str) -> DataFrame:
+    """The documents an export kept in batches holds now."""
+    rows = _batches(spark, path)
+    newest = rows.groupBy(*EXPORT_KEYS).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [*EXPORT_KEYS, "batch_id"], "left_semi").drop("batch_id")
+
+
 def raw_html_rows(export: DataFrame) -> DataFrame:
     """K4: sibling rows with the captured HTML, next to each exported file."""
     return export.select(

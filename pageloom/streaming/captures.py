@@ -11,8 +11,8 @@ from pageloom.functions.core import over
 from pageloom.functions.urls import content_sha1
 from pageloom.operators.joins import page_key, scope_join
 from pageloom.plans.crawl import base_of
-from pageloom.plans.export import changed_rows, export_rows
-from pageloom.schemas import EXPORT, EXPORT_KEYS, PAGES
+from pageloom.plans.export import export_rows, write_changes
+from pageloom.schemas import PAGES
 
 
 def stream_pages(spark: SparkSession, path: str, schema: str = PAGES) -> DataFrame:
@@ -34,34 +34,13 @@ def stream_dedup(pages: DataFrame, by: str = "url", delay: str | None = None) ->
     return keyed.dropDuplicates([by])
 
 
-def current_export(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Hash of what stands at each path after all batches before ``before``."""
-    schema = f"{EXPORT}, batch_id bigint"
-    try:
-        stored = spark.read.schema(schema).parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        stored = spark.createDataFrame([], schema)
-    return (
-        stored.filter(F.col("batch_id") < before)
-        .groupBy(*EXPORT_KEYS)
-        .agg(F.max_by("content_sha1", "batch_id").alias("content_sha1"))
-    )
-
-
 def stream_diff_export(
     pages: DataFrame, seeds: DataFrame, path: str, checkpoint: str, cfg: HarvestConfig
 ) -> DataStreamWriter:
-    """ST2: exports new captures, writing only what changed.
-
-    Each batch owns the folder ``batch_id=N`` and overwrites it, so a batch that
-    is run again after a failure leaves one copy.
-    """
+    """ST2: exports new captures, writing only what changed."""
     scopes = seeds.withColumn("scope", over(base_of, "seed"))
 
     def export_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         saved = scope_join(
             batch.select(over(page_key, "url").alias("url"), "page_id"),
             scopes,
@@ -74,9 +53,7 @@ def stream_diff_export(
             F.array(F.col("page_id")).alias("ord"),
             "page_id",
         )
-        rows = export_rows(saved, batch, cfg)
-        fresh = changed_rows(rows, current_export(spark, path, batch_id))
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        write_changes(export_rows(saved, batch, cfg), path, batch_id)
 
     return (
         pages.writeStream.foreachBatch(export_batch)

@@ -12,6 +12,8 @@ from pageloom.plans.export import (
     diff_status,
     export_rows,
     raw_html_rows,
+    standing_export,
+    write_changes,
     write_export,
     write_tree,
 )
@@ -144,6 +146,20 @@ def test_diff_with_itself_is_empty(spark):
     assert [r.out_path for r in fresh] == ["docs/a.md"]
 
 
+def test_batches_hold_changes_only(spark, tmp_path):
+    path = str(tmp_path / "export")
+    edited = [(i, u, s, c, h + "<p>more</p>" if i == 2 else h) for i, u, s, c, h in MINI]
+    write_changes(_export(spark), path, 0)
+    write_changes(_export(spark, date=9), path, 1)
+    write_changes(_export(spark, rows=edited[:3]), path, 2)
+    write_changes(_export(spark, rows=edited[:3]), path, 2)  # run again after a failure
+    stored = spark.read.parquet(path)
+    assert {r.batch_id: r["count"] for r in stored.groupBy("batch_id").count().collect()} == {
+        0: len(MINI), 2: 1}
+    standing = {r.out_path: r.content for r in standing_export(spark, path).collect()}
+    assert len(standing) == len(MINI) and "more" in standing["docs/a.md"]
+
+
 def test_colliding_paths_keep_the_last(spark):
     rows = MINI + [(7, f"{H}/docs/a.html?x", 200, "text/html", "late")]
     kept = {r.out_path: r.url for r in _export(spark, "txt", rows=rows).collect()}
