@@ -78,11 +78,47 @@ _NUMBER = re.compile(r"-?\d+\Z")
 
 
 class _Tokens(HTMLParser):
-    """html.parser with entities decoded and joined to their text."""
+    """html.parser with entities decoded.
+
+    What is not closed before the end of a page is looked for once only: the
+    tokenizer would search the rest of the page again at each such opening, and
+    a page of a million of them would hold up its task for hours.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
 
+    def reset(self):
+        super().reset()
+        self.no_more_tags = self.no_more_comments = self.no_more_sections = False
+
+    def _tag_never_ends(self, i):
+        if not self.no_more_tags and self.rawdata.find(">", i) < 0:
+            self.no_more_tags = True
+        return self.no_more_tags
+
+    def check_for_whole_start_tag(self, i):
+        return -1 if self._tag_never_ends(i) else super().check_for_whole_start_tag(i)
+
+    def parse_endtag(self, i):
+        return -1 if self._tag_never_ends(i) else super().parse_endtag(i)
+
+    def parse_pi(self, i):
+        return -1 if self._tag_never_ends(i) else super().parse_pi(i)
+
+    def parse_bogus_comment(self, i, report=1):
+        return -1 if self._tag_never_ends(i) else super().parse_bogus_comment(i, report)
+
+    def parse_comment(self, i, report=1):
+        end = -1 if self.no_more_comments else super().parse_comment(i, report)
+        self.no_more_comments = end < 0
+        return end
+
+    def parse_marked_section(self, i, report=1):
+        end = -1 if self.no_more_sections else super().parse_marked_section(i, report)
+        self.no_more_sections = end < 0
+        return end
+
     def handle_charref(self, name):
         self.handle_data(unescape(f"&#{name};"))
 
@@ -111,7 +147,7 @@ class _EventBuilder(_Tokens):
         self.head = False
         self.stress = 0
         self.last_tag: str | None = None
-        self.closed_voids: list[str] = []
+        self.closed_voids: dict[str, int] = {}
         self.feed(_MARKS.sub("", html))
         self.close()
         self.flush()
@@ -234,15 +270,15 @@ class _EventBuilder(_Tokens):
         self.push(tag, {k: v or "" for k, v in attrs})
         if tag in VOID:
             self.pop()
-            self.closed_voids.append(tag)
+            self.closed_voids[tag] = self.closed_voids.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.push(tag, {k: v or "" for k, v in attrs})
         self.pop()
 
     def handle_endtag(self, tag):
-        if tag in self.closed_voids:
-            self.closed_voids.remove(tag)
+        if self.closed_voids.get(tag):
+            self.closed_voids[tag] -= 1
             return
         self.flush()
         if not self.open_count.get(tag):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import SPACES, let, lstrip_ws, rstrip_ws, strip_ws
+from pageloom.functions.core import SPACES, let, rstrip_ws
 from pageloom.functions.text import FENCE
 
 # Class names taken as a language without a prefix.
@@ -13,8 +13,10 @@ KNOWN_LANGS = ("bash", "shell", "sh", "nix", "json", "yaml", "toml", "python", "
 LANG_PREFIX = "language-"
 
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-_NUMBER_LINE = rf"^[{SPACES}]*\p{{Nd}}{{1,3}}[{SPACES}]*\z"
-_TREE_LINE = rf"^[{SPACES}│└├┬─›>•·`~\\/|:_-]+\z"
+_TREE = r"│└├┬─›>•·`~\\/|:_\-"
+
+# A noncharacter that stands before every line while a block is cleaned.
+_LINE = "\ufdd1"
 
 
 def class_list(attrs: Column) -> Column:
@@ -41,42 +43,27 @@ def code_lang(classes: Column) -> Column:
 
 
 def code_lines(text: Column) -> Column:
-    """H8 and H9 in one fold: drop line numbers, join tree drawing with its line.
+    """H8 and H9 in one pass: a line of one to three digits goes, a line of tree
+    drawing only takes in the next line, whatever that is.
 
-    ``pending`` holds a tree-drawing line that waits for the next line, which is
-    taken as it is. The fold is one pass; a line list is as long as its block.
+    Matches do not overlap and run from left to right, so a line that was taken
+    in is not looked at itself, as the rule wants.
     """
-
-    def step(state: Column, raw: Column) -> Column:
-        def put(out: Column, pending: Column) -> Column:
-            return F.struct(out.alias("out"), pending.alias("pending"))
-
-        line = rstrip_ws(raw)
-        none = F.lit(None).cast("string")
-        joined = rstrip_ws(F.concat(strip_ws(state.pending), F.lit(" "), lstrip_ws(raw)))
-        return let(
-            line,
-            lambda s: F.when(
-                state.pending.isNotNull(), put(F.concat(state.out, F.array(joined)), none)
-            )
-            .when(s.rlike(_NUMBER_LINE), put(state.out, none))
-            .when(s.rlike(_TREE_LINE), put(state.out, s))
-            .otherwise(put(F.concat(state.out, F.array(s)), none)),
-        )
-
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"),
-        F.lit(None).cast("string").alias("pending"),
+    blank = f"[{SPACES}&&[^\n]]*+"
+    number = rf"{_LINE}{blank}\p{{Nd}}{{1,3}}(?:\n|\z)"
+    tree = rf"{_LINE}{blank}([{SPACES}{_TREE}&&[^\n]]++)\n({_LINE}){blank}([^\n]*+)"
+    lines = F.transform(
+        F.split(F.regexp_replace(text, rf"(?:{_LINE_END})\z", ""), _LINE_END),
+        lambda line: F.concat(F.lit(_LINE), rstrip_ws(line)),
     )
-
-    def finish(state: Column) -> Column:
-        tail = F.when(state.pending.isNotNull(), F.array(state.pending)).otherwise(
-            F.array().cast("array<string>")
-        )
-        return F.array_join(F.concat(state.out, tail), "\n")
-
-    folded = F.aggregate(F.split(text, _LINE_END), start, step, finish)
-    return F.regexp_replace(folded, r"^\n++|(?<!\n)\n++\z", "")
+    cleaned = F.regexp_replace(F.array_join(lines, "\n"), f"{number}|{tree}", "$1$2$3")
+    for pattern, replacement in (
+        (rf"(^|\n){_LINE}", "$1"),
+        (rf"{_LINE}(?=\n|\z)", ""),
+        (_LINE, " "),
+    ):
+        cleaned = F.regexp_replace(cleaned, pattern, replacement)
+    return F.trim(cleaned, F.lit("\n"))
 
 
 def fence(lang: Column, code: Column) -> Column:

@@ -17,6 +17,8 @@ from pageloom.functions.marks import (
     CODE,
     CODE_END,
     GLUE,
+    HEADING,
+    HEADING_END,
     LINE,
     PARA,
     QUOTE,
@@ -83,7 +85,11 @@ def _opening(e: Column) -> Column:
         e.tag.isin("p", "div"), F.when(e.in_link, F.lit("")).otherwise(F.lit(PARA))
     )
     for tag, marks in HEADINGS.items():
-        case = case.when(e.tag == tag, F.lit(PARA + marks + SPACE + START))
+        within_link = F.lit(HEADING + marks + HEADING_END)
+        case = case.when(
+            e.tag == tag,
+            F.when(e.in_link, within_link).otherwise(F.lit(PARA + marks + SPACE + START)),
+        )
     for mark in sorted(set(STRESS_MARKS.values())):
         tags = [t for t, m in STRESS_MARKS.items() if m == mark]
         case = case.when(e.tag.isin(*tags), F.lit(mark))
@@ -127,7 +133,7 @@ def _closing(e: Column) -> Column:
     href = F.try_element_at(e.attrs, F.lit("href"))
     case = F.when(
         e.tag.isin("p", "div"), F.when(e.in_link, F.lit("")).otherwise(F.lit(PARA))
-    ).when(e.tag.isin(*HEADINGS), F.lit(PARA))
+    ).when(e.tag.isin(*HEADINGS), F.when(e.in_link, F.lit("")).otherwise(F.lit(PARA)))
     for mark in sorted(set(STRESS_MARKS.values())):
         tags = [t for t, m in STRESS_MARKS.items() if m == mark]
         case = case.when(e.tag.isin(*tags), F.lit(mark))
@@ -202,6 +208,15 @@ def _settle(joined: Column) -> Column:
             (GLUE, ""),
         ),
     )
+    text = where_has(
+        text,
+        (HEADING,),
+        passes(
+            # a heading that begins a link begins before it; another has no sign
+            (rf"\[ ?{HEADING}(#++){HEADING_END}", f"$1{SPACE}["),
+            (rf"{HEADING}#++{HEADING_END}", ""),
+        ),
+    )
     text = F.regexp_replace(text, rf"{START}[ {pending}{START}]*+", "")
     text = F.regexp_replace(text, rf" ++(?=[{pending}{BREAK}{QUOTE}])", "")
     text = where_has(

@@ -1,9 +1,14 @@
 """Extraction and Markdown against hand-made values."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions.events import parse_events
+from pageloom.operators.code import code_lines
 from pageloom.operators.content import extract_content, link_targets
 
 
@@ -96,6 +101,8 @@ MARKDOWN = [
     ('<a href="/x(1)">t</a> <a href="#f">f</a> <a>g</a>', "[t](/x\\(1\\)) f g\n"),
     ('<a href="u" title="T">t</a>', '[t](u "T")\n'),
     ('<a href="http://e.com/">http://e.com/</a>', "<http://e.com/>\n"),
+    ('<p>p</p><a href="u"><h2>T</h2><p>x</p></a>', "p\n\n## [Tx](u)\n"),
+    ('<h2><a href="u">T</a></h2>x', "## [T](u)\n\nx\n"),
     ("a<br>b", "a  \nb\n"),
     ("a<hr>b", "a\n\n* * *\n\nb\n"),
     ("<ul><li>a</li><li><p>b</p><ol><li>c<li>d</ol></ul>e", "  * a\n  * b\n\n    1. c\n    2. d\n\ne\n"),
@@ -139,6 +146,38 @@ def test_odd_pages(content):
     assert rows[5].plain_text == "x"
 
 
+def test_code_lines_against_a_loop(evaluate):
+    rng = random.Random(4)
+    pieces = ["1", "22 ", "1234", "|", " │ ", "--", "x y", "", "  z", "\t", "٣", "é-"]
+    ends = ["\n", "\r\n", "\x0b", "\u2028", "\n"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(ends) for _ in range(rng.randint(0, 9)))
+             + rng.choice(pieces) for _ in range(3000)]
+    tree = re.compile("[\\s│└├┬─›>•·`~\\\\/|:_-]+")
+
+    def loop(text):
+        lines, out = text.splitlines(), []
+        while lines:
+            line = lines.pop(0).rstrip()
+            if re.fullmatch(r"\s*\d{1,3}\s*", line):
+                continue
+            if tree.fullmatch(line) and lines:
+                line = f"{line.strip()} {lines.pop(0).lstrip()}".rstrip()
+            out.append(line)
+        return "\n".join(out).strip("\n")
+
+    got = evaluate(code_lines, [(t,) for t in texts], "t string")
+    wrong = [(t, g, loop(t)) for t, g in zip(texts, got) if g != loop(t)]
+    assert not wrong, wrong[:5]
+
+
+def test_unclosed_markup_takes_no_long(content):
+    started = time.time()
+    n = 60_000
+    pages = ["<!--" * n, "<a " * n, "</a " * n, "<?" * n, "<!x" * n, "<![CDATA[" * n, "<br>" * n + "</p>" * n]
+    assert len(content(pages, "plain_text")) == len(pages)
+    assert time.time() - started < 60
+
+
 def test_events_nest(spark):
     page = "<p>a<p>b</i><br><script>if (a</b>) x</script><i>c"
     rows = spark.createDataFrame([(page,)], "html string")
