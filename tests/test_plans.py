@@ -248,3 +248,73 @@ def test_hot_host_is_split_by_aqe(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_newest_capture_counts(spark):
+    rows = MINI + [
+        (11, f"{H}/docs/", 200, "text/html", '<a href="c">only c</a>'),
+        (12, f"{H}/docs/a", 404, "text/html", "gone"),
+        (13, f"{H}/docs/c#top", 200, "text/html", "old c"),
+    ]
+    times = {11: 50, 12: 60, 13: 1}
+    pages = _pages(spark, rows)
+    clock = F.lit(10)
+    for page_id, at in times.items():
+        clock = F.when(F.col("page_id") == page_id, at).otherwise(clock)
+    pages = pages.withColumn("captured_at", F.timestamp_seconds(clock))
+    seeds = _seeds(spark, f"{H}/docs/")
+    saved = crawl(seeds, pages)
+    ids = {r.url: r.page_id for r in saved.collect()}
+    assert ids == {f"{H}/docs/": 11, f"{H}/docs/c": 4}
+    maps = spark.createDataFrame(
+        [(f"{H}/docs/sitemap.xml", 200, "text/xml",
+          f"<urlset><url><loc>{H}/docs/a</loc></url><url><loc>{H}/docs/c</loc></url></urlset>")],
+        "url string, status int, content_type string, xml string",
+    )
+    listed = harvest(seeds, pages, maps, cfg=HarvestConfig(sitemap=True))
+    assert [(r.url, r.page_id) for r in listed.collect()] == [(f"{H}/docs/c", 4)]
+    rows = {r.out_path: r for r in export_rows(saved, pages).collect()}
+    assert "date_scraped: 50\n" in rows["docs/index.md"].content
+    assert rows["docs/c.md"].captured_at.timestamp() == 10
+
+
+def test_stream_state_has_a_watermark(spark, tmp_path):
+    source = str(tmp_path / "in")
+    pages = _pages(spark).withColumn("captured_at", F.timestamp_seconds("page_id"))
+    pages = pages.select("page_id", "url", "html", "captured_at")
+    pages.unionByName(pages).write.parquet(source)
+    schema = "page_id bigint, url string, html string, captured_at timestamp"
+    unique = stream_dedup(stream_pages(spark, source, schema), delay="1 hour").select("url")
+    query = (
+        unique.writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "check"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(u for _, u, *_ in MINI)
+
+
+def test_language_and_sitemap_options(spark):
+    rows = [(1, f"{H}/", 200, "text/html", '<a href="/en/a">a</a><a href="/fr/b">b</a>'),
+            (2, f"{H}/en/a", 200, "text/html", "a"), (3, f"{H}/fr/b", 200, "text/html", "b")]
+    pages, seeds = _pages(spark, rows), _seeds(spark, f"{H}/")
+    maps = spark.createDataFrame(
+        [(f"{H}/sitemap.xml", 200, "text/xml",
+          f"<urlset><url><loc>{H}/en/a</loc></url><url><loc>{H}/fr/b</loc></url>"
+          f"<url><loc>{H}/en/a</loc></url></urlset>")],
+        "url string, status int, content_type string, xml string",
+    )
+    robots = spark.createDataFrame(
+        [(H, 200, "User-agent: *\nDisallow: /fr")], "origin string, status int, body string")
+
+    def urls(**options):
+        cfg = HarvestConfig(sitemap=True, **options)
+        return sorted(r.url[len(H):] for r in harvest(seeds, pages, maps, robots, cfg).collect())
+
+    assert urls() == ["/en/a", "/fr/b"]
+    assert urls(distinct_sitemap_urls=False) == ["/en/a", "/en/a", "/fr/b"]
+    assert urls(lang="FR") == ["/fr/b"]
+    assert urls(sitemap_robots=True) == ["/en/a"]
+    assert urls(exclude="/en/", sitemap_patterns=True) == ["/fr/b"]
