@@ -92,6 +92,9 @@ class _Tokens(HTMLParser):
         super().reset()
         self.no_more_tags = self.no_more_comments = self.no_more_sections = False
 
+    def updatepos(self, i, j):
+        return j  # lines are not counted
+
     def _tag_never_ends(self, i):
         if not self.no_more_tags and self.rawdata.find(">", i) < 0:
             self.no_more_tags = True
@@ -127,16 +130,17 @@ class _Tokens(HTMLParser):
 
 
 class _EventBuilder(_Tokens):
-    """Appends the events of one page after another to one list per field."""
+    """Collects the events of one page after another."""
 
     def __init__(self, skip: tuple[str, ...]):
         super().__init__()
-        self.columns: list[list] = [[] for _ in EVENT]
+        self.rows: list[tuple] = []  # all fields but j
+        self.ends: list[int] = []  # j, which is known later for an open
         self.skip = frozenset(skip)
 
     def page(self, html: str) -> None:
         self.reset()
-        self.start = len(self.columns[0])
+        self.start = len(self.rows)
         self.stack: list[tuple[str, int, dict]] = []
         self.open_count: dict[str, int] = {}
         self.pieces: list[str] = []
@@ -155,34 +159,37 @@ class _EventBuilder(_Tokens):
             self.pop()
 
     def rollback(self) -> None:
-        for column in self.columns:
-            del column[self.start :]
+        del self.rows[self.start :], self.ends[self.start :]
 
     def emit(self, kind, tag=None, text=None, attrs=(), j=None, n=None, row=None, pre_no=None, stress=0):
-        here = len(self.columns[0]) - self.start
-        values = (
-            here,
-            here if j is None else j,
-            kind,
-            tag,
-            text,
-            attrs,
-            len(self.lists),
-            self.lists[-1][0] if self.lists else None,
-            n,
-            row,
-            self.quotes,
-            pre_no,
-            self.pres,
-            stress,
-            self.last_tag if stress == 2 else None,
-            self.links > 0,
-            self.head,
+        here = len(self.rows) - self.start
+        self.ends.append(here if j is None else j)
+        self.rows.append(
+            (
+                here,
+                kind,
+                tag,
+                text,
+                attrs,
+                len(self.lists),
+                self.lists[-1][0] if self.lists else None,
+                n,
+                row,
+                self.quotes,
+                pre_no,
+                self.pres,
+                stress,
+                self.last_tag if stress == 2 else None,
+                self.links > 0,
+                self.head,
+            )
         )
-        for column, value in zip(self.columns, values):
-            column.append(value)
         return here
 
+    def columns(self) -> list:
+        i, *rest = zip(*self.rows) if self.rows else [()] * (len(EVENT) - 1)
+        return [i, self.ends, *rest]
+
     def flush(self) -> None:
         if not self.pieces:
             return
@@ -262,7 +269,7 @@ class _EventBuilder(_Tokens):
             self.links -= 1
         kept = tuple(attrs.items()) if tag == "a" else ()
         here = self.emit("c", tag, attrs=kept, j=where, n=n, row=row)
-        self.columns[1][self.start + where] = here
+        self.ends[self.start + where] = here
         if tag in ("ul", "ol"):
             self.lists.pop()
 
@@ -318,7 +325,7 @@ CHUNK = 100_000
 def _packed(builder: _EventBuilder, errors: list, offsets: list[int]) -> pa.Array:
     fields = [
         pa.array(values, type=_ARROW[field.dataType])
-        for values, field in zip(builder.columns, EVENT)
+        for values, field in zip(builder.columns(), EVENT)
     ]
     events = pa.ListArray.from_arrays(
         pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, EVENT.names)
@@ -338,7 +345,7 @@ def _parse_batch(pages: pa.Array, skip: tuple[str, ...]) -> pa.Array:
                 builder.rollback()
                 error = f"{type(bad).__name__}: {bad}"
         errors.append(error)
-        offsets.append(len(builder.columns[0]))
+        offsets.append(len(builder.rows))
         if offsets[-1] > CHUNK:
             chunks.append(_packed(builder, errors, offsets))
             builder, errors, offsets = _EventBuilder(skip), [], [0]
