@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 # that is cheaper than a Unicode-aware ``\\s``. Goes inside a character class.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{SPACES}]"
+_OTHER_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,8 +53,10 @@ def where_has(text: Column, needles: tuple[str, ...], rule: Callable[[Column], C
 
 
 def one_blank(text: Column) -> Column:
-    """Every run of white space as one blank; single blanks are left alone."""
-    return F.regexp_replace(text, rf"[{SPACES}&&[^ ]]{WS}*+| {WS}++", " ")
+    """Every run of white space as one blank. A translation and a substring
+    search are several times cheaper than a regex over all characters."""
+    blanks = F.translate(text, _OTHER_SPACES, " " * len(_OTHER_SPACES))
+    return where_has(blanks, ("  ",), lambda t: F.regexp_replace(t, " {2,}", " "))
 
 
 def strip_ws(value: Column) -> Column:

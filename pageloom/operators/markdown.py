@@ -218,17 +218,20 @@ def _settle(joined: Column) -> Column:
         ),
     )
     text = F.regexp_replace(text, rf"{START}[ {pending}{START}]*+", "")
-    text = F.regexp_replace(text, rf" ++(?=[{pending}{BREAK}{QUOTE}])", "")
+    for mark in (PARA, LINE, ROW, BREAK, QUOTE):
+        text = F.replace(text, F.lit(f" {mark}"), F.lit(mark))
     text = where_has(
         text,
         (QUOTE,),
         # leaving a quote: what is pending belongs to the outer text
         passes((rf"[{pending}][ {pending}]*+({QUOTE}\d+{QUOTE_END}{PARA})", "$1")),
     )
-    text = F.regexp_replace(text, rf"[{LINE}{ROW}]*+{PARA}[ {pending}]*+", "\n\n")
+    text = where_has(text, (LINE, ROW), passes((rf"[{LINE}{ROW}]++(?={PARA})", "")))
+    text = F.regexp_replace(text, rf"{PARA}[ {pending}]*+", "\n\n")
     text = where_has(text, (ROW,), passes((rf"{LINE}*+{ROW}[ {LINE}{ROW}]*+", f"{SPACE}{SPACE}\n")))
     text = where_has(text, (LINE,), passes((rf"{LINE}[ {LINE}]*+", "\n")))
-    text = where_has(text, (BREAK,), passes((rf"{BREAK} *+", f"{SPACE}{SPACE}\n")))
+    text = F.replace(text, F.lit(f"{BREAK} "), F.lit(BREAK))
+    text = F.replace(text, F.lit(BREAK), F.lit(f"{SPACE}{SPACE}\n"))
     return where_has(F.rtrim(text, F.lit(f" \n{SPACE}")), (QUOTE,), _quote_lines)
 
 
