@@ -188,13 +188,21 @@ def _content_of(parsed: Column, fields: tuple[str, ...]) -> Column:
 def extract_content(
     pages: DataFrame, fields: tuple[str, ...] = CONTENT_FIELDS, html: str = "html"
 ) -> DataFrame:
-    """Replace ``html`` by the asked content fields and an ``error`` column."""
+    """Replace ``html`` by the asked content fields and an ``error`` column.
+
+    The always-true test on the row id keeps the optimizer from copying the whole
+    extraction into a filter on one of its fields and running it twice. Streams
+    have no such ids.
+    """
     kept = [c for c in pages.columns if c != html]
+    content = over(_content_of, "_parsed", fields=tuple(fields))
+    if not pages.isStreaming:
+        content = F.when(F.monotonically_increasing_id() >= 0, content)
     return (
         pages.select(*kept, parse_events(F.col(html), BOILERPLATE).alias("_parsed"))
         .select(
             *kept,
-            over(_content_of, "_parsed", fields=tuple(fields)).alias("_content"),
+            content.alias("_content"),
             F.col("_parsed.error").alias("error"),
         )
         .select(*kept, *[f"_content.{f}" for f in fields], "error")

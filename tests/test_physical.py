@@ -40,6 +40,14 @@ def test_pages_are_parsed_once_for_all_fields(spark):
     assert plan.count("ArrowEvalPython [") == 1 and "Exchange" not in plan
 
 
+def test_filters_on_content_do_not_repeat_the_extraction(spark):
+    from pageloom.operators.content import extract_content
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plan = _plan(extract_content(pages).filter("title <> '' AND size(code_blocks) > 0"))
+    assert plan.count("array_min(") == 1 and plan.count("ArrowEvalPython [") == 1
+
+
 def test_large_exports_join_content_not_html(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -318,3 +318,20 @@ def test_language_and_sitemap_options(spark):
     assert urls(lang="FR") == ["/fr/b"]
     assert urls(sitemap_robots=True) == ["/en/a"]
     assert urls(exclude="/en/", sitemap_patterns=True) == ["/fr/b"]
+
+
+def test_extraction_of_a_stream(spark, tmp_path):
+    from pageloom.operators.content import extract_content
+
+    source = str(tmp_path / "in")
+    _pages(spark).select("page_id", "url", "html").write.parquet(source)
+    found = extract_content(stream_pages(spark, source), ("plain_text",))
+    query = (
+        found.writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "check"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    texts = {r.page_id: r.plain_text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(texts) == len(MINI) and texts[5] == "x"
