@@ -65,14 +65,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all nodes share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def work_dir(spark: SparkSession, root: str | None = None) -> str:
+    """A new folder that all nodes share: below ``root`` if given, else below
+    ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Only a local session without any of them gets a folder of its own.
+    """
+    context = spark.sparkContext
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        chosen = context._jsc.sc().getCheckpointDir()
+        root = chosen.get() if chosen.isDefined() else None
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all nodes share")
         root = tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/pageloom/{uuid.uuid4().hex}"
 
 
