@@ -8,16 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.common import table
 from pageloom.llm.exact_dedup import exact_dedup
+from pageloom.llm.warc import read_archive, write_archive
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = write_archive(table(spark, sf_dir, "pages"), revisit_from=0)
+    records = read_archive(archive, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +35,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)
     """,
+    # Base 32: five hex digits are 20 bits, which are four letters.
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+        ),
+        f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+        SELECT page_id,
+            octet_length(encode(html))::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda g: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                (1 + ((('0x' || substr(hex, 5 * (g // 4) + 1, 5))::BIGINT >> (5 * (3 - g % 4))) & 31))::INT,
+                1)), '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM p JOIN f USING (html)
+    """,
 }
