@@ -51,7 +51,7 @@ class _Segments(dict):
             return buffer
         return np.concatenate([buffer, np.zeros_like(buffer, shape=(len(buffer), len(buffer[0]) + more))], 1)
 
-    def add(self, segments: set[str]) -> None:
+    def add(self, segments: list[str]) -> None:
         ids: list[int] = []
         begins: list[int] = []
         ends: list[int] = []
@@ -119,7 +119,7 @@ class Codec:
             out, begins, ends = normal.aligned(text)
         words = _SEGMENTS.findall(out)
         known = self.segments
-        if new := set(words).difference(known):
+        if new := [w for w in set(words) if w not in known]:
             known.add(new)
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         ids, first, last = known.pieces
