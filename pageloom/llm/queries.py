@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import table
 from pageloom.llm.exact_dedup import exact_dedup
+from pageloom.llm.near_dedup import near_dedup
 from pageloom.llm.piece_codec import encode_pieces
 from pageloom.llm.token_counts import token_counts
 from pageloom.llm.warc import read_archive, write_archive
@@ -28,6 +29,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), MODEL)
 
@@ -50,6 +55,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_warc": op10_warc,
