@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import table
 from pageloom.llm.exact_dedup import exact_dedup
+from pageloom.llm.language_id import language_id
 from pageloom.llm.near_dedup import near_dedup
 from pageloom.llm.piece_codec import encode_pieces
 from pageloom.llm.token_counts import token_counts
@@ -23,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), folds=3, held_out=1)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = write_archive(table(spark, sf_dir, "pages"), revisit_from=0)
     records = read_archive(archive, payload=False)
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
 

@@ -32,27 +32,28 @@ def slices(texts: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]
             yield texts.slice(begin, end - begin)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (A-Z lower-cased, cut at ASCII white space) of all texts in one
-    array, and where each text's words begin, with the end as last."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and bytes of each word (A-Z lower-cased, cut at ASCII white space) of all texts
+    in one array, and where each text's words begin, with the end as last."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     words, offsets = lists.values, lists.offsets.to_numpy()
     words = words.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
-    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    full = sizes > 0
     before = np.concatenate([[0], np.cumsum(full)])
     coded = words.dictionary_encode()
     seen = coded.dictionary.cast(pa.binary()).to_pylist()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
     codes = coded.indices.to_numpy()
-    return hashes[codes][full], before[offsets]
+    return hashes[codes][full], sizes[full], before[offsets]
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``words`` words. A text
     with fewer words has all of them as one run; one without words an empty set."""
     for part in slices(texts):
-        hashes, starts = word_hashes(part)
+        hashes, _, starts = word_hashes(part)
         runs = hashes.copy()
         for i in range(1, words):
             runs[:-i] = runs[:-i] * _STEP + hashes[i:]
