@@ -13,6 +13,7 @@ from pageloom.llm.exact_dedup import exact_dedup
 from pageloom.llm.language_id import language_id
 from pageloom.llm.near_dedup import near_dedup
 from pageloom.llm.piece_codec import encode_pieces
+from pageloom.llm.quality import quality
 from pageloom.llm.token_counts import token_counts
 from pageloom.llm.warc import read_archive, write_archive
 
@@ -34,6 +35,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
@@ -60,6 +65,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
