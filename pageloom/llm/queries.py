@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import table
 from pageloom.llm.exact_dedup import exact_dedup
 from pageloom.llm.language_id import language_id
+from pageloom.llm.mixing import mix_documents
 from pageloom.llm.near_dedup import near_dedup
 from pageloom.llm.piece_codec import encode_pieces
 from pageloom.llm.quality import quality
+from pageloom.llm.quotation import as_quoting, link_quotes
 from pageloom.llm.token_counts import token_counts
 from pageloom.llm.topk_search import top_k
 from pageloom.llm.warc import read_archive, write_archive
@@ -26,6 +28,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(as_quoting(table(spark, sf_dir, "conversations")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"), folds=3, held_out=1)
 
@@ -44,6 +50,11 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "tokens", "cell", "probability", "kept")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
@@ -72,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_topk_search": op3_topk_search,
+    "op4_mixing": op4_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_quotation_linking": op8_quotation_linking,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
@@ -102,6 +115,31 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, place::INT AS rank, vec_id, score FROM r WHERE place <= 5
     """,
+    # Quotes of turns are derived as in as_quoting; an original is the first equal text.
+    "op8_quotation_linking": """
+        WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        f AS (SELECT conv_id, text, min(turn) AS original FROM c GROUP BY conv_id, text),
+        q AS (
+            SELECT c.*, CASE WHEN c.turn % 4 = 3 THEN c.turn - 2 WHEN c.turn % 4 <> 0 THEN c.turn - 1 END AS quoted
+            FROM c
+        ),
+        r AS (
+            SELECT q.conv_id, q.turn, q.role, q.text, f.original IS NOT NULL AS by_quote,
+                coalesce(f.original, b.turn) AS reply_to
+            FROM q LEFT JOIN c o ON o.conv_id = q.conv_id AND o.turn = q.quoted
+            LEFT JOIN f ON f.conv_id = q.conv_id AND f.text = o.text
+            LEFT JOIN c b ON b.conv_id = q.conv_id AND b.turn = q.turn - 1
+        ),
+        t AS (
+            SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM r WHERE reply_to IS NULL
+            UNION ALL
+            SELECT r.conv_id, r.turn, t.thread, t.depth + 1 FROM r JOIN t
+            ON r.conv_id = t.conv_id AND r.reply_to = t.turn
+        )
+        SELECT r.conv_id, r.turn, r.role, r.text, r.reply_to, r.by_quote, t.thread, t.depth,
+            '<|' || coalesce(r.role, '') || '|>' || chr(10) || r.text AS formatted
+        FROM r JOIN t ON r.conv_id = t.conv_id AND r.turn = t.turn
+    """,
     # Base 32: five hex digits are 20 bits, which are four letters.
     "op10_warc": """
         WITH p AS (
