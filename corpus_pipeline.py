@@ -1,29 +1,73 @@
-"""Clean training corpus: the stages in order, each over all that the one before kept."""
+"""Clean training corpus: the stages in order, each over all that the one before kept.
+
+Every stage takes and returns the columns of documents, but the last, which returns the
+encoded documents. A row with NULL doc_id passes the copy stages by its text alone. Rows
+that repeat with id and text pass a stage together. Empty tables pass all stages.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import saved, table
 from pageloom.llm.exact_dedup import exact_dedup
+from pageloom.llm.language_id import fit_language, identify_language
+from pageloom.llm.mixing import mix_documents
+from pageloom.llm.near_dedup import near_dedup
+from pageloom.llm.piece_codec import encode_pieces
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def _only(docs: DataFrame, found: DataFrame, condition: str) -> DataFrame:
+    """The documents whose id has a row in ``found`` that meets the condition."""
+    ids = found.filter(condition).select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids._kept_id), "left_semi")
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of no known language, go."""
+    model = fit_language(docs, F.lit(True))
+    return identify_language(docs, model, keep=docs.columns).filter("accepted").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    return _only(docs, exact_dedup(docs), "kept")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles of five words, similarity 0.8, the smallest id stays."""
+    return _only(docs, near_dedup(docs, words=5, num=80, den=100), "kept")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target shares of source, language and topic."""
+    return mix_documents(docs).filter("kept").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, begins, ends, decoded and n_tokens of each document left."""
+    return encode_pieces(docs, MODEL).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
-    ("exact dedup", drop_exact_copies),
+    ("language_id", identify),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
 ]
 
+# Language identification and signatures are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return docs
+    """All stages over ``documents``; the result of each is written and read again."""
+    documents = table(spark, sf_dir, "documents")
+    return reduce(lambda docs, s: saved(s[1](spark, docs, sf_dir), s[0]), STAGES, documents)

@@ -177,11 +177,10 @@ def _scorer(shared):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    batch.column(2),
                     pa.array([model.labels[i] for i in best], pa.string()),
                     pa.array(share.max(axis=1), pa.float64()),
                 ],
-                names=["id", "letters", "lang", "score"],
+                names=["row", "lang", "score"],
             )
 
     return score
@@ -232,27 +231,30 @@ def fit_language(
 
 
 def identify_language(
-    docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    model: LanguageModel | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document: id, lang_pred, score (0 to 1) and accepted."""
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-    )
-    kind = rows.schema["id"].dataType.simpleString()
+    """One row per document: id, or the columns ``keep``, and lang_pred, score (0 to 1) and
+    accepted."""
+    keep = keep or [id_col]
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    rows = docs.select(F.struct(*[docs[c] for c in keep], letters).alias("row"), F.col(text_col).alias("text"))
     if model is None:
-        scored = rows.select("id", F.lit(False).alias("letters"), F.lit("").alias("lang"), F.lit(0.0).alias("score"))
-        threshold = 1.0
+        scored = rows.select("row", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"))
+        found, threshold = F.lit(False), 1.0
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        scored = rows.mapInArrow(_scorer(shared), f"id {kind}, letters boolean, lang string, score double")
-        threshold = model.threshold
+        kind = rows.schema["row"].dataType.simpleString()
+        scored = rows.mapInArrow(_scorer(shared), f"row {kind}, lang string, score double")
+        found, threshold = F.col("row.letters"), model.threshold
     return scored.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("letters"), F.col("lang")).otherwise("und").alias("lang_pred"),
-        F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"),
-        (F.col("letters") & (F.col("score") >= threshold)).alias("accepted"),
+        *[F.col("row")[c].alias(c) for c in keep],
+        F.when(found, F.col("lang")).otherwise("und").alias("lang_pred"),
+        F.when(found, F.col("score")).otherwise(0.0).alias("score"),
+        (found & (F.col("score") >= threshold)).alias("accepted"),
     )
 
 
