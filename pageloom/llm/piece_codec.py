@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.piece_machine import Transducer
+from pageloom.llm.piece_machine import Transducer, few_collections
 from pageloom.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, load
 from pageloom.llm.piece_normaliser import Normaliser, normaliser
 
@@ -40,8 +40,8 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class _Segments(dict):
     """Segment -> code; what the segments encode to lies in arrays that double."""
 
-    def __init__(self, model: PieceModel, machine: Transducer):
-        self.machine, self.model = machine, model
+    def __init__(self, machine: Transducer):
+        self.machine = machine
         self.pieces = np.zeros((3, 1 << 16), np.int32)  # id, begin, end (in characters)
         self.slices = np.zeros((2, 1 << 14), np.int64)  # first piece, number of pieces
         self.used = 0
@@ -53,25 +53,20 @@ class _Segments(dict):
 
     def add(self, segments: list[str]) -> None:
         ids: list[int] = []
-        begins: list[int] = []
-        ends: list[int] = []
-        sizes: list[int] = []
-        known, machine, byte_ids = self.model.ids, self.machine, self.model.byte_ids
-        code = len(self)
+        sizes: list[int] = []  # in characters
+        cuts = [0]
+        code, encode = len(self), self.machine.encode
         for segment in segments:
-            self[segment] = code + len(sizes)
-            at, before = 0, len(ids)
-            for piece in machine.pieces(segment):
-                end = at + len(piece)
-                id_ = known.get(piece)
-                own = [id_] if id_ is not None else [byte_ids[b] for b in piece.encode()]
-                ids += own
-                begins += [at] * len(own)
-                ends += [end] * len(own)
-                at = end
-            sizes.append(len(ids) - before)
+            self[segment] = code + len(cuts) - 1
+            encode(segment, ids, sizes)
+            cuts.append(len(ids))
+        size, first = np.array(sizes, np.int64), np.array(cuts, np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        begins = ends[:-1] - np.repeat(ends[first[:-1]], np.diff(first))
         self.pieces = self._room(self.pieces, len(ids), self.used)
-        self.pieces[:, self.used : self.used + len(ids)] = ids, begins, ends
+        # Bytes of a character lie at the place of that character.
+        self.pieces[:, self.used : self.used + len(ids)] = ids, begins, begins + np.maximum(size, 1)
+        sizes = np.diff(first)
         self.slices = self._room(self.slices, len(sizes), code)
         self.slices[1, code : code + len(sizes)] = sizes
         self.slices[0, code : code + len(sizes)] = self.used + np.cumsum(sizes) - sizes
@@ -79,10 +74,10 @@ class _Segments(dict):
 
 
 class Codec:
-    def __init__(self, model: PieceModel, normal: Normaliser, most_segments: int = 100_000):
+    def __init__(self, model: PieceModel, normal: Normaliser, most_segments: int = 400_000):
         self.model, self.normal, self.most_segments = model, normal, most_segments
         self.machine = Transducer(model)
-        self.segments = _Segments(model, self.machine)
+        self.segments = _Segments(self.machine)
         surfaces = []
         for i, (piece, kind) in enumerate(zip(model.pieces, model.types)):
             if kind == BYTE:
@@ -100,7 +95,7 @@ class Codec:
         """Ids and the begin and end byte of each piece in the text."""
         self.machine.tidy()
         if len(self.segments) > self.most_segments:
-            self.segments = _Segments(self.model, self.machine)
+            self.segments = _Segments(self.machine)
         normal = self.normal
         plain = not normal.units and not normal.trim
         if plain:
@@ -176,7 +171,8 @@ def _encoder(path: str, most_tokens: int):
         for batch in batches:
             begun, tokens, rows = 0, 0, []
             for i in range(batch.num_rows):
-                found = tool.encode(batch.column(1)[i].as_py() or "")
+                with few_collections():
+                    found = tool.encode(batch.column(1)[i].as_py() or "")
                 rows.append((*found, tool.decode(found[0])))
                 tokens += len(found[0])
                 if tokens >= most_tokens or i == batch.num_rows - 1:

@@ -6,8 +6,7 @@ begin, the piece that ends there and how many pieces the text up to there makes,
 relative to the newest count. That is bounded by the longest piece, so there are
 finitely many states. A transition reads one character and carries the change in the
 number of emitted tokens (a merge makes it negative). States and transitions are
-compiled when first met and kept in a table of bounded size; dropping the table changes
-no result.
+compiled when first met and kept up to a bound; dropping them changes no result.
 
 The piece that ends at a new position follows from the state: of all pieces that
 end there, it is the one whose predecessor piece stays apart from it, i.e. the two
@@ -19,16 +18,52 @@ leads back to the start, whatever came before.
 
 from __future__ import annotations
 
+import gc
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pageloom.llm.piece_model import SPACE, PieceModel, merged
 
 _SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-START = 0
+
+
+@contextmanager
+def few_collections() -> Iterator[None]:
+    """Holds Python's cycle collector back: it would walk all states again and again.
+    Reference counts free everything else; dropped states are collected at once."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+class State(dict):
+    """Character -> (next state, change of the count); compiled when first asked for.
+
+    ``text`` is the end of the text that matters. ``places`` has for each place in it None
+    or (piece that ends there, tokens up to there less those so far), where an empty piece
+    marks the start. ``ids`` and ``size`` tell the piece that ends here.
+    """
+
+    __slots__ = ("machine", "text", "places", "ids", "size")
+
+    def __init__(self, machine: Transducer, text: str, places: tuple):
+        self.machine, self.text, self.places = machine, text, places
+        piece = places[-1][0]
+        self.size = max(1, len(piece))
+        self.ids = (machine.model.ids[piece],) if piece else ()
+
+    def __missing__(self, char: str) -> tuple[State, int]:
+        step = self[char] = self.machine.step(self, char)
+        return step
 
 
 class Transducer:
-    """Deterministic; state 0 is the start and the state after an unknown character."""
+    """Deterministic; the start is also the state after an unknown character."""
 
     def __init__(self, model: PieceModel, most_states: int = 200_000):
         self.model, self.most_states = model, most_states
@@ -38,13 +73,9 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # End of the text, and for each place in it None or (piece that ends there,
-        # tokens up to there less those so far). An empty piece marks the start.
-        start = ("", (("", 0),))
-        self.states: list[tuple[str, tuple]] = [start]
-        self.state_of: dict[tuple, int] = {start: START}
-        self.edges: list[dict[str, tuple[int, int]]] = [{}]
-        self.words: dict[str, tuple[int, int]] = {}
+        self.start = State(self, "", (("", 0),))
+        self.states: dict[tuple, State] = {("", (("", 0),)): self.start}
+        self.words: dict[str, tuple[State, int]] = {}
 
     def _stays_whole(self, piece: str) -> bool:
         if piece not in self._whole:
@@ -59,14 +90,14 @@ class Transducer:
             self._apart[key] = merged(self.model, left + right) == [left, right]
         return self._apart[key]
 
-    def _compile(self, state: int, char: str) -> tuple[int, int]:
+    def step(self, state: State, char: str) -> tuple[State, int]:
         """Next state and change of the count."""
         known, prefixes = self.model.scores, self.prefixes
         if char not in known:
-            return START, len(char.encode())
-        text, places = self.states[state]
-        if char == SPACE and not text.endswith(SPACE):
-            text, places = self.states[START]
+            return self.start, len(char.encode())
+        if char == SPACE and not state.text.endswith(SPACE):
+            state = self.start
+        text, places = state.text, state.places
         for i, place in enumerate(places):
             piece = text[i:] + char
             if place is None or piece not in known:
@@ -83,47 +114,44 @@ class Transducer:
         ]
         begin = next(i for i in range(len(text) + 1) if text[i:] in prefixes)
         found = (text[begin:], (*kept[begin:], (piece, 0)))
-        if found not in self.state_of:
-            self.state_of[found] = len(self.states)
-            self.states.append(found)
-            self.edges.append({})
-        return self.state_of[found], count
+        if found not in self.states:
+            self.states[found] = State(self, *found)
+        return self.states[found], count
 
-    def run(self, state: int, text: str) -> tuple[int, int]:
+    def run(self, state: State, text: str) -> tuple[State, int]:
         """State and tokens after ``text``."""
-        total, edges = 0, self.edges
+        total = 0
         for char in text:
-            step = edges[state].get(char)
-            if step is None:
-                step = edges[state][char] = self._compile(state, char)
-            state = step[0]
-            total += step[1]
+            state, more = state[char]
+            total += more
         return state, total
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a segment: from its end, each state tells the piece that ends there."""
-        edges, state, ends = self.edges, START, []
-        for char in text:
-            step = edges[state].get(char)
-            if step is None:
-                step = edges[state][char] = self._compile(state, char)
-            state = step[0]
-            ends.append(state)
-        out, at = [], len(text)
-        while at:
-            state = ends[at - 1]
-            piece = self.states[state][1][-1][0] or text[at - 1]
-            out.append(piece)
-            at -= len(piece)
-        return out[::-1]
-
-    def word(self, text: str) -> tuple[int, int]:
+    def encode(self, text: str, ids: list[int], sizes: list[int]) -> None:
+        """Appends the ids of a segment and their characters. Of the bytes of an unknown
+        character all but the last have none."""
+        state = self.start
+        path = [state := state[char][0] for char in text]
+        at, found = len(text), []
+        while at:  # from the end, each state tells the piece that ends there
+            state = path[at - 1]
+            found.append(state if state.ids else text[at - 1])
+            at -= state.size
+        for piece in reversed(found):
+            if isinstance(piece, str):
+                own = [self.model.byte_ids[b] for b in piece.encode()]
+                ids += own
+                sizes += [0] * (len(own) - 1) + [1]
+            else:
+                ids += piece.ids
+                sizes.append(piece.size)
+
+    def word(self, text: str) -> tuple[State, int]:
         found = self.words.get(text)
         if found is None:
-            found = self.words[text] = self.run(START, text)
+            found = self.words[text] = self.run(self.start, text)
         return found
 
-    def chunk(self, text: str) -> tuple[str, int | None, int]:
+    def chunk(self, text: str) -> tuple[str, State | None, int]:
         """Map of a chunk: characters before the first return to the start, the state at
         its end (None without a return) and the tokens after the head."""
         head, *rest = _SEGMENTS.findall(text) or [""]
@@ -136,7 +164,7 @@ class Transducer:
             total += found[1]
         return head, found[0], total
 
-    def compose(self, a: tuple, b: tuple) -> tuple[str, int | None, int]:
+    def compose(self, a: tuple, b: tuple) -> tuple[str, State | None, int]:
         """The map of two neighbouring chunks."""
         if a[1] is None:
             return a[0] + b[0], b[1], b[2]
@@ -147,6 +175,7 @@ class Transducer:
         """Between texts: holds the tables to their bounds."""
         if len(self.states) > self.most_states:
             self._reset()
+            gc.collect()
         elif len(self.words) > self.most_states // 2:
             self.words.clear()
 

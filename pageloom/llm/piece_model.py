@@ -133,8 +133,3 @@ def merged(model: PieceModel, text: str) -> list[str]:
             offer(before[left], left)
     return [p for p in parts if p]
 
-
-def piece_ids(model: PieceModel, piece: str) -> list[int]:
-    """Id of a piece, or those of its bytes if it is none."""
-    known = model.ids.get(piece)
-    return [known] if known is not None else [model.byte_ids[b] for b in piece.encode()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.piece_machine import Transducer
+from pageloom.llm.piece_machine import Transducer, few_collections
 from pageloom.llm.piece_model import load
 from pageloom.llm.piece_normaliser import normaliser
 
@@ -33,9 +33,10 @@ def _counter(path: str, chunk_chars: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, normal = transducer(path), normaliser(path)
         for batch in batches:
-            counts = [
-                machine.count(normal.text(text.as_py() or ""), chunk_chars) for text in batch.column(1)
-            ]
+            with few_collections():
+                counts = [
+                    machine.count(normal.text(text.as_py() or ""), chunk_chars) for text in batch.column(1)
+                ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64())],
                 names=["id", "n_bytes", "n_tokens"],
