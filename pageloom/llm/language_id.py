@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.byte_windows import text_bytes, windows
-from pageloom.llm.common import fold
+from pageloom.llm.common import fold, over_batches
 
 _SIZES = (2, 3, 4)
 _BORDER = 32
@@ -222,8 +222,8 @@ def fit_language(
         texts.join(F.broadcast(chosen), ["id", "label"], "left_semi")
         .limit(rows_per_label * most_labels)
         .select("label", "text")
-        .mapInArrow(_counter(bits), "label string, buckets array<int>, counts array<long>")
     )
+    counted = over_batches(counted, _counter(bits), "label string, buckets array<int>, counts array<long>")
     found = [(r[0], np.array(r[1], np.int64), np.array(r[2])) for r in counted.toLocalIterator()]
     found.sort(key=lambda r: (r[0], len(r[1]), int(r[2].sum()), r[1].tobytes()))
     order = np.random.default_rng(3).permutation(len(found))
@@ -248,7 +248,7 @@ def identify_language(
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
         kind = rows.schema["row"].dataType.simpleString()
-        scored = rows.mapInArrow(_scorer(shared), f"row {kind}, lang string, score double")
+        scored = over_batches(rows, _scorer(shared), f"row {kind}, lang string, score double")
         found, threshold = F.col("row.letters"), model.threshold
     return scored.select(
         *[F.col("row")[c].alias(c) for c in keep],

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import over_batches
 from pageloom.llm.piece_machine import Transducer, few_collections
 from pageloom.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, load
 from pageloom.llm.piece_normaliser import Normaliser, normaliser
@@ -204,7 +205,8 @@ def encode_pieces(
     size of what a task hands over at once."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(
+    return over_batches(
+        rows,
         _encoder(model_path, most_tokens),
         f"id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string",
     ).withColumnRenamed("id", id_col)

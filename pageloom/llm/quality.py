@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.byte_windows import text_bytes, windows
-from pageloom.llm.common import fold
+from pageloom.llm.common import fold, over_batches
 from pageloom.llm.shingles import slices, word_hashes
 
 # Byte classes whose shares are features.
@@ -252,9 +252,8 @@ def fit_quality(
         texts.join(F.broadcast(chosen), "id")
         .limit(sample_rows)
         .select("label", "text")
-        .mapInArrow(_featurer, "label double, x array<double>")
-        .toArrow()
     )
+    found = over_batches(found, _featurer, "label double, x array<double>").toArrow()
     y = found.column(0).to_numpy()
     x = np.array(found.column(1).to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in
@@ -280,7 +279,7 @@ def score_quality(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scorer(shared), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return over_batches(rows, _scorer(shared), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def quality(

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import over_batches
 from pageloom.session import work_dir, written
 
 _MARKS = re.compile(r"[ \t]?(?:>[ \t]?)+")
@@ -103,12 +104,16 @@ def link_quotes(
     to read a conversation in reply order."""
     folder = work_dir(messages.sparkSession)
     key = "array<struct<level:int,size:long,hash:long>>"
-    rows = messages.select(
-        F.col(conv_col).cast("long").alias("conv"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.col(role_col).alias("role"),
-        F.col(text_col).alias("text"),
-    ).mapInArrow(_parse, f"conv long, turn long, role string, text string, own {key}, quotes {key}")
+    rows = over_batches(
+        messages.select(
+            F.col(conv_col).cast("long").alias("conv"),
+            F.col(turn_col).cast("long").alias("turn"),
+            F.col(role_col).alias("role"),
+            F.col(text_col).alias("text"),
+        ),
+        _parse,
+        f"conv long, turn long, role string, text string, own {key}, quotes {key}",
+    )
     rows = written(rows, f"{folder}/parsed")
     known = rows.filter("conv is not null and turn is not null")
     first = (

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import over_batches
 from pageloom.llm.piece_machine import Transducer, few_collections
 from pageloom.llm.piece_model import load
 from pageloom.llm.piece_normaliser import normaliser
@@ -59,8 +60,8 @@ def token_counts(
         F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(
-        _counter(model_path, chunk_chars), f"id {kind}, n_bytes long, n_tokens long"
+    counted = over_batches(
+        rows, _counter(model_path, chunk_chars), f"id {kind}, n_bytes long, n_tokens long"
     )
     return counted.select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import over_batches
+
 BLOCK = "ids binary, bounds binary, places binary, weights binary"
 _BLOCK = pa.schema([(n, pa.binary()) for n in ("ids", "bounds", "places", "weights")])
 _PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -194,20 +196,20 @@ def top_k(
         2 * spark.sparkContext.defaultParallelism, math.ceil(candidates / (16 * candidate_block))
     )
     block = F.struct("ids", "bounds", "places", "weights")
-    right = rows.mapInArrow(_blocker(candidate_block, True), BLOCK).select(
+    right = over_batches(rows, _blocker(candidate_block, True), BLOCK).select(
         F.pmod(F.xxhash64("ids"), F.lit(columns)).alias("column"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lines - 1).cast("long"))).alias("line"),
         block.alias("c"),
     )
-    left = asked.repartition(max(1, math.ceil(queries / query_block))).mapInArrow(
-        _blocker(query_block, False), BLOCK
+    left = over_batches(
+        asked.repartition(max(1, math.ceil(queries / query_block))), _blocker(query_block, False), BLOCK
     ).select(
         F.pmod(F.xxhash64("ids"), F.lit(lines)).alias("line"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).alias("column"),
         block.alias("q"),
     )
     pairs = left.join(right, ["line", "column"]).select("q", "c")
-    found = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    found = over_batches(pairs, _searcher(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -36,6 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import over_batches
 from pageloom.session import work_dir, written
 
 # Fixed values of the seekable format and of WARC 1.1.
@@ -239,9 +240,8 @@ def write_archive(
     store, root = _store(folder)
     store.create_dir(f"{root}/bundles", recursive=True)
     rows = with_response(pages, id_col, url_col, payload_col, revisit_from)
-    index = rows.mapInArrow(
-        _writer(f"{folder}/bundles", frame_bytes, bundle_bytes, level, date), INDEX_SCHEMA
-    )
+    writer = _writer(f"{folder}/bundles", frame_bytes, bundle_bytes, level, date)
+    index = over_batches(rows, writer, INDEX_SCHEMA)
     return Archive(folder, written(index, f"{folder}/index"))
 
 
@@ -315,7 +315,7 @@ def _reader(folder: str, payload: bool):
 def read_archive(archive: Archive, payload: bool = True) -> DataFrame:
     """All records, bundle by bundle and frame by frame; digests are checked."""
     bundles = archive.index.select("bundle").distinct()
-    return bundles.mapInArrow(_reader(f"{archive.folder}/bundles", payload), RECORD_SCHEMA)
+    return over_batches(bundles, _reader(f"{archive.folder}/bundles", payload), RECORD_SCHEMA)
 
 
 def _fetcher(folder: str):
@@ -334,4 +334,4 @@ def fetch_records(archive: Archive, wanted: DataFrame) -> DataFrame:
     """Random access: the records whose record_id is in ``wanted``, one frame read for each."""
     rows = archive.index.join(wanted.select("record_id").distinct(), "record_id", "left_semi")
     rows = rows.dropDuplicates(["record_id"]).select("bundle", "frame", "offset")
-    return rows.mapInArrow(_fetcher(f"{archive.folder}/bundles"), RECORD_SCHEMA)
+    return over_batches(rows, _fetcher(f"{archive.folder}/bundles"), RECORD_SCHEMA)
