@@ -30,14 +30,17 @@ from pageloom.operators.joins import first_by_hash, scope_join
 from pageloom.plans.crawl import crawl
 from pageloom.plans.export import (
     changed_rows,
+    diff_status,
     export_rows,
     planned_writes,
     raw_html_rows,
     write_export,
 )
 from pageloom.plans.harvest import harvest, sitemap_harvest
+from pageloom.schemas import PAGES, PAGES_FULL
 from pageloom.session import spread, work_dir
 from pageloom.sources import sitemaps as S
+from pageloom.sources.exports import read_export
 from pageloom.streaming.captures import stream_dedup, stream_diff_export, stream_pages
 
 _DOC = f"origin || '/sitemap-' || (page_id // {LOCS}) || '.xml'"
@@ -114,8 +117,13 @@ def sitemap_harvest_query(spark, sf_dir):
 _STEP = "x.n IN (2 * r.n, 2 * r.n + 1, r.n + 1)"
 
 
-def _reach(depth: int, where: str = "true", sites: str = "true") -> str:
-    """Pages of the derived graph by least depth."""
+# Page n is reached over its halves, so its depth is below its number of bits.
+BITS = "(SELECT 1 + floor(log2(max(n))) FROM g)"
+UNLIMITED = HarvestConfig(max_pages=None)
+
+
+def _reach(depth: str, where: str = "true", sites: str = "true") -> str:
+    """Pages of the derived graph by least depth, which is at most ``depth``."""
     return f"""r(site, n, d) AS (
       SELECT site, n, 0 FROM g WHERE n = 1 AND {sites}
       UNION SELECT r.site, x.n, d + 1 FROM r JOIN g x ON x.site = r.site AND {_STEP}
@@ -125,11 +133,11 @@ def _reach(depth: int, where: str = "true", sites: str = "true") -> str:
 
 @query(
     "bfs_depth",
-    f"""WITH RECURSIVE {GRAPH_SQL}, {_reach(20)}
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_reach(BITS)}
     SELECT seed, url, depth::BIGINT AS depth FROM least JOIN g USING (site, n)""",
 )
 def bfs_depth(spark, sf_dir):
-    saved = crawl(graph_seeds(spark, sf_dir), graph_pages(spark, sf_dir))
+    saved = crawl(graph_seeds(spark, sf_dir), graph_pages(spark, sf_dir), cfg=UNLIMITED)
     return saved.select("seed", "url", F.col("depth").cast("bigint").alias("depth"))
 
 
@@ -144,19 +152,37 @@ def _graph_robots(spark, sf_dir):
 @query(
     "crawl_filters",
     f"""WITH RECURSIVE {GRAPH_SQL}, {_reach(
-        4,
+        "4",
         "NOT (starts_with(x.n::VARCHAR, '6') AND NOT starts_with(x.n::VARCHAR, '60')) "
         "AND x.n NOT IN (5, 11)")}
     SELECT seed, url, depth::BIGINT AS depth FROM least JOIN g USING (site, n)""",
 )
 def crawl_filters(spark, sf_dir):
-    cfg = HarvestConfig(depth=4, include=r"^https://s\d\.", exclude=r"/d/(5|11)$")
+    cfg = HarvestConfig(max_pages=None, depth=4, include=r"^https://s\d\.", exclude=r"/d/(5|11)$")
+    saved = crawl(
+        graph_seeds(spark, sf_dir), graph_pages(spark, sf_dir), _graph_robots(spark, sf_dir), cfg
+    )
+    return saved.select("seed", "url", F.col("depth").cast("bigint").alias("depth"))
+
+
+@query(
+    "crawl_rules",
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_reach(
+        "(SELECT max(n) FROM g)",
+        "NOT (starts_with(x.n::VARCHAR, '6') AND NOT starts_with(x.n::VARCHAR, '60')) "
+        "AND x.n NOT IN (5, 11)")}
+    SELECT seed, url, depth::BIGINT AS depth FROM least JOIN g USING (site, n)""",
+)
+def crawl_rules(spark, sf_dir):
+    """P3, P4 on whole sites; a page behind refused ones may lie deep."""
+    cfg = HarvestConfig(max_pages=None, include=r"^https://s\d\.", exclude=r"/d/(5|11)$")
     saved = crawl(
         graph_seeds(spark, sf_dir), graph_pages(spark, sf_dir), _graph_robots(spark, sf_dir), cfg
     )
     return saved.select("seed", "url", F.col("depth").cast("bigint").alias("depth"))
 
 
+# Six pages of a site lie less than four levels deep.
 @query(
     "crawl_max_pages",
     f"""WITH RECURSIVE {GRAPH_SQL}, r(site, n, d, path) AS (
@@ -171,7 +197,7 @@ def crawl_filters(spark, sf_dir):
     SELECT seed, url, depth::BIGINT AS depth FROM saved JOIN g USING (site, n) WHERE k <= 6""",
 )
 def crawl_max_pages(spark, sf_dir):
-    cfg = HarvestConfig(depth=4, max_pages=6)
+    cfg = HarvestConfig(max_pages=6)
     saved = crawl(graph_seeds(spark, sf_dir), graph_pages(spark, sf_dir), cfg=cfg)
     return saved.select("seed", "url", F.col("depth").cast("bigint").alias("depth"))
 
@@ -222,7 +248,7 @@ def first_seen_query(spark, sf_dir):
 
 @query(
     "harvest_routes",
-    f"""WITH RECURSIVE {GRAPH_SQL}, {_reach(3, sites="site % 2 = 1")}
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_reach(BITS, sites="site % 2 = 1")}
     SELECT 'sitemap' AS route, seed, count(*) AS pages FROM g WHERE site % 2 = 0 GROUP BY ALL
     UNION ALL SELECT 'crawl', seed, count(*) FROM least JOIN g USING (site, n) GROUP BY ALL""",
 )
@@ -241,7 +267,7 @@ def harvest_routes(spark, sf_dir):
         graph_seeds(spark, sf_dir),
         captured,
         maps,
-        cfg=HarvestConfig(sitemap=True, depth=3),
+        cfg=HarvestConfig(sitemap=True, max_pages=None),
     )
     return saved.groupBy("route", "seed").agg(F.count("*").alias("pages"))
 
@@ -252,7 +278,6 @@ def _saved(spark, sf_dir):
         pages(spark, sf_dir).select("page_id", "url"),
         seeds(spark, sf_dir),
         scope="seed",
-        directories_only=True,
     ).select(
         "seed_id",
         "seed",
@@ -326,7 +351,9 @@ def export_tree(spark, sf_dir):
       sha1(html) AS sha1 FROM won JOIN pages USING (page_id)""",
 )
 def raw_html_sidecar(spark, sf_dir):
-    rows = raw_html_rows(_export(spark, sf_dir, "txt", save_html=True))
+    rows = raw_html_rows(
+        _saved(spark, sf_dir), pages(spark, sf_dir), HarvestConfig(format="txt", save_html=True)
+    )
     return rows.select("domain", "out_path", F.sha1("content").alias("sha1"))
 
 
@@ -351,35 +378,132 @@ def diff_skip(spark, sf_dir):
     return changed_rows(current, previous).select("domain", "out_path")
 
 
+@query(
+    "previous_export",
+    f"""WITH {PLACED}, c AS (SELECT domain, out_path, max(page_id) AS page_id FROM w GROUP BY ALL)
+    SELECT domain, replace(out_path, '.md', '.txt') AS out_path, CASE
+      WHEN page_id % 10 = 3 THEN 'missing' WHEN page_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status
+    FROM c""",
+)
+def previous_export(spark, sf_dir):
+    """A stored export against one in which texts have changed or gone."""
+    path = f"{work_dir(spark)}/export"
+    saved = placed(spark, sf_dir).select("domain", "out_path", "page_id", "url")
+    last = last_write_wins(saved, order="page_id").withColumns(
+        {
+            "out_path": F.replace("out_path", F.lit(".md"), F.lit(".txt")),
+            "format": F.lit("txt"),
+            "title": F.lit(""),
+            "content": F.concat(F.lit("text of "), "url"),
+            "captured_at": F.lit(None).cast("timestamp"),
+        }
+    )
+    stored = last.withColumn("content_sha1", content_sha1(F.col("content")))
+    write_export(stored.drop("page_id"), path)
+    edited = F.when(F.col("page_id") % 5 == 0, "new text").otherwise(F.col("content"))
+    current = last.filter("page_id % 10 <> 3").withColumn("content_sha1", content_sha1(edited))
+    return diff_status(current, read_export(spark, path)).select("domain", "out_path", "status")
+
+
+@query(
+    "sitemap_gate",
+    rf"""WITH {PARTS} SELECT {_DOC} AS sitemap_url, count(*) AS urls FROM p
+    WHERE length(authority) % 3 <> 0 AND length(authority) % 4 <> 0 GROUP BY ALL""",
+)
+def sitemap_gate(spark, sf_dir):
+    """Documents that were refused or are not XML list nothing."""
+    docs = sitemaps(spark, sf_dir)
+    host = F.length(F.regexp_extract("url", "^https?://([^/]*)", 1))
+    docs = docs.filter(~F.col("url").endswith("/sitemap.xml")).withColumns(
+        {
+            "status": F.when(host % 3 == 0, 404).otherwise(200),
+            "content_type": F.when(host % 4 == 0, "text/html").otherwise(F.col("content_type")),
+        }
+    )
+    return S.listed_urls(docs).groupBy("sitemap_url").agg(F.count("*").alias("urls"))
+
+
+def _run(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 @query("stream_dedup", "SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages")
 def stream_dedup_query(spark, sf_dir):
-    """ST1: one run over the captures, as a stream of files."""
+    """ST1: the captures and copies of them, file by file in batches of their own."""
     folder = work_dir(spark)
-    unique = stream_dedup(stream_pages(spark, f"{sf_dir}/pages*.parquet")).select("url")
-    run = (
+    rows = pages(spark, sf_dir)
+    for part in (rows.filter("page_id % 2 = 0"), rows, rows.filter("page_id % 3 = 0")):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    found = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    unique = stream_dedup(found).select("url")
+    _run(
         unique.writeStream.format("parquet")
         .option("path", f"{folder}/urls")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
     )
-    run.awaitTermination()
     return spark.read.schema("url string").parquet(f"{folder}/urls")
 
 
+# Two waves of captures of the given addresses. Of the second, ids leave modulo 5: 0 new
+# pages, 1 unchanged, 2 changed, 3 refused, 4 changed but captured before the first wave.
+_WAVES = """waves AS (
+  SELECT 0 AS batch, page_id, 'page ' || page_id || ' one' AS content, 200 AS status, 10 AS moment
+  FROM pages WHERE page_id % 5 <> 0
+  UNION ALL SELECT 1, page_id + 1000000000,
+    CASE WHEN page_id % 5 = 1 THEN 'page ' || page_id || ' one' ELSE 'page ' || page_id || ' two' END,
+    CASE WHEN page_id % 5 = 3 THEN 404 ELSE 200 END, CASE WHEN page_id % 5 = 4 THEN 5 ELSE 20 END
+  FROM pages)"""
+
+
+def _waves(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", "url", (F.col("page_id") % 5).alias("kind"))
+
+    def capture(name, version, status, at):
+        text = F.concat(F.lit("page "), F.col("page_id"), version)
+        return rows.select(
+            (F.col("page_id") + name).alias("page_id"),
+            "url",
+            F.concat(F.lit("<html><body><article>"), text, F.lit("</article></body></html>")).alias("html"),
+            F.lit(status).alias("status") if isinstance(status, int) else status.alias("status"),
+            F.lit("text/html").alias("content_type"),
+            F.timestamp_seconds(at).alias("captured_at"),
+            "kind",
+        )
+
+    second = F.when(F.col("kind") == 1, " one").otherwise(" two")
+    refused = F.when(F.col("kind") == 3, 404).otherwise(200)
+    return (
+        capture(0, F.lit(" one"), 200, F.lit(10)).filter("kind <> 0").drop("kind"),
+        capture(10**9, second, refused, F.when(F.col("kind") == 4, 5).otherwise(20)).drop("kind"),
+    )
+
+
 @query(
     "stream_diff_export",
-    f"WITH {PLACED} SELECT DISTINCT domain, out_path FROM w",
+    f"""WITH {PLACED}, {_WAVES},
+    f AS (SELECT origin, min(page_id) AS seed_id FROM w GROUP BY origin),
+    c AS (SELECT v.*, w.domain, replace(w.out_path, '.md', '.txt') AS out_path, w.page_url, f.seed_id
+      FROM waves v JOIN w ON w.page_id = v.page_id % 1000000000 JOIN f USING (origin)),
+    u AS (SELECT * FROM c
+      QUALIFY row_number() OVER (PARTITION BY batch, page_url ORDER BY moment DESC, page_id DESC) = 1),
+    k AS (SELECT * FROM u WHERE status = 200 QUALIFY row_number() OVER (
+      PARTITION BY batch, domain, out_path ORDER BY seed_id DESC, moment DESC, page_id DESC) = 1)
+    SELECT n.batch::INT AS batch_id, n.domain, n.out_path, n.content FROM k n
+    LEFT JOIN k o ON n.batch = 1 AND o.batch = 0 AND o.domain = n.domain AND o.out_path = n.out_path
+    WHERE o.page_id IS NULL OR (n.moment >= o.moment AND n.content <> o.content)""",
 )
 def stream_diff_export_query(spark, sf_dir):
-    """ST2: first run over the captures; everything is new."""
+    """ST2: new, unchanged, changed, refused and late captures after a first wave."""
     folder = work_dir(spark)
-    run = stream_diff_export(
-        stream_pages(spark, f"{sf_dir}/pages*.parquet"),
-        seeds(spark, sf_dir),
-        f"{folder}/export",
-        f"{folder}/checkpoint",
-        HarvestConfig(),
-    ).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{folder}/export").select("domain", "out_path")
+    schema = PAGES_FULL
+    for wave in _waves(spark, sf_dir):
+        wave.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream_diff_export(
+            stream_pages(spark, f"{folder}/in", schema),
+            seeds(spark, sf_dir),
+            f"{folder}/export",
+            f"{folder}/checkpoint",
+            HarvestConfig(format="txt"),
+        ).start().awaitTermination()
+    stored = spark.read.parquet(f"{folder}/export")
+    return stored.select("batch_id", "domain", "out_path", "content")

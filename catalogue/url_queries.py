@@ -210,7 +210,6 @@ def pages_per_seed(spark, sf_dir):
         pages(spark, sf_dir).select("page_id", "url"),
         seeds(spark, sf_dir),
         scope="seed",
-        directories_only=True,
     )
     return A.pages_per_seed(saved)
 

@@ -9,7 +9,7 @@ FORMATS = ("md", "json", "txt", "html")
 
 @dataclass(frozen=True)
 class HarvestConfig:
-    max_pages: int = 10_000  # saved pages per seed, crawl route only
+    max_pages: int | None = 10_000  # saved pages per seed, crawl route only; None = no limit
     depth: int = 0  # 0 = unlimited
     include: str | None = None  # Java regex, searched in the URL
     exclude: str | None = None
@@ -27,5 +27,5 @@ class HarvestConfig:
     def __post_init__(self):
         if self.format not in FORMATS:
             raise ValueError(f"format must be one of {FORMATS}, not {self.format!r}")
-        if self.max_pages < 1 or self.depth < 0:
+        if (self.max_pages is not None and self.max_pages < 1) or self.depth < 0:
             raise ValueError("max_pages must be positive and depth not negative")

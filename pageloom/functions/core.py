@@ -64,9 +64,5 @@ def strip_ws(value: Column) -> Column:
     return F.regexp_replace(value, rf"^{WS}++|(?<!{WS}){WS}++\z", "")
 
 
-def lstrip_ws(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^{WS}++", "")
-
-
 def rstrip_ws(value: Column) -> Column:
     return F.regexp_replace(value, rf"(?<!{WS}){WS}++\z", "")

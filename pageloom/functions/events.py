@@ -374,6 +374,7 @@ LINKS = T.StructType(
     [
         T.StructField("refresh", T.StringType()),  # content of the refresh tag
         T.StructField("hrefs", T.ArrayType(T.StringType())),
+        T.StructField("error", T.StringType()),  # why the links could not be read
     ]
 )
 
@@ -401,22 +402,23 @@ class _LinkReader(_Tokens):
 def _links_of(pages: pa.Array) -> pa.Array:
     reader = _LinkReader()
     found = []
-    for html in pages.to_pylist():
+    for page in pages:
         try:
-            found.append(reader.page(html or ""))
-        except Exception:
-            found.append((None, []))
+            found.append((*reader.page(page.as_py() or ""), None))
+        except Exception as bad:  # a page is data: report it, keep the task
+            found.append((None, [], f"{type(bad).__name__}: {bad}"))
     return pa.StructArray.from_arrays(
         [
-            pa.array([r for r, _ in found], pa.string()),
-            pa.array([h for _, h in found], pa.list_(pa.string())),
+            pa.array([r for r, _, _ in found], pa.string()),
+            pa.array([h for _, h, _ in found], pa.list_(pa.string())),
+            pa.array([e for _, _, e in found], pa.string()),
         ],
         LINKS.names,
     )
 
 
 def parse_links(html: Column) -> Column:
-    """``struct<refresh, hrefs>`` of a page as written, boilerplate included, in
+    """``struct<refresh, hrefs, error>`` of a page as written, boilerplate included, in
     document order. Nondeterministic for the reason given above."""
 
     @F.arrow_udf(returnType=LINKS)

@@ -20,13 +20,6 @@ def pages_per_domain(saved: DataFrame) -> DataFrame:
     return saved.rollup("domain").agg(F.count("*").alias("count"))
 
 
-def scope_stats(listed: DataFrame) -> DataFrame:
-    """A3: listed and in-scope URLs per seed, from a boolean ``in_scope``."""
-    return listed.groupBy("seed").agg(
-        F.count("*").alias("total"), F.count_if("in_scope").alias("in_scope")
-    )
-
-
 def files_by_format(export: DataFrame) -> DataFrame:
     """A4."""
     return export.groupBy("format").agg(F.count("*").alias("files"))

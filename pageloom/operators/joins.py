@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import let, over
+from pageloom.functions.core import over
 from pageloom.functions.robots import robots_allowed, robots_policy
 from pageloom.functions.urls import normalize_url, url_origin, url_parts
 from pageloom.schemas import EXPORT_KEYS
@@ -21,14 +21,14 @@ def page_key(url: Column) -> Column:
     return F.coalesce(normalize_url(url, url), url)
 
 
-def latest_captures(pages: DataFrame, key: str = "url") -> DataFrame:
-    """One page id per URL: the newest capture. Pre-aggregated before the shuffle,
-    so a URL captured a billion times costs one row per task."""
-    newest = [F.col("page_id")]
-    if "captured_at" in pages.columns:
-        newest.insert(0, F.col("captured_at"))
+def latest_captures(pages: DataFrame, key: str = "url", *carried: str) -> DataFrame:
+    """One page id per URL, that of the newest capture, with its ``carried`` columns.
+    Pre-aggregated before the shuffle, so a URL captured a billion times costs one row
+    per task."""
+    order = ["captured_at"] if "captured_at" in pages.columns else []
+    newest = list(dict.fromkeys([*order, "page_id", *carried]))
     return pages.groupBy(key).agg(F.max(F.struct(*newest)).alias("_newest")).select(
-        key, F.col("_newest.page_id").alias("page_id")
+        key, *[F.col(f"_newest.{c}").alias(c) for c in ("page_id", *carried)]
     )
 
 
@@ -80,71 +80,37 @@ def robots_join(candidates: DataFrame, policies: DataFrame, missing: bool = True
     )
 
 
-def _directories(path: Column) -> Column:
-    """'' and every directory that begins a path: '', '/', '/a/', '/a/b/'."""
-
-    def prefixes(parts: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")),
-        )
-
-    none = F.array(F.lit(""))
-    return let(
-        F.split(path, "/"),
-        lambda parts: F.when(F.size(parts) > 1, F.concat(none, prefixes(parts))).otherwise(none),
-    )
-
-
 def scope_join(
-    urls: DataFrame,
-    seeds: DataFrame,
-    scope: str = "scope",
-    url: str = "url",
-    directories_only: bool | None = None,
+    urls: DataFrame, seeds: DataFrame, scope: str = "scope", url: str = "url"
 ) -> DataFrame:
     """Every URL with each seed whose scope it is in.
 
-    The prefix test becomes an equi-join: a URL is listed under its directories,
-    about as many rows as its path has segments, and meets only the seeds it
-    belongs to. Seeds are never paired with all URLs of their host. Scopes that
-    end inside a segment are met by character prefixes, for URLs of their hosts
-    only. That branch reads the URLs again, so the seeds are asked first whether
-    there are any such scopes; ``directories_only`` says so without asking, as
-    for crawl bases.
+    The prefix test becomes an equi-join: a URL is cut to the lengths that scopes of
+    its host have, so it is listed once per such length and meets only the seeds it
+    belongs to. Seeds are never paired with all URLs of their host.
     """
-    keys = ["_scheme", "_authority", "_prefix"]
-    left = urls.withColumn("_parts", over(url_parts, url)).select(
-        *urls.columns,
-        F.col("_parts.scheme").alias("_scheme"),
-        F.lower(F.col("_parts.authority")).alias("_authority"),
-        F.col("_parts.path").alias("_path"),
-    )
-    right = seeds.withColumn("_parts", over(url_parts, scope)).select(
-        *seeds.columns,
-        F.col("_parts.scheme").alias("_scheme"),
-        F.lower(F.col("_parts.authority")).alias("_authority"),
-        F.col("_parts.path").alias("_prefix"),
-    )
+    host = ["_scheme", "_authority"]
+
+    def located(side: DataFrame, column: str, path: str) -> DataFrame:
+        parts = side.withColumn("_parts", over(url_parts, column))
+        return parts.select(
+            *side.columns,
+            F.col("_parts.scheme").alias("_scheme"),
+            F.lower(F.col("_parts.authority")).alias("_authority"),
+            F.col("_parts.path").alias(path),
+        )
 
-    def matched(side: DataFrame, prefixes: Column, scopes: DataFrame) -> DataFrame:
-        listed = side.withColumn("_prefix", F.explode(prefixes)).drop("_path")
-        return listed.join(scopes, keys).drop(*keys)
-
-    whole = (F.col("_prefix") == "") | F.col("_prefix").endswith("/")
-    found = matched(left, over(_directories, "_path"), right.filter(whole))
-    partial = right.filter(~whole)
-    if directories_only is None:
-        directories_only = partial.isEmpty()
-    if directories_only:
-        return found
-    hosts = partial.select("_scheme", "_authority").distinct()
-    near = left.filter(F.col("_path") != "").join(hosts, ["_scheme", "_authority"], "left_semi")
-    characters = F.transform(
-        F.sequence(F.lit(1), F.length("_path")),
-        lambda n: F.substring(F.col("_path"), F.lit(1), n),
+    scopes = located(seeds, scope, "_prefix")
+    # Distinct, not grouped by host: so the join has an exchange of its own on either
+    # side, and AQE can split that of a host with very many URLs.
+    lengths = scopes.select(*host, F.length("_prefix").alias("_length")).distinct()
+    cut = (
+        located(urls, url, "_path")
+        .join(lengths, host)
+        .filter(F.col("_length") <= F.length("_path"))
+        .withColumn("_prefix", F.substring(F.col("_path"), F.lit(1), F.col("_length")))
     )
-    return found.unionByName(matched(near, characters, partial))
+    return cut.drop("_path", "_length").join(scopes, [*host, "_prefix"]).drop(*host, "_prefix")
 
 
 def diff_join(current: DataFrame, previous: DataFrame) -> DataFrame:

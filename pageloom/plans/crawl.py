@@ -3,7 +3,8 @@
 A queue visits all URLs of depth d before any of depth d+1, so one join step
 per level for all seeds at once visits them in the same order. ``ord`` is the
 place of a URL in its level: the place of its parent followed by the position
-of the link. Arrays compare element by element, which is queue order.
+of the link. Arrays compare element by element, which is queue order. When they
+have become long, the pages of a level are numbered anew in that order.
 
 What a URL is refused for (robots, patterns, no capture, bad response) does
 not change during a crawl, and the text of a URL neither. So the saved pages
@@ -11,11 +12,15 @@ and their hashes are all the memory a level needs: a URL that was taken from
 the queue before is either saved, or refused again, or its text is known.
 
 Each level is one write to the work folder: lineage stays short and a lost
-executor costs one level at most. The driver sees counts only.
+executor costs one level at most. What levels have saved is merged into one narrow
+table at intervals, so a level reads a bounded number of tables. The driver sees
+counts only. Work tables are removed when the result has been written.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,7 +28,13 @@ from pyspark.sql.types import StructType
 from pageloom.config import HarvestConfig
 from pageloom.functions.core import over
 from pageloom.functions.events import parse_links
-from pageloom.functions.urls import content_sha1, crawl_base, normalize_seed, normalize_url
+from pageloom.functions.urls import (
+    content_sha1,
+    crawl_base,
+    normalize_seed,
+    normalize_url,
+    url_origin,
+)
 from pageloom.operators.content import queue_hrefs
 from pageloom.operators.filters import (
     depth_limit,
@@ -41,9 +52,11 @@ from pageloom.operators.joins import (
     robots_policies,
     seen_anti,
 )
-from pageloom.session import spread, work_dir, written
+from pageloom.session import removed, spread, work_dir, written
 
-SAVED = ("seed_id", "seed", "url", "depth", "ord", "page_id")
+SAVED = ("seed_id", "seed", "url", "depth", "ord", "page_id", "error")
+MERGE_LEVELS = 8  # levels whose saved pages are read as tables of their own
+LONG_ORD = 16  # elements from which on places are numbered anew
 
 
 def queue_targets(url: Column, links: Column) -> Column:
@@ -56,37 +69,41 @@ def base_of(seed: Column) -> Column:
     return crawl_base(normalize_seed(seed))
 
 
-def link_index(pages: DataFrame, folder: str) -> DataFrame:
-    """``url, page_id, ok, sha1, targets`` of the newest capture of each URL.
+def origin_of_seed(seed: Column) -> Column:
+    return url_origin(base_of(seed))
+
 
-    One pass over the HTML for the whole crawl; after it, only this narrow table
-    is read. Targets keep queue order, refresh tag first, first of equals. Older
-    captures are found on ids alone; their table's size is known when they are
-    taken out, so the link lists are shuffled only if there are very many.
+def link_index(pages: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
+    """``url, page_id, sha1, targets, error`` of the newest capture of each URL, where
+    that is a page.
+
+    Which captures count is settled on narrow columns. Only captures that pass the
+    response gate, of the hosts that seeds name, are parsed, once for the whole crawl;
+    after it this narrow table is read. Targets keep queue order, refresh tag first,
+    first of equals. ``error`` tells why the links of a page could not be read.
     """
     extra = [c for c in ("captured_at",) if c in pages.columns]
-    raw = pages.select(
-        over(page_key, "url").alias("url"),
+    hosts = seeds.select(over(origin_of_seed, "seed").alias("_origin")).distinct()
+    named = pages.withColumn("url", over(page_key, "url")).withColumn("ok", response_gate(pages))
+    own = named.withColumn("_origin", over(url_origin, "url")).join(hosts, "_origin", "left_semi")
+    newest = latest_captures(own.select("url", "page_id", "ok", *extra), "url", "ok")
+    raw = own.filter("ok").select(
+        "url",
         "page_id",
-        *extra,
-        response_gate(pages).alias("ok"),
         content_sha1(F.col("html")).alias("sha1"),
         parse_links(F.col("html")).alias("_links"),
     )
     targets = over(queue_targets, "url", "_links").alias("targets")
     index = written(
-        raw.select("url", "page_id", *extra, "ok", "sha1", targets), f"{folder}/links"
+        raw.select("url", "page_id", "sha1", targets, "_links.error"), f"{folder}/links"
     )
-    newest = latest_captures(index).select("page_id")
-    older = written(
-        index.select("page_id").join(newest, "page_id", "left_anti"), f"{folder}/older"
+    return written(
+        index.join(newest.filter("ok").select("page_id"), "page_id", "left_semi"),
+        f"{folder}/index",
     )
-    if older.isEmpty():
-        return index
-    return index.join(older, "page_id", "left_anti")
 
 
-def _select_urls(urls: DataFrame, policies: DataFrame | None, cfg: HarvestConfig) -> DataFrame:
+def select_urls(urls: DataFrame, policies: DataFrame | None, cfg: HarvestConfig) -> DataFrame:
     """P4, P3 and P9 on a frontier."""
     if policies is not None:
         urls = robots_join(urls, policies, cfg.robots_missing)
@@ -103,40 +120,44 @@ def crawl(
     robots: DataFrame | None = None,
     cfg: HarvestConfig = HarvestConfig(),
 ) -> DataFrame:
-    """Saved pages as ``seed_id, seed, url, depth, ord, page_id``."""
+    """Saved pages as ``seed_id, seed, url, depth, ord, page_id, error``."""
     spark = pages.sparkSession
     folder = work_dir(spark)
-    index = link_index(spread(pages, "page_id"), folder)
+    index = link_index(spread(pages, "page_id"), seeds, folder)
     policies = None
     if robots is not None:
         policies = written(robots_policies(robots, cfg.agent), f"{folder}/robots")
-    captures = index.select("url", "page_id", "ok", "sha1")
-    links = index.select("page_id", "targets")
     frontier = seeds.select(
         "seed_id",
         "seed",
         over(base_of, "seed").alias("base"),
-    ).select("*", F.col("base").alias("url"), F.array().cast("array<int>").alias("ord"))
+    ).select("*", F.col("base").alias("url"), F.array().cast("array<bigint>").alias("ord"))
 
-    saved = _Levels(spark)
-    saved_total, depth = 0, 0
+    saved = _Levels(spark, folder)
+    saved_total, depth, length = 0, 0, 0
     while True:
         new = frontier.groupBy("seed_id", "url").agg(
             F.min(F.struct("ord", "seed", "base")).alias("_first")
         )
         if saved:
-            new = seen_anti(new, saved.table())
+            new = seen_anti(new, saved.seen())
         new = new.select("seed_id", "url", "_first.*")
-        fetched = fetch_join(_select_urls(new, policies, cfg), captures).filter("ok")
-        first = first_by_hash(
-            fetched.select("seed_id", "sha1", "ord", "seed", "base", "url", "page_id"),
-            saved.table() if saved else None,
+        fetched = fetch_join(select_urls(new, policies, cfg), index)
+        found = first_by_hash(
+            fetched.select(
+                "seed_id", "sha1", "ord", "seed", "base", "url", "page_id", "error", "targets"
+            ),
+            saved.seen() if saved else None,
         ).withColumn("depth", F.lit(depth))
+        if length >= LONG_ORD:
+            found = found.repartitionByRange("ord").sortWithinPartitions("ord")
+            found = found.withColumn("ord", F.array(F.monotonically_increasing_id()))
+            length = 1
         path = f"{folder}/found/{depth}"
-        found = written(first, path)
+        found = written(found, path)
         count = found.count()
-        if saved_total + count > cfg.max_pages:
-            earlier = saved.table() if saved else None
+        if cfg.max_pages is not None and saved_total + count > cfg.max_pages:
+            earlier = saved.seen() if saved else None
             path = f"{folder}/kept/{depth}"
             found = written(_within_limit(found, earlier, cfg.max_pages), path)
             count = found.count()
@@ -145,9 +166,8 @@ def crawl(
         if count == 0 or (cfg.depth and depth >= cfg.depth):
             break
         frontier = (
-            _open_seeds(found, saved.table(), cfg.max_pages, saved_total)
+            _open_seeds(found, saved.seen(), cfg.max_pages, saved_total)
             .filter(depth_limit(F.col("depth"), cfg.depth))
-            .join(links, "page_id")
             .select(
                 "seed_id", "seed", "base", "ord", F.posexplode("targets").alias("pos", "target")
             )
@@ -157,30 +177,50 @@ def crawl(
                 "seed",
                 "base",
                 F.col("target").alias("url"),
-                F.concat("ord", F.array("pos")).alias("ord"),
+                F.concat("ord", F.array(F.col("pos").cast("bigint"))).alias("ord"),
             )
         )
         depth += 1
-    return saved.table().select(*SAVED)
+        length += 1
+    result = written(saved.table().select(*SAVED), f"{folder}/saved")
+    for name in ("links", "index", "robots", "found", "kept", "seen"):
+        removed(spark, f"{folder}/{name}")
+    return result
 
 
 class _Levels:
-    """The written tables of all levels so far, read back as one relation."""
+    """The written tables of all levels so far."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
         self.schema: StructType | None = None
-        self.paths: list[str] = []
+        self.paths: list[str] = []  # of all levels
+        self.merged: DataFrame | None = None  # seen pages of the first levels
+        self.since: list[str] = []  # levels after those
 
     def __bool__(self) -> bool:
         return bool(self.paths)
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
     def hold(self, level: DataFrame, path: str) -> None:
         self.schema = level.schema
         self.paths.append(path)
+        self.since.append(path)
+        if len(self.since) >= MERGE_LEVELS:
+            self.merged = written(self.seen(), f"{self.folder}/seen/{len(self.paths)}")
+            self.since = []
+
+    def seen(self) -> DataFrame:
+        """``seed_id, url, sha1`` of all saved pages."""
+        parts = [self.merged] if self.merged is not None else []
+        if self.since:
+            parts.append(self._read(self.since).select("seed_id", "url", "sha1"))
+        return reduce(DataFrame.unionByName, parts)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+        return self._read(self.paths)
 
 
 def _within_limit(kept: DataFrame, saved: DataFrame | None, max_pages: int) -> DataFrame:
@@ -198,10 +238,10 @@ def _within_limit(kept: DataFrame, saved: DataFrame | None, max_pages: int) -> D
 
 
 def _open_seeds(
-    kept: DataFrame, saved: DataFrame, max_pages: int, saved_total: int
+    kept: DataFrame, saved: DataFrame, max_pages: int | None, saved_total: int
 ) -> DataFrame:
     """Pages of seeds that may still save more."""
-    if saved_total < max_pages:
+    if max_pages is None or saved_total < max_pages:
         return kept
     full = (
         saved.groupBy("seed_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= max_pages)

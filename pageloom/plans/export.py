@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pageloom.operators.aggregates import last_write_wins
 from pageloom.operators.content import extract_content
 from pageloom.operators.joins import diff_join
 from pageloom.schemas import EXPORT, EXPORT_KEYS
-from pageloom.session import broadcast_bytes, estimated_bytes, spread
+from pageloom.session import folder_numbers, removed, spread, work_dir, written
+
+SNAPSHOT_BATCHES = 16  # batches after which a snapshot of what stands is written
 
 
 def path_below_seed(seed: Column, url: Column, fmt: str) -> Column:
@@ -43,21 +46,18 @@ def export_rows(
 ) -> DataFrame:
     """The export table of saved pages.
 
-    Duplicate paths are settled on ids first. If the ids are few enough to be
-    broadcast, the other pages are dropped before parsing. Otherwise pages are
-    parsed where they are scanned and their content, a fraction of the HTML, is
-    joined, so HTML is never shuffled. ``date`` is epoch seconds; the hash leaves
-    it out.
+    Duplicate paths are settled on ids first. Pages that no path needs are dropped by a
+    semi-join on ids before parsing, each page is parsed once, and its content, a
+    fraction of the HTML, is joined to the paths. Where the ids are few Spark broadcasts
+    them and HTML stays where it is scanned; else its runtime filter drops most other
+    pages before the HTML of those needed is exchanged once. ``date`` is epoch seconds;
+    the hash leaves it out.
     """
     writes = planned_writes(saved, cfg.format)
     extra = ["captured_at"] if "captured_at" in pages.columns else []
-    raw = [F.col("html").alias("raw_html")] if cfg.save_html else []
-    fields = body_fields(cfg.format)
-    bodies = spread(pages.select("page_id", "html", *extra), "page_id").select("*", *raw)
-    if estimated_bytes(writes) <= broadcast_bytes(pages.sparkSession):
-        content = extract_content(bodies.join(writes, "page_id"), fields)
-    else:
-        content = extract_content(bodies, fields).join(writes, "page_id")
+    bodies = spread(pages.select("page_id", "html", *extra), "page_id")
+    needed = bodies.join(writes.select("page_id"), "page_id", "left_semi")
+    content = extract_content(needed, body_fields(cfg.format)).join(writes, "page_id")
     captured = F.col("captured_at") if extra else F.lit(None).cast("timestamp")
     stamp = date if date is not None else F.unix_timestamp(captured)
     return content.select(
@@ -69,7 +69,6 @@ def export_rows(
         render(cfg.format, F.coalesce(stamp, F.lit(0))).alias("content"),
         content_sha1(render(cfg.format)).alias("content_sha1"),
         captured.alias("captured_at"),
-        *(["raw_html"] if cfg.save_html else []),
     )
 
 
@@ -106,24 +105,53 @@ def _batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def standing_hashes(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Hash of what stands at each path after the batches before ``before``.
-    Reads keys and hashes only."""
+    """Hash and capture time of what stands at each path after the batches before
+    ``before``. Reads the last snapshot and the batches after it, keys and hashes only."""
+    state = f"{path}/_standing"
+    schema = "domain string, out_path string, format string, content_sha1 string, captured_at timestamp, batch bigint"
+    snapshots = [n for n in folder_numbers(spark, f"{state}/snapshots") if n < before]
+    last = max(snapshots, default=-1)
+    later = [n for n in folder_numbers(spark, f"{state}/batches") if last < n < before]
+    rows = spark.createDataFrame([], schema)
+    for kind, numbers in (("snapshots", snapshots[-1:]), ("batches", later)):
+        if numbers:
+            folders = [f"{state}/{kind}/batch={n}" for n in numbers]
+            read = spark.read.schema(schema).option("basePath", f"{state}/{kind}")
+            rows = rows.unionByName(read.parquet(*folders))
+    newest = F.max_by(F.struct("content_sha1", "captured_at"), "batch").alias("_newest")
+    return rows.groupBy(*EXPORT_KEYS).agg(newest).select(*EXPORT_KEYS, "_newest.*")
+
+
+def not_late(current: DataFrame, standing: DataFrame) -> DataFrame:
+    """Rows that were not captured before what stands at their path."""
+    stood = standing.select(*EXPORT_KEYS, F.col("captured_at").alias("_stood"))
+    late = F.col("captured_at") < F.col("_stood")
     return (
-        _batches(spark, path)
-        .filter(F.col("batch_id") < before)
-        .groupBy(*EXPORT_KEYS)
-        .agg(F.max_by("content_sha1", "batch_id").alias("content_sha1"))
+        current.join(stood, list(EXPORT_KEYS), "left")
+        .filter(~F.coalesce(late, F.lit(False)))
+        .select(*current.columns)
     )
 
 
 def write_changes(export: DataFrame, path: str, batch_id: int) -> None:
     """K3: write the rows that differ from what stands at their paths.
 
-    A batch owns the folder ``batch_id=N`` and overwrites it, so a batch that is
-    run again after a failure leaves one copy.
+    A capture older than what stands changes nothing. A batch owns the folder
+    ``batch_id=N`` and overwrites it, so a batch that is run again after a failure
+    leaves one copy. What stands is kept in narrow tables, one for each batch and every
+    ``SNAPSHOT_BATCHES`` one that merges them, so a batch reads a bounded number.
     """
-    fresh = changed_rows(export, standing_hashes(export.sparkSession, path, batch_id))
-    write_export(fresh, f"{path}/batch_id={batch_id}")
+    spark = export.sparkSession
+    folder, state = work_dir(spark), f"{path}/_standing"
+    standing = written(standing_hashes(spark, path, batch_id), f"{folder}/standing")
+    current = written(not_late(export, standing), f"{folder}/current")
+    write_export(changed_rows(current, standing), f"{path}/batch_id={batch_id}")
+    narrow = current.select(*EXPORT_KEYS, "content_sha1", "captured_at")
+    narrow.write.mode("overwrite").parquet(f"{state}/batches/batch={batch_id}")
+    if batch_id % SNAPSHOT_BATCHES == SNAPSHOT_BATCHES - 1:
+        merged = standing_hashes(spark, path, batch_id + 1)
+        merged.write.mode("overwrite").parquet(f"{state}/snapshots/batch={batch_id}")
+    removed(spark, folder)
 
 
 def standing_export(spark: SparkSession, path: str) -> DataFrame:
@@ -133,13 +161,17 @@ def standing_export(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(newest, [*EXPORT_KEYS, "batch_id"], "left_semi").drop("batch_id")
 
 
-def raw_html_rows(export: DataFrame) -> DataFrame:
-    """K4: sibling rows with the captured HTML, next to each exported file."""
-    return export.select(
+def raw_html_rows(
+    saved: DataFrame, pages: DataFrame, cfg: HarvestConfig = HarvestConfig()
+) -> DataFrame:
+    """K4: sibling rows with the captured HTML, next to each exported file. Nothing is
+    parsed; paths are settled on ids."""
+    writes = planned_writes(saved, cfg.format).select("domain", "out_path", "page_id")
+    return writes.join(pages.select("page_id", "html"), "page_id").select(
         "domain",
         F.regexp_replace("out_path", r"\.[^./]+\z", ".raw.html").alias("out_path"),
         F.lit("html").alias("format"),
-        F.col("raw_html").alias("content"),
+        F.col("html").alias("content"),
     )
 
 
@@ -147,15 +179,19 @@ def write_tree(export: DataFrame, root: str) -> None:
     """K1 as files: ``root/domain/out_path``, parents made as needed.
 
     ``root`` must be a folder that all nodes mount. A file is written under a
-    name of its own and renamed, so a retried or doubled task leaves the same
-    whole file.
+    name of its own, unlike that of any other attempt on any node, and renamed, so a
+    retried or doubled task leaves the same whole file.
     """
 
     def put(rows) -> None:
+        own, made = uuid.uuid4().hex, set()
         for row in rows:
             target = os.path.join(root, row.domain, row.out_path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
+            folder = os.path.dirname(target)
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            part = f"{target}.{own}.part"
             with open(part, "w", encoding="utf-8", newline="") as out:
                 out.write(row.content)
             os.replace(part, target)

@@ -9,7 +9,6 @@ from pageloom.config import HarvestConfig
 from pageloom.functions.core import over
 from pageloom.operators.filters import include_exclude, lang_keep, response_gate
 from pageloom.operators.joins import (
-    fetch_join,
     latest_captures,
     page_key,
     robots_join,
@@ -40,12 +39,19 @@ def sitemap_harvest(
     captures = pages.select(
         over(page_key, "url").alias("_key"), "page_id", *extra, response_gate(pages).alias("_ok")
     )
-    newest = latest_captures(captures, "_key")
-    fetched = captures.drop("_key").filter("_ok").join(newest, "page_id")
+    fetched = latest_captures(captures, "_key", "_ok").filter("_ok")
     return (
         urls.withColumn("_key", over(page_key, "url"))
         .join(fetched.select("_key", "page_id"), "_key")
-        .select("seed_id", "seed", "url", F.lit(0).alias("depth"), "ord", "page_id")
+        .select(
+            "seed_id",
+            "seed",
+            "url",
+            F.lit(0).alias("depth"),
+            F.col("ord").cast("array<bigint>").alias("ord"),
+            "page_id",
+            F.lit(None).cast("string").alias("error"),
+        )
     )
 
 

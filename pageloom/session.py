@@ -16,9 +16,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Bounds what a Python worker holds at once, however long the pages are.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
-SPLIT_BYTES = 64 << 20
+SPREAD_BYTES = 1 << 30
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -43,25 +45,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def broadcast_bytes(spark: SparkSession) -> int:
-    """Size up to which Spark broadcasts a table by itself; -1 for never."""
-    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
-    number = value.rstrip("bkmgt")
-    unit = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[value[len(number) :][:1]]
-    return int(number) << unit if int(number) > 0 else int(number)
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of an input that is too small to be split.
 
     A file of a few megabytes is one scan task, which would parse all its pages
-    in one Python worker. Only inputs under one split per core are moved, so
-    what is shuffled is bounded; larger inputs keep their scan splits and their
-    HTML never crosses the network.
+    in one Python worker. Only inputs of up to ``SPREAD_BYTES`` are moved, however
+    many cores there are; larger inputs keep their scan splits. The rows and the
+    results are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) < cores * SPLIT_BYTES:
-        return df.repartition(cores, F.col(key))
+    if estimated_bytes(df) < SPREAD_BYTES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(key))
     return df
 
 
@@ -89,3 +82,23 @@ def written(df: DataFrame, path: str) -> DataFrame:
     and gives the planner true sizes."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a work table that nothing reads any more."""
+    where, store = _store(spark, path)
+    store.delete(where, True)
+
+
+def folder_numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers N of the folders ``name=N`` below ``path``; empty if it is missing."""
+    where, store = _store(spark, path)
+    if not store.exists(where):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(where) if f.isDirectory()]
+    return sorted(int(n.partition("=")[2]) for n in names if n.partition("=")[2].isdigit())

@@ -9,6 +9,7 @@ from pageloom.functions.core import let, over, strip_ws
 from pageloom.functions.urls import normalize_seed, url_resolve
 from pageloom.operators.joins import scope_join
 from pageloom.schemas import SITEMAPS
+from pageloom.session import work_dir, written
 
 _LOCS = "array<struct<loc:string>>"
 _XML_SCHEMA = f"sitemap {_LOCS}, url {_LOCS}"
@@ -28,7 +29,6 @@ def _locations(items: Column) -> Column:
 def parsed_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """``url, status, content_type, root, children, urls`` per document.
 
-    The XML of a document is parsed once, whatever number of seeds lists it.
     Namespaces are ignored; broken XML gives empty lists.
     """
     xml = F.from_xml(F.col("xml"), _XML_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
@@ -78,9 +78,11 @@ def listed_urls(sitemaps: DataFrame) -> DataFrame:
     """``sitemap_url, child_no, pos, url`` of every accepted document.
 
     A urlset lists its own URLs; an index lists those of its children, one level
-    deep. A child needs success only, not an XML content type.
+    deep. A child needs success only, not an XML content type. The XML is parsed once
+    and its lists written; the branches read those.
     """
-    docs = parsed_sitemaps(sitemaps)
+    folder = work_dir(sitemaps.sparkSession)
+    docs = written(parsed_sitemaps(sitemaps), f"{folder}/sitemaps")
     accepted = docs.filter(sitemap_gate())
     own = accepted.filter(F.col("root").endswith("urlset")).select(
         F.col("url").alias("sitemap_url"), F.lit(0).alias("child_no"), "urls"
@@ -105,7 +107,12 @@ def listed_urls(sitemaps: DataFrame) -> DataFrame:
 def sitemap_urls(
     seeds: DataFrame, sitemaps: DataFrame, distinct: bool = True
 ) -> DataFrame:
-    """``seed_id, seed, url, ord`` of the listed URLs in each seed's scope.
+    """``seed_id, seed, url, ord`` of the listed URLs in each seed's scope."""
+    return scoped_urls(seeds, listed_urls(sitemaps), distinct)
+
+
+def scoped_urls(seeds: DataFrame, listed: DataFrame, distinct: bool = True) -> DataFrame:
+    """``sitemap_urls`` of a table of listed URLs.
 
     URLs meet their seeds by scope prefix, then the document must be one of the
     seed's two places. So a host with many seeds and a large sitemap never pairs
@@ -116,7 +123,7 @@ def sitemap_urls(
         F.map_from_entries(F.collect_list(F.struct("sitemap_url", "place"))).alias("_places")
     )
     found = (
-        scope_join(listed_urls(sitemaps), places)
+        scope_join(listed, places)
         .withColumn("_place", F.try_element_at("_places", F.col("sitemap_url")))
         .filter(F.col("_place").isNotNull())
         .withColumn("ord", F.array("_place", "child_no", "pos"))
@@ -132,7 +139,8 @@ def sitemap_stats(seeds: DataFrame, sitemaps: DataFrame) -> DataFrame:
 
     Totals come from one count per document, not from pairing seeds with URLs.
     """
-    sizes = listed_urls(sitemaps).groupBy("sitemap_url").agg(F.count("*").alias("_urls"))
+    listed = listed_urls(sitemaps)
+    sizes = listed.groupBy("sitemap_url").agg(F.count("*").alias("_urls"))
     total = (
         sitemap_candidates(seeds)
         .join(sizes, "sitemap_url")
@@ -140,7 +148,7 @@ def sitemap_stats(seeds: DataFrame, sitemaps: DataFrame) -> DataFrame:
         .agg(F.sum("_urls").alias("total"))
     )
     inside = (
-        sitemap_urls(seeds, sitemaps, distinct=False)
+        scoped_urls(seeds, listed, distinct=False)
         .groupBy("seed_id")
         .agg(F.count("*").alias("in_scope"))
     )

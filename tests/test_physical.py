@@ -14,8 +14,8 @@ READS_HTML = {
 }
 # Queries whose result is read back from tables they have written.
 WRITTEN = {
-    "bfs_depth", "crawl_filters", "crawl_max_pages", "harvest_routes", "domain_partition",
-    "export_tree", "stream_dedup", "stream_diff_export",
+    "bfs_depth", "crawl_filters", "crawl_rules", "crawl_max_pages", "harvest_routes",
+    "domain_partition", "export_tree", "previous_export", "stream_dedup", "stream_diff_export",
 }
 
 
@@ -48,15 +48,19 @@ def test_filters_on_content_do_not_repeat_the_extraction(spark):
     assert plan.count("array_min(") == 1 and plan.count("ArrowEvalPython [") == 1
 
 
-def test_large_exports_join_content_not_html(spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = _plan(catalogue.QUERIES["markdown_export"](spark, SF))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    # the parser stands below the join, so what is joined is its result
-    assert plan.index("SortMergeJoin") < plan.index("ArrowEvalPython")
+def test_exports_parse_needed_pages_once(spark):
+    plan = _plan(catalogue.QUERIES["markdown_export"](spark, SF))
+    # the semi-join on ids stands below the parser, the join with paths above it
+    assert plan.count("ArrowEvalPython [") == 1
+    parser = plan.index("ArrowEvalPython")
+    assert plan.index("LeftSemi") > parser and "Inner" in plan[:parser]
+
+
+def test_sitemaps_are_parsed_once(spark):
+    from catalogue.inputs import sitemaps
+    from pageloom.sources.sitemaps import listed_urls
+
+    assert "from_xml" not in _plan(listed_urls(sitemaps(spark, SF)))
 
 
 def test_filters_on_stored_columns_reach_the_scan(spark):

@@ -167,7 +167,7 @@ def test_colliding_paths_keep_the_last(spark):
 
 
 def test_sinks(spark, tmp_path):
-    rows = _export(spark, save_html=True).cache()
+    rows = _export(spark).cache()
     write_export(rows, str(tmp_path / "table"))
     back = spark.read.parquet(str(tmp_path / "table"))
     assert sorted(r.out_path for r in back.collect()) == sorted(r.out_path for r in rows.collect())
@@ -178,7 +178,10 @@ def test_sinks(spark, tmp_path):
     assert files == sorted(f"{r.domain}/{r.out_path}" for r in rows.collect())
     index = (tmp_path / "tree" / "h" / "docs" / "index.md").read_text()
     assert index.startswith("---\ntitle: \nurl: https://h/docs/\ndate_scraped: 0\n---\n")
-    raw = {r.out_path: r.content for r in raw_html_rows(rows).collect()}
+    saved = _pages(spark).select(
+        F.lit(0).cast("bigint").alias("seed_id"), F.lit(f"{H}/docs/").alias("seed"), "url",
+        F.lit(0).alias("depth"), F.array(F.col("page_id")).alias("ord"), "page_id")
+    raw = {r.out_path: r.content for r in raw_html_rows(saved, _pages(spark)).collect()}
     assert raw["docs/e.raw.html"] == "x"
 
 
@@ -239,7 +242,7 @@ def test_hot_host_is_split_by_aqe(spark):
             "concat('https://', if(id % 3 > 0, 'hot', concat('h', id % 97)), '/', id) AS url")
         seeds = spark.createDataFrame(
             [("https://hot/",)] + [(f"https://h{i}/",) for i in range(97)], "scope string")
-        joined = scope_join(pages, seeds, directories_only=True)
+        joined = scope_join(pages, seeds)
         assert joined.count() == 40_000
         rows = joined.groupBy("scope").count()
         rows.collect()
@@ -335,3 +338,90 @@ def test_extraction_of_a_stream(spark, tmp_path):
     query.awaitTermination()
     texts = {r.page_id: r.plain_text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(texts) == len(MINI) and texts[5] == "x"
+
+
+def test_crawl_without_limit_passes_the_default(spark):
+    """More pages on one site than the default limit; a tree three levels deep."""
+    pages = spark.range(0, 10_200).selectExpr(
+        "id AS page_id", "concat('https://big/', if(id = 0, '', string(id))) AS url",
+        "concat('p', id, array_join(transform(sequence(1, 101), "
+        "i -> concat('<a href=\"/', string(id * 101 + i), '\">l</a>')), '')) AS html")
+    seeds = _seeds(spark, "https://big/")
+    assert crawl(seeds, pages, cfg=HarvestConfig(max_pages=None)).count() == 10_200
+    assert crawl(seeds, pages).count() == 10_000
+
+
+def test_crawl_of_a_long_chain(spark):
+    """Deep sites: places are numbered anew and levels are merged."""
+    rows = [(i, f"https://h/{i or ''}", 200, "text/html",
+             f'<a href="/{i + 1}">a</a><a href="/{i + 2}">b</a>p{i}') for i in range(45)]
+    saved = crawl(_seeds(spark, "https://h/"), _pages(spark, rows))
+    assert _saved(saved) == [(f"https://h/{i or ''}", (i + 1) // 2) for i in range(45)]
+    assert max(len(r.ord) for r in saved.collect()) <= 17
+
+
+def test_crawl_parses_own_gated_pages_only(spark):
+    from pageloom.plans.crawl import link_index
+    from pageloom.session import work_dir
+
+    rows = MINI + [(20, "https://else/", 200, "text/html", "x"), (21, f"{H}/docs/z", 404, "text/html", "y")]
+    index = link_index(_pages(spark, rows), _seeds(spark, f"{H}/docs/"), work_dir(spark))
+    assert {r.page_id for r in index.collect()} == {1, 2, 3, 4}
+
+
+def test_what_stands_is_read_from_few_tables(spark, tmp_path):
+    from pageloom.plans import export as E
+
+    path = str(tmp_path / "export")
+    row = _export(spark).limit(1).cache()
+    for batch in range(2 * E.SNAPSHOT_BATCHES + 3):
+        if batch in (0, 15, 16, 31, 33):
+            E.write_changes(row, path, batch)
+    standing = E.standing_hashes(spark, path, 34)
+    files = {f.split("_standing/")[1].split("/part")[0] for f in standing.inputFiles()}
+    assert files == {"snapshots/batch=31", "batches/batch=33"} and standing.count() == 1
+
+
+def test_stream_gates_and_orders_captures(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "page_id bigint, url string, html string, status int, content_type string, captured_at timestamp"
+
+    def wave(*rows):
+        made = [(i, f"{H}/docs/{u}", h, s, c, at) for i, u, h, s, c, at in rows]
+        table = spark.createDataFrame(made, schema.replace("captured_at timestamp", "at bigint"))
+        table.withColumn("captured_at", F.timestamp_seconds("at")).drop("at").coalesce(1).write.mode("append").parquet(source)
+        denied = spark.createDataFrame([(H, 200, "User-agent: *\nDisallow: /docs/no")], "origin string, status int, body string")
+        stream_diff_export(stream_pages(spark, source, schema), _seeds(spark, f"{H}/docs/"), out, checkpoint,
+                           HarvestConfig(format="txt", exclude="skip"), denied).start().awaitTermination()
+        return {r.out_path: r.content for r in standing_export(spark, out).collect()}
+
+    page = "text/html"
+    first = wave((9, "a", "old a", 200, page, 10), (2, "a", "new a", 200, page, 20), (3, "gone", "x", 404, page, 10),
+                 (4, "f.pdf", "x", 200, "application/pdf", 10), (5, "no", "x", 200, page, 10), (6, "skip", "x", 200, page, 10),
+                 (7, "b", "b1", 200, page, 10))
+    assert first == {"docs/a.txt": "new a", "docs/b.txt": "b1"}
+    # a late capture, one that is unchanged, and then one from before the unchanged one
+    assert wave((20, "a", "late a", 200, page, 15), (21, "b", "b1", 200, page, 30)) == first
+    assert wave((22, "b", "b0", 200, page, 25)) == first
+    assert wave((23, "b", "b2", 200, page, 40))["docs/b.txt"] == "b2"
+
+
+def test_work_folder_without_a_cluster_setting(spark):
+    from pageloom.session import removed, work_dir, written
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    assert root is None or work_dir(spark).startswith(root)
+    path = work_dir(spark, "/tmp/pageloom-own")
+    assert path.startswith("/tmp/pageloom-own/pageloom/")
+    assert written(spark.range(3), path).count() == 3
+    removed(spark, path)
+
+
+def test_link_errors_are_reported(spark, monkeypatch):
+    import pyarrow as pa
+
+    from pageloom.functions import events
+
+    monkeypatch.setattr(events._LinkReader, "handle_starttag", lambda *a: 1 / 0)
+    found = events._links_of(pa.array(["<a href='x'>", None, "plain"])).to_pylist()
+    assert [r["error"] for r in found] == ["ZeroDivisionError: division by zero", None, None]
