@@ -5,6 +5,9 @@ only ``\\n`` ends a line, possessive quantifiers so that long runs neither
 backtrack nor recurse.
 """
 
+# The patterns of this module are fixed values: the results of the text rules depend on
+# them exactly.
+
 from __future__ import annotations
 
 from pyspark.sql import Column

@@ -10,6 +10,8 @@ from pageloom.functions.text import FENCE
 
 # Class names taken as a language without a prefix.
 KNOWN_LANGS = ("bash", "shell", "sh", "nix", "json", "yaml", "toml", "python", "js", "ts")
+# The class prefix of a language, line ends, and the characters of which a
+# line of a file tree consists.
 LANG_PREFIX = "language-"
 
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"

@@ -39,6 +39,7 @@ def main_rank(event: Column) -> Column:
     by_class = F.lit(None)
     for at, name in reversed(list(enumerate(MAIN_CLASSES, start=3))):
         by_class = F.when(F.array_contains(classes, name), at).otherwise(by_class)
+    # Fixed value: ids that mark a main container.
     by_id = F.when(
         F.try_element_at(event.attrs, F.lit("id")).rlike("(?i)^(?:content|main)"),
         3 + len(MAIN_CLASSES),
@@ -211,6 +212,7 @@ def extract_content(
 
 def refresh_target(content: Column) -> Column:
     """H5: target named by the content of a refresh tag, NULL if none."""
+    # Fixed value: where a refresh tag names its target.
     found = F.regexp_extract(content, r"(?i)url=([^;\"']+)", 1)
     return let(strip_ws(found), lambda t: F.when(t != "", t))
 
