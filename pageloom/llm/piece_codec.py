@@ -14,7 +14,6 @@ rows repeat as they come; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +27,6 @@ from pageloom.llm.piece_machine import Transducer, few_collections
 from pageloom.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, load
 from pageloom.llm.piece_normaliser import Normaliser, normaliser
 
-_SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of all elements of slices, one slice after the other."""
     ends = np.cumsum(lengths)
@@ -113,7 +109,7 @@ class Codec:
             ends = np.concatenate([np.zeros(front, np.int64), edges[1:]])
         else:
             out, begins, ends = normal.aligned(text)
-        words = _SEGMENTS.findall(out)
+        words = self.model.segments.findall(out)
         known = self.segments
         if new := [w for w in set(words) if w not in known]:
             known.add(new)

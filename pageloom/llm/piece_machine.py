@@ -19,15 +19,11 @@ leads back to the start, whatever came before.
 from __future__ import annotations
 
 import gc
-import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pageloom.llm.piece_model import SPACE, PieceModel, merged
 
-_SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
 @contextmanager
 def few_collections() -> Iterator[None]:
     """Holds Python's cycle collector back: it would walk all states again and again.
@@ -154,7 +150,7 @@ class Transducer:
     def chunk(self, text: str) -> tuple[str, State | None, int]:
         """Map of a chunk: characters before the first return to the start, the state at
         its end (None without a return) and the tokens after the head."""
-        head, *rest = _SEGMENTS.findall(text) or [""]
+        head, *rest = self.model.segments.findall(text) or [""]
         if not rest:
             return head, None, 0
         total = 0

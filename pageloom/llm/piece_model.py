@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,6 +52,19 @@ class PieceModel:
     dummy_prefix: bool = True
     trim: bool = True  # remove_extra_whitespaces
     longest: int = field(default=1)  # characters of the longest piece
+    segments: re.Pattern = field(default=re.compile("(?s).+"))  # parts no piece crosses
+
+
+def cutter(pieces: list[str]) -> re.Pattern:
+    """Matches parts of a normalised text between which no piece can lie: spaces with the
+    letters, or with the other characters, that follow. Where some piece does hold a
+    letter next to another character, only spaces are cut at."""
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:]) if SPACE not in (a, b)}
+    if any(a.isalpha() != b.isalpha() for a, b in pairs):
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    # What the pattern's letters hold besides; characters of no piece may fall either way.
+    odd = "".join(sorted(c for c in set("".join(pieces)) if re.match(r"[^\W\d_]", c) and not c.isalpha()))
+    return re.compile(rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:(?!{SPACE})[\W\d_{odd}])+|{SPACE}+")
 
 
 @lru_cache(maxsize=4)
@@ -99,6 +113,7 @@ def load(path: str) -> PieceModel:
         dummy_prefix,
         trim,
         max(map(len, own), default=1),
+        cutter(list(own)),
     )
 
 
