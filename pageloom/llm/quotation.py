@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -146,22 +147,28 @@ def link_quotes(
         F.col("reply_to").isNotNull().cast("long").alias("depth"),
         F.col("reply_to").isNull().alias("done"),
     )
-    step = 0
-    while not at.filter("not done").isEmpty():
-        ahead = at.select(
+    # Only messages whose pointer has not met the first message yet go into a round.
+    done, ahead, step = [at.filter("done")], at.filter("not done"), 0
+    while not ahead.isEmpty():
+        step += 1
+        known_at = reduce(DataFrame.unionByName, [*done, ahead]).select(
             "conv",
             F.col("turn").alias("thread"),
             F.col("thread").alias("further"),
             F.col("depth").alias("more"),
             F.col("done").alias("ends"),
         )
-        step += 1
-        at = written(
-            at.join(ahead, ["conv", "thread"]).select(
-                "conv", "turn", F.col("further").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")
-            ),
-            f"{folder}/threads{step}",
+        moved = ahead.join(known_at, ["conv", "thread"]).select(
+            "conv",
+            "turn",
+            F.col("further").alias("thread"),
+            (F.col("depth") + F.col("more")).alias("depth"),
+            F.col("ends").alias("done"),
         )
+        moved = written(moved, f"{folder}/threads{step}")
+        done.append(moved.filter("done"))
+        ahead = moved.filter("not done")
+    at = reduce(DataFrame.unionByName, done)
     found = replies.join(at.drop("done"), ["conv", "turn"])
     result = rows.drop("own", "quotes").join(found, ["conv", "turn"], "left")
     return result.select(
