@@ -42,6 +42,9 @@ HEADLINE = (
     "drop_number_runs",
     "render_json",
     "domain_partition",
+    "export_tree",
+    "harvest_routes",
+    "stream_diff_export",
 )
 
 
