@@ -11,7 +11,9 @@ that no document is needed twice and the expected tokens of the sample have the
 shares. The draw is a hash of id and text: the same in every run, in every task.
 
 Defined results: targets of a column that leave a share below 1 give the rest to
-``other``; values without any tokens give their share to the others in proportion.
+``other``; where they leave nothing, ``other`` keeps the share of tokens it has and the
+targets hold among the named values, so that only a target of 0 drops a value. Values
+without any tokens give their share to the others in proportion.
 NULLs fall into ``other``. Documents without tokens have their cell's probability; a
 cell without tokens has probability 1. Rows with one id and text share their draw. An
 empty table gives no rows. Where targets contradict each other (a combination of values
@@ -70,10 +72,17 @@ def fit_mix(docs: DataFrame, columns: dict[str, Column], tokens: Column, targets
     wanted = []
     for axis, (column, own) in enumerate(zip(targets, names)):
         share = np.array([targets[column].get(n, 0.0) for n in own])
-        if OTHER not in targets[column]:
+        present = sums.sum(axis=tuple(i for i in range(sums.ndim) if i != axis))
+        unnamed = OTHER not in targets[column]
+        if unnamed:
             share[own.index(OTHER)] = max(0.0, 1 - share.sum())
-        share[sums.sum(axis=tuple(i for i in range(sums.ndim) if i != axis)) == 0] = 0
-        wanted.append(share / max(share.sum(), 1e-300))
+        share[present == 0] = 0
+        share /= max(share.sum(), 1e-300)
+        if unnamed and sum(targets[column].values()) > 1 - 1e-9:
+            rest = present[own.index(OTHER)] / max(present.sum(), 1e-300)
+            share *= 1 - rest
+            share[own.index(OTHER)] = rest
+        wanted.append(share)
     weights = rake(sums, wanted)
     probability = np.where(sums > 0, weights / max(weights.max(), 1e-300), 1.0)
     kept = sums * probability
@@ -135,7 +144,8 @@ def topic(text: Column) -> Column:
     )
 
 
-# Shares of tokens that the mix is raked to; what they leave goes to ``other``.
+# Shares of tokens that the mix is raked to; what they leave goes to ``other``, which keeps
+# its own share where they leave nothing.
 TARGETS = {
     "source": {"src0": 0.35},
     "lang": {"en": 0.60, "fr": 0.15, "de": 0.14, "es": 0.11},

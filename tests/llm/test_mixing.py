@@ -88,6 +88,20 @@ def test_contradicting_targets():
     assert (tokens * weights).sum(axis=0) == pytest.approx([0.9, 0.1])
 
 
+def test_unnamed_values_stay_where_targets_leave_nothing(spark):
+    rows = [(i, "w " * 5, ["en", "fr", "de", "es", "it", None][i % 6], "src0" if i % 2 else "b") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mix_documents(docs, TARGETS).collect()
+    assert all(r.probability > 0 for r in found)
+    total = sum(r.tokens * r.probability for r in found)
+    held = sum(r.tokens * r.probability for r in found if r.lang in ("it", None))
+    assert held / total == pytest.approx(1 / 3, abs=1e-6)
+    alone = mix_documents(docs.filter("lang = 'it' or lang is null"), TARGETS).collect()
+    assert len(alone) == 80 and all(r.probability > 0 for r in alone)
+    dropped = mix_documents(docs, {"lang": {"en": 1.0, "other": 0.0}}).filter("kept")
+    assert {r.lang for r in dropped.collect()} == {"en"}
+
+
 def test_query(spark):
     rows = QUERIES["op4_mixing"](spark, SF).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
