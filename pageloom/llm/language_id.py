@@ -9,13 +9,20 @@ model is one table, bucket -> score per language, which is summed over the text.
 Training is stochastic gradient descent in NumPy on a bounded sample: at most
 ``rows_per_label`` rows for each of the ``most_labels`` most frequent labels, drawn by
 hash over all labelled rows. Every fifth sampled row is left out of it and calibrates: a
-temperature for the scores, and the score below which a text is rejected, the one that
-rejects ``reject_share`` of the calibration rows, but ``most_threshold`` at most: clean
-texts of a few letters score low too.
+temperature for the scores, and the least familiarity of an accepted text.
+
+The score tells languages apart that training has seen, it does not tell that a text is
+in none of them. Familiarity does: the mean, over the n-grams of a text, of the log
+frequency of their bucket in the label where it is highest, as a difference from what
+is usual for calibration rows. It is one more column of the table. ``_USUAL`` n-grams of
+usual familiarity are added, so that a text of a few letters is not judged by them. The
+n-grams of an unlearned script hash into any bucket; the limit rejects all but
+``noise_share`` of words of such noise, unless that were more than ``reject_share`` of
+the calibration rows and short pieces of them, which then sets it.
 
 Defined results: a NULL text or one without any letter is ``und`` with score 0 and is
 not accepted; without labelled rows all texts are; with a single label all others have
-it with score 1. NULL labels teach nothing. NULL ids count as empty text in the fold.
+it with score 1, and are accepted if familiar. NULL labels teach nothing. NULL ids count as empty text in the fold.
 Equal texts get equal results; other columns are ignored, whatever their names.
 """
 
@@ -35,6 +42,7 @@ from pageloom.llm.common import fold, over_batches
 
 _SIZES = (2, 3, 4)
 _BORDER = 32
+_USUAL = 4
 # Bytes of words stay (ASCII letters and all of other alphabets), the rest is a border.
 _WORD = np.full(256, _BORDER, np.uint8)
 _WORD[97:123] = np.arange(97, 123)
@@ -44,10 +52,12 @@ _WORD[128:] = np.arange(128, 256)
 @dataclass(frozen=True)
 class LanguageModel:
     labels: list[str]
-    table: np.ndarray  # (buckets + 1, labels); the last row is zero, for what is no n-gram
+    # (buckets + 1, labels + 1): scores, then familiarity; the last row, for what is no
+    # n-gram, is zero.
+    table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # of familiarity
     bits: int
 
 
@@ -128,6 +138,30 @@ def _descend(rows, labels: int, bits: int, size: int, epochs: int, rate: float):
     return embedding, weights, bias
 
 
+def _familiarity(taught, labels: int, bits: int, unseen: float = 0.01) -> np.ndarray:
+    """Log frequency of each bucket in the label where it is highest; a text counts as one."""
+    frequency = np.zeros((labels, 1 << bits), np.float32)
+    for buckets, shares, label in taught:
+        frequency[label, buckets] += shares
+    frequency /= np.maximum(frequency.sum(axis=1, keepdims=True), 1e-30)
+    return np.log((1 - unseen) * frequency.max(axis=0) + unseen / (1 << bits)).astype(np.float64)
+
+
+def _least_familiar(
+    known: np.ndarray, held, sizes: np.ndarray, reject_share: float, noise_share: float
+) -> float:
+    """The limit between unlearned texts and calibration rows, whole and in short pieces."""
+    draw = np.random.default_rng(5)
+    clean = [n / (n + _USUAL) * (shares @ known[buckets]) for (buckets, shares, _), n in zip(held, sizes)]
+    for buckets, shares, _ in held:
+        ends = np.cumsum(shares)
+        for n in (1, 4, 16):
+            at = np.minimum(np.searchsorted(ends, draw.random(n), "right"), len(buckets) - 1)
+            clean.append(known[buckets[at]].sum() / (n + _USUAL))
+    noise = known[draw.integers(0, len(known), (2_000, 16))].sum(axis=1) / (16 + _USUAL)
+    return min(float(np.quantile(clean, reject_share, method="lower")), float(np.quantile(noise, 1 - noise_share)))
+
+
 def train(
     rows: list[tuple[str, np.ndarray, np.ndarray]],
     bits: int = 15,
@@ -135,7 +169,7 @@ def train(
     epochs: int = 8,
     rate: float = 4.0,
     reject_share: float = 0.001,
-    most_threshold: float = 0.35,
+    noise_share: float = 0.01,
 ) -> LanguageModel | None:
     """A model of (label, buckets, counts) rows; None without rows."""
     rows = [r for r in rows if len(r[1])]
@@ -144,19 +178,22 @@ def train(
         return None
     ready = [(b, c / c.sum(), labels.index(label)) for label, b, c in rows]
     taught = [r for i, r in enumerate(ready) if i % 5 or len(ready) < 50]
-    held = [r for i, r in enumerate(ready) if not i % 5] or ready
+    held = [r for i, r in enumerate(ready) if not i % 5]
+    sizes = np.array([c.sum() for i, (_, _, c) in enumerate(rows) if not i % 5])
     embedding, weights, bias = _descend(taught, len(labels), bits, size, epochs, rate)
-    table = np.zeros(((1 << bits) + 1, len(labels)), np.float32)
-    table[:-1] = embedding @ weights.T
-    scores = np.array([shares @ table[buckets] + bias for buckets, shares, _ in held])
+    table = np.zeros(((1 << bits) + 1, len(labels) + 1), np.float32)
+    table[:-1, :-1] = embedding @ weights.T
+    known = _familiarity(taught, len(labels), bits)
+    known -= np.mean([shares @ known[buckets] for buckets, shares, _ in held])
+    table[:-1, -1] = known
+    scores = np.array([shares @ table[buckets, :-1] + bias for buckets, shares, _ in held])
     right = np.array([label for *_, label in held])
     losses = {
         t: -np.log(_softmax(scores / t)[np.arange(len(right)), right] + 1e-12).mean()
         for t in np.geomspace(0.05, 5, 60)
     }
     temperature = float(min(losses, key=losses.get))
-    best = _softmax(scores / temperature).max(axis=1)
-    threshold = min(most_threshold, float(np.quantile(best, reject_share, method="lower")))
+    threshold = _least_familiar(known, held, sizes, reject_share, noise_share)
     return LanguageModel(labels, table, bias, temperature, threshold, bits)
 
 
@@ -165,13 +202,13 @@ def _scorer(shared):
         model: LanguageModel = shared.value
         for batch in batches:
             data, offsets = _prepared(batch.column(1))
-            total = np.zeros((batch.num_rows, len(model.labels)))
+            total = np.zeros((batch.num_rows, len(model.labels) + 1))
             grams = np.zeros(batch.num_rows, np.int64)
             for begin, end, texts, cuts in windows(offsets, 1 << 18):
                 for hashed in _grams(data, begin, end, offsets[texts + 1] - begin, model.bits):
                     total[texts] += np.add.reduceat(model.table[hashed], cuts, axis=0)
                     grams[texts] += np.add.reduceat((hashed < 1 << model.bits).astype(np.int64), cuts)
-            mean = total / np.maximum(grams, 1)[:, None] + model.bias
+            mean = total[:, :-1] / np.maximum(grams, 1)[:, None] + model.bias
             share = _softmax(mean / model.temperature)
             best = share.argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -179,8 +216,9 @@ def _scorer(shared):
                     batch.column(0),
                     pa.array([model.labels[i] for i in best], pa.string()),
                     pa.array(share.max(axis=1), pa.float64()),
+                    pa.array(total[:, -1] / (grams + _USUAL) >= model.threshold, pa.bool_()),
                 ],
-                names=["row", "lang", "score"],
+                names=["row", "lang", "score", "familiar"],
             )
 
     return score
@@ -244,17 +282,17 @@ def identify_language(
     rows = docs.select(F.struct(*[docs[c] for c in keep], letters).alias("row"), F.col(text_col).alias("text"))
     if model is None:
         scored = rows.select("row", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"))
-        found, threshold = F.lit(False), 1.0
+        found, familiar = F.lit(False), F.lit(False)
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
         kind = rows.schema["row"].dataType.simpleString()
-        scored = over_batches(rows, _scorer(shared), f"row {kind}, lang string, score double")
-        found, threshold = F.col("row.letters"), model.threshold
+        scored = over_batches(rows, _scorer(shared), f"row {kind}, lang string, score double, familiar boolean")
+        found, familiar = F.col("row.letters"), F.col("familiar")
     return scored.select(
         *[F.col("row")[c].alias(c) for c in keep],
         F.when(found, F.col("lang")).otherwise("und").alias("lang_pred"),
         F.when(found, F.col("score")).otherwise(0.0).alias("score"),
-        (found & (F.col("score") >= threshold)).alias("accepted"),
+        (found & familiar).alias("accepted"),
     )
 
 

@@ -58,6 +58,22 @@ def test_language_edge_cases(spark):
     assert language_id(table.filter("false")).count() == 0
 
 
+def test_unlearned_texts_are_rejected(spark):
+    docs = documents(spark)
+    unlearned = ["日本語の文章", "日本語", "Это предложение", "нет", "Η γλώσσα είναι", "שלום עולם טוב", "이것은 한국어", "zqxj vkwq pfgx bzzk"]
+    clean = ["of the x", "of the", "ok", "a", "Von.", "les et de", "Der Vertrag wurde gestern unterschrieben", "Le contrat a été signé"]
+    rows = [(i, text) for i, text in enumerate(unlearned + clean)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for labels in (["en", "fr", "de", "es"], ["en", "fr"], ["en"]):
+        model = fit_language(docs.filter(F.col("lang").isin(labels)), F.lit(True))
+        got = {r.doc_id: r for r in identify_language(table, model).collect()}
+        assert not any(got[i].accepted for i in range(len(unlearned))), labels
+        if len(labels) == 4:
+            assert all(got[len(unlearned) + i].accepted for i in range(len(clean)))
+        own = identify_language(docs.filter(F.col("lang").isin(labels)), model)
+        assert own.filter("not accepted").count() <= 0.01 * own.count()
+
+
 def test_held_out_quality(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("held_out").collect()
