@@ -1,8 +1,10 @@
 """Clean training corpus: the stages in order, each over all that the one before kept.
 
 Every stage takes and returns the columns of documents, but the last, which returns the
-encoded documents. A row with NULL doc_id passes the copy stages by its text alone. Rows
-that repeat with id and text pass a stage together. Empty tables pass all stages.
+encoded documents. The copy stages decide on each id and text: a row with NULL doc_id
+passes them by its text alone and counts as the last of all ids where near copies are
+compared; different texts under one id are judged apart. Rows that repeat with id and
+text pass a stage together. Empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ from __future__ import annotations
 from functools import reduce
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import saved, table
+from pageloom.llm.common import ascii_lower, saved, table
 from pageloom.llm.exact_dedup import exact_dedup
 from pageloom.llm.language_id import fit_language, identify_language
 from pageloom.llm.mixing import mix_documents
@@ -23,10 +25,23 @@ from pageloom.llm.piece_codec import encode_pieces
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _only(docs: DataFrame, found: DataFrame, condition: str) -> DataFrame:
-    """The documents whose id has a row in ``found`` that meets the condition."""
-    ids = found.filter(condition).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids._kept_id), "left_semi")
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _only(docs: DataFrame, found: DataFrame, text: Column) -> DataFrame:
+    """The documents with a kept row in ``found`` that has their id and ``text``'s digest."""
+    rows = found.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    same = docs.doc_id.eqNullSafe(rows._kept_id) & (_digest(text) == rows._kept_text)
+    return docs.join(rows, same, "left_semi")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A number for each id and text, in the order of the ids; NULLs come last."""
+    rows = docs.select("doc_id", _digest(F.col("text")).alias("text_sha256")).distinct()
+    rows = rows.orderBy(F.asc_nulls_last("doc_id"), "text_sha256")
+    # Numbers grow with the sorted partitions; written once, they stay as they are.
+    return saved(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +52,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    return _only(docs, exact_dedup(docs), "kept")
+    return _only(docs, exact_dedup(docs), ascii_lower(docs.text))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words, similarity 0.8, the smallest id stays."""
-    return _only(docs, near_dedup(docs, words=5, num=80, den=100), "kept")
+    numbered = _numbered(docs)
+    same = docs.doc_id.eqNullSafe(numbered.doc_id) & (_digest(docs.text) == numbered.text_sha256)
+    texts = docs.join(numbered, same).select("number", "text")
+    found = near_dedup(texts, id_col="number", words=5, num=80, den=100)
+    return _only(docs, found.join(numbered, "number"), docs.text)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

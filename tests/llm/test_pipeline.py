@@ -77,3 +77,23 @@ def test_odd_rows(spark):
         result = stage(spark, docs, SF)
         assert stage(spark, docs.filter("false"), SF).count() == 0, name
         assert result.count() <= docs.count(), name
+
+
+def test_decisions_hold_for_id_and_text(spark):
+    """NULL ids, and different texts under one id, are judged each by its own text."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def run(stage, rows):
+        docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=repr)
+
+    rows = [(None, "alone"), (None, "Copy"), (1, "copy"), (2, "other"), (2, "twice"), (3, "TWICE"), (4, None)]
+    want = [(None, "alone"), (1, "copy"), (2, "other"), (3, "TWICE"), (4, None)]
+    assert run(corpus_pipeline.drop_exact_copies, rows) == sorted(want, key=repr)
+    words = [f"w{i}" for i in range(60)]
+    one, near = " ".join(words), " ".join([*words, "end"])
+    far, far_near = " ".join(words[::-1]), " ".join([*words[::-1], "end"])
+    rows = [(None, far), (None, far_near), (None, near), (1, one), (2, near), (2, "quite another text of its own"), (5, one)]
+    got = run(corpus_pipeline.drop_near_copies, rows)
+    assert len(got) == 3 and {(1, one), (2, "quite another text of its own")} <= set(got)
+    assert [r[1] in (far, far_near) for r in got if r[0] is None] == [True]
