@@ -11,7 +11,8 @@ Copies are found by comparing whole texts: rows are aggregated by key and bytes,
 copies within a task first, so a text with a third of all rows crosses the network
 once per task. Owner tasks then take key ranges of the directory and chain the
 different texts of one key. Documents look their entry up by key alone; where a
-chain has more than one text, the bytes decide.
+chain has more than one text, the bytes decide. The directory decides nothing about
+the result; it only lays the entries out.
 
 Defined results: a NULL text counts as empty; a NULL id never wins against a number;
 rows repeated with id and text all get the same values; an empty table gives no rows;
