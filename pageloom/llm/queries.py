@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import table
 from pageloom.llm.exact_dedup import exact_dedup
+from pageloom.llm.fill_in_middle import fill_in_middle, restored
+from pageloom.llm.katz import lm_scores
 from pageloom.llm.language_id import language_id
 from pageloom.llm.mixing import mix_documents
 from pageloom.llm.near_dedup import near_dedup
@@ -77,6 +79,23 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), MODEL))
 
 
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -90,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotation_linking": op8_quotation_linking,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_katz_backoff": op11_katz_backoff,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -156,4 +177,34 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM p JOIN f USING (html)
     """,
+    # Prefix, middle and suffix are lists of tokens; DuckDB's slices count from 1.
+    "op13_fill_in_middle": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex,
+                regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+            FROM documents
+        ),
+        h AS (
+            SELECT *, len(tokens)::BIGINT AS n,
+                list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(hex, i::INT, 8))::BIGINT) AS h FROM t
+        ),
+        c AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                    OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ),
+        p AS (
+            SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle,
+                array_to_string(tokens[b + 1:], '') AS suffix FROM c
+        )
+        SELECT doc_id, n, form,
+            CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text
+                WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
