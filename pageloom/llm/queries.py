@@ -18,12 +18,14 @@ from pageloom.llm.near_dedup import near_dedup
 from pageloom.llm.piece_codec import encode_pieces
 from pageloom.llm.quality import quality
 from pageloom.llm.quotation import as_quoting, link_quotes
+from pageloom.llm.token_alignment import token_alignment
 from pageloom.llm.token_counts import token_counts
 from pageloom.llm.topk_search import top_k
 from pageloom.llm.warc import read_archive, write_archive
 
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,10 @@ def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), folds=7, held_out=2)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"), BYTE_MODEL, MODEL)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_in_middle(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_katz_backoff": op11_katz_backoff,
+    "op12_token_alignment": op12_token_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
