@@ -7,8 +7,9 @@ and a linear layer gives one score per language. As both steps are linear, a tra
 model is one table, bucket -> score per language, which is summed over the text.
 
 Training is stochastic gradient descent in NumPy on a bounded sample: at most
-``rows_per_label`` rows for each of the ``most_labels`` most frequent labels, drawn by
-hash over all labelled rows. Every fifth sampled row is left out of it and calibrates: a
+``rows_per_label`` rows for each of the ``most_labels`` most frequent labels (further labels
+are never predicted), drawn by a hash of id and text over all labelled rows, and of these, in
+the order of the draw, as many as have ``most_entries`` buckets together. Every fifth sampled row is left out of it and calibrates: a
 temperature for the scores, and the least familiarity of an accepted text.
 
 The score tells languages apart that training has seen, it does not tell that a text is
@@ -22,7 +23,9 @@ the calibration rows and short pieces of them, which then sets it.
 
 Defined results: a NULL text or one without any letter is ``und`` with score 0 and is
 not accepted; without labelled rows all texts are; with a single label all others have
-it with score 1, and are accepted if familiar. NULL labels teach nothing. NULL ids count as empty text in the fold.
+it with score 1, and are accepted if familiar. NULL labels teach nothing. NULL ids count as
+empty text in the fold. Rows with the same id, text and label teach once; an id with several
+labels or texts teaches each of them.
 Equal texts get equal results; other columns are ignored, whatever their names.
 """
 
@@ -38,7 +41,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.byte_windows import text_bytes, windows
-from pageloom.llm.common import fold, over_batches
+from pageloom.llm.common import fold, over_batches, ship
+from pageloom.llm.packing import pack, unpack
 
 _SIZES = (2, 3, 4)
 _BORDER = 32
@@ -102,12 +106,11 @@ def _counter(bits: int):
                 for begin, end, _, _ in windows(offsets):
                     for hashed in _grams(data, begin, end, offsets[1:] - begin, bits):
                         total += np.bincount(hashed, minlength=len(total))
-                found = np.flatnonzero(total[:-1]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict(
-                    {"label": batch.column(0).slice(i, 1), "buckets": [found], "counts": [total[found]]},
-                    schema=pa.schema(
-                        [("label", pa.string()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]
-                    ),
+                found = np.flatnonzero(total[:-1])
+                packed = [pa.array([pack(x)], pa.binary()) for x in (found, total[found])]
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(i, 1) for c in batch.columns[:1] + batch.columns[2:]], *packed],
+                    names=["label", "place", "drawn", "buckets", "counts"],
                 )
 
     return count
@@ -198,28 +201,25 @@ def train(
 
 
 def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: pa.Array) -> pa.Array:
         model: LanguageModel = shared.value
-        for batch in batches:
-            data, offsets = _prepared(batch.column(1))
-            total = np.zeros((batch.num_rows, len(model.labels) + 1))
-            grams = np.zeros(batch.num_rows, np.int64)
-            for begin, end, texts, cuts in windows(offsets, 1 << 18):
-                for hashed in _grams(data, begin, end, offsets[texts + 1] - begin, model.bits):
-                    total[texts] += np.add.reduceat(model.table[hashed], cuts, axis=0)
-                    grams[texts] += np.add.reduceat((hashed < 1 << model.bits).astype(np.int64), cuts)
-            mean = total[:, :-1] / np.maximum(grams, 1)[:, None] + model.bias
-            share = _softmax(mean / model.temperature)
-            best = share.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([model.labels[i] for i in best], pa.string()),
-                    pa.array(share.max(axis=1), pa.float64()),
-                    pa.array(total[:, -1] / (grams + _USUAL) >= model.threshold, pa.bool_()),
-                ],
-                names=["row", "lang", "score", "familiar"],
-            )
+        data, offsets = _prepared(texts)
+        total = np.zeros((len(texts), len(model.labels) + 1))
+        grams = np.zeros(len(texts), np.int64)
+        for begin, end, held, cuts in windows(offsets, 1 << 18):
+            for hashed in _grams(data, begin, end, offsets[held + 1] - begin, model.bits):
+                total[held] += np.add.reduceat(model.table[hashed], cuts, axis=0)
+                grams[held] += np.add.reduceat((hashed < 1 << model.bits).astype(np.int64), cuts)
+        mean = total[:, :-1] / np.maximum(grams, 1)[:, None] + model.bias
+        share = _softmax(mean / model.temperature)
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([model.labels[i] for i in share.argmax(axis=1)], pa.string()),
+                pa.array(share.max(axis=1), pa.float64()),
+                pa.array(total[:, -1] / (grams + _USUAL) >= model.threshold, pa.bool_()),
+            ],
+            names=["lang", "score", "familiar"],
+        )
 
     return score
 
@@ -233,36 +233,38 @@ def fit_language(
     rows_per_label: int = 1_000,
     most_labels: int = 200,
     bits: int = 15,
+    most_entries: int = 1 << 23,
 ) -> LanguageModel | None:
     """Trains on rows where ``teaches`` holds and the label is not NULL."""
-    drawn = F.xxhash64(F.col(id_col)) / F.lit(2.0**63)  # in -1 ... 1
-    rows = docs.filter(teaches & F.col(label_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(label_col).alias("label"), drawn.alias("drawn")
+    known = docs.filter(teaches & F.col(label_col).isNotNull()).select(
+        F.col(label_col).alias("label"),
+        F.col(text_col).alias("text"),
+        (F.xxhash64(id_col, F.xxhash64(text_col)) / F.lit(2.0**63)).alias("drawn"),  # in -1 ... 1
     )
+    rows = known.select("label", "drawn")
     sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()
     if not sizes:
         return None
     # Few rows beyond those wanted pass the first test, whatever the size of the table.
     share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(-1 + 4.0 * rows_per_label / r[1]))])
-    order = Window.partitionBy("label").orderBy("drawn", "id")
+    order = Window.partitionBy("label").orderBy("drawn")
     chosen = (
         rows.filter(F.col("drawn") <= share[F.col("label")])
+        .distinct()
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= rows_per_label)
-        .select("id", "label")
-        .dropDuplicates(["id"])
-    )
-    texts = docs.filter(teaches).select(
-        F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id")
     )
     # At most rows_per_label * most_labels narrow rows are broadcast.
-    counted = (
-        texts.join(F.broadcast(chosen), ["id", "label"], "left_semi")
-        .limit(rows_per_label * most_labels)
-        .select("label", "text")
-    )
-    counted = over_batches(counted, _counter(bits), "label string, buckets array<int>, counts array<long>")
-    found = [(r[0], np.array(r[1], np.int64), np.array(r[2])) for r in counted.toLocalIterator()]
+    texts = known.join(F.broadcast(chosen), ["label", "drawn"]).select("label", "text", "place", "drawn")
+    schema = "label string, place int, drawn double, buckets binary, counts binary"
+    counted = over_batches(texts, _counter(bits), schema).dropDuplicates(["label", "drawn"])
+    found, entries = [], 0
+    for r in counted.orderBy("place", "label").toLocalIterator():
+        row = (r["label"], unpack(r["buckets"]).astype(np.int32), unpack(r["counts"]).astype(np.int32))
+        entries += len(row[1])
+        if entries > most_entries:
+            break
+        found.append(row)
     found.sort(key=lambda r: (r[0], len(r[1]), int(r[2].sum()), r[1].tobytes()))
     order = np.random.default_rng(3).permutation(len(found))
     return train([found[i] for i in order], bits)
@@ -278,21 +280,24 @@ def identify_language(
     """One row per document: id, or the columns ``keep``, and lang_pred, score (0 to 1) and
     accepted."""
     keep = keep or [id_col]
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    rows = docs.select(F.struct(*[docs[c] for c in keep], letters).alias("row"), F.col(text_col).alias("text"))
+    ship(docs.sparkSession)
+    # The text alone goes to Python, and only what is found comes back.
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text_col].alias("text"))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        scored = rows.select("row", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"))
-        found, familiar = F.lit(False), F.lit(False)
+        nothing = (F.lit(None).cast("string"), F.lit(0.0), F.lit(False))
+        found = F.struct(*[x.alias(n) for x, n in zip(nothing, ("lang", "score", "familiar"))])
+        letters = F.lit(False)
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        kind = rows.schema["row"].dataType.simpleString()
-        scored = over_batches(rows, _scorer(shared), f"row {kind}, lang string, score double, familiar boolean")
-        found, familiar = F.col("row.letters"), F.col("familiar")
-    return scored.select(
-        *[F.col("row")[c].alias(c) for c in keep],
-        F.when(found, F.col("lang")).otherwise("und").alias("lang_pred"),
-        F.when(found, F.col("score")).otherwise(0.0).alias("score"),
-        (found & familiar).alias("accepted"),
+        score = F.arrow_udf(_scorer(shared), "struct<lang: string, score: double, familiar: boolean>")
+        found = score("text")
+    rows = rows.select("*", found.alias("found"), letters.alias("letters"))
+    return rows.select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        F.when(F.col("letters"), F.col("found.lang")).otherwise("und").alias("lang_pred"),
+        F.when(F.col("letters"), F.col("found.score")).otherwise(0.0).alias("score"),
+        (F.col("letters") & F.col("found.familiar")).alias("accepted"),
     )
 
 

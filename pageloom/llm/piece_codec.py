@@ -3,10 +3,10 @@
 A text is normalised by the longest rule of the model's compiled character map that
 fits at each place; each normalised character knows the bytes of the text it came
 from. The normalised text is cut where a space follows another character, as no piece
-crosses such a place, and each distinct segment is merged into pieces once and kept in
-a table of bounded size. Each piece gets the byte span of its first to its last
-character; the space put before a text and pieces of one character's bytes get the
-empty span at their place and that character's span.
+crosses such a place, and each distinct segment is merged into pieces once while it is in
+a task's table, which holds about ``most_bytes`` and goes with the task. Each piece gets the
+byte span of its first to its last character; the space put before a text and pieces of
+one character's bytes get the empty span at their place and that character's span.
 
 Defined results: a NULL or empty text has no pieces and decodes to an empty text;
 rows repeat as they come; other columns are ignored, whatever their names.
@@ -23,39 +23,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import over_batches
-from pageloom.llm.piece_machine import Transducer, few_collections
-from pageloom.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, load
+from pageloom.llm.packing import slices
+from pageloom.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel, load, merged
 from pageloom.llm.piece_normaliser import Normaliser, normaliser
 
-def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of all elements of slices, one slice after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(total)
-
-
 class _Segments(dict):
     """Segment -> code; what the segments encode to lies in arrays that double."""
 
-    def __init__(self, machine: Transducer):
-        self.machine = machine
+    def __init__(self, model: PieceModel):
+        self.model = model
         self.pieces = np.zeros((3, 1 << 16), np.int32)  # id, begin, end (in characters)
-        self.slices = np.zeros((2, 1 << 14), np.int64)  # first piece, number of pieces
-        self.used = 0
+        self.places = np.zeros((2, 1 << 14), np.int64)  # first piece, number of pieces
+        self.used = self.chars = 0
 
     def _room(self, buffer: np.ndarray, more: int, used: int) -> np.ndarray:
         if used + more <= buffer.shape[1]:
             return buffer
         return np.concatenate([buffer, np.zeros_like(buffer, shape=(len(buffer), len(buffer[0]) + more))], 1)
 
+    @property
+    def size(self) -> int:
+        """About the bytes held: a string, its entry and its numbers, and its characters."""
+        return 250 * len(self) + 2 * self.chars + self.pieces.nbytes + self.places.nbytes
+
+    def _encode(self, segment: str, ids: list[int], sizes: list[int]) -> None:
+        """Appends the ids of a segment and their characters. Of the bytes of an unknown
+        character all but the last have none."""
+        known, byte_ids = self.model.ids, self.model.byte_ids
+        for piece in merged(self.model, segment):
+            if piece in known:
+                ids.append(known[piece])
+                sizes.append(len(piece))
+            else:
+                own = [byte_ids[b] for b in piece.encode()]
+                ids += own
+                sizes += [0] * (len(own) - 1) + [1]
+
     def add(self, segments: list[str]) -> None:
         ids: list[int] = []
         sizes: list[int] = []  # in characters
         cuts = [0]
-        code, encode = len(self), self.machine.encode
+        code = len(self)
         for segment in segments:
             self[segment] = code + len(cuts) - 1
-            encode(segment, ids, sizes)
+            self._encode(segment, ids, sizes)
             cuts.append(len(ids))
         size, first = np.array(sizes, np.int64), np.array(cuts, np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -64,17 +75,17 @@ class _Segments(dict):
         # Bytes of a character lie at the place of that character.
         self.pieces[:, self.used : self.used + len(ids)] = ids, begins, begins + np.maximum(size, 1)
         sizes = np.diff(first)
-        self.slices = self._room(self.slices, len(sizes), code)
-        self.slices[1, code : code + len(sizes)] = sizes
-        self.slices[0, code : code + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.places = self._room(self.places, len(sizes), code)
+        self.places[1, code : code + len(sizes)] = sizes
+        self.places[0, code : code + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
+        self.chars += sum(map(len, segments))
 
 
 class Codec:
-    def __init__(self, model: PieceModel, normal: Normaliser, most_segments: int = 400_000):
-        self.model, self.normal, self.most_segments = model, normal, most_segments
-        self.machine = Transducer(model)
-        self.segments = _Segments(self.machine)
+    def __init__(self, model: PieceModel, normal: Normaliser, most_bytes: int = 48 << 20):
+        self.model, self.normal, self.most_bytes = model, normal, most_bytes
+        self.forget()
         surfaces = []
         for i, (piece, kind) in enumerate(zip(model.pieces, model.types)):
             if kind == BYTE:
@@ -88,11 +99,14 @@ class Codec:
         self.surface_start = np.cumsum(self.surface_size) - self.surface_size
         self.surface = np.frombuffer(b"".join(surfaces), np.uint8)
 
+    def forget(self) -> None:
+        """Empties the table of segments."""
+        self.segments = _Segments(self.model)
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and the begin and end byte of each piece in the text."""
-        self.machine.tidy()
-        if len(self.segments) > self.most_segments:
-            self.segments = _Segments(self.machine)
+        if self.segments.size > self.most_bytes:
+            self.forget()
         normal = self.normal
         plain = not normal.units and not normal.trim
         if plain:
@@ -115,10 +129,10 @@ class Codec:
             known.add(new)
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         ids, first, last = known.pieces
-        starts, sizes = known.slices
+        starts, sizes = known.places
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         sizes = sizes[codes]
-        at = _gather(starts[codes], sizes)
+        at = slices(starts[codes], sizes)
         base = np.repeat(np.cumsum(lengths) - lengths, sizes)
         return ids[at], begins[base + first[at]], ends[base + last[at] - 1]
 
@@ -127,7 +141,7 @@ class Codec:
         space in front of a text is taken off."""
         if not len(ids):
             return ""
-        at = _gather(self.surface_start[ids], self.surface_size[ids])
+        at = slices(self.surface_start[ids], self.surface_size[ids])
         data = self.surface[at].tobytes()
         try:
             out = data.decode()
@@ -140,7 +154,7 @@ class Codec:
         out: list[str] = []
         cuts = np.flatnonzero(np.diff(self.is_byte[ids].astype(np.int8))) + 1
         for run in np.split(ids, cuts):
-            data = self.surface[_gather(self.surface_start[run], self.surface_size[run])].tobytes()
+            data = self.surface[slices(self.surface_start[run], self.surface_size[run])].tobytes()
             while data:
                 try:
                     out.append(data.decode())
@@ -165,26 +179,31 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _encoder(path: str, most_tokens: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for batch in batches:
-            begun, tokens, rows = 0, 0, []
-            for i in range(batch.num_rows):
-                with few_collections():
-                    found = tool.encode(batch.column(1)[i].as_py() or "")
-                rows.append((*found, tool.decode(found[0])))
-                tokens += len(found[0])
-                if tokens >= most_tokens or i == batch.num_rows - 1:
-                    ids, begins, ends, texts = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(begun, len(rows)),
-                            _lists(list(ids)),
-                            _lists(list(begins)),
-                            _lists(list(ends)),
-                            pa.array(texts, pa.string()),
-                        ],
-                        names=["id", "ids", "begins", "ends", "decoded"],
-                    )
-                    begun, tokens, rows = i + 1, 0, []
+        try:
+            for batch in batches:
+                yield from encoded(tool, batch)
+        finally:
+            tool.forget()
+
+    def encoded(tool: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        begun, tokens, rows = 0, 0, []
+        for i in range(batch.num_rows):
+            found = tool.encode(batch.column(1)[i].as_py() or "")
+            rows.append((*found, tool.decode(found[0])))
+            tokens += len(found[0])
+            if tokens >= most_tokens or i == batch.num_rows - 1:
+                ids, begins, ends, texts = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(begun, len(rows)),
+                        _lists(list(ids)),
+                        _lists(list(begins)),
+                        _lists(list(ends)),
+                        pa.array(texts, pa.string()),
+                    ],
+                    names=["id", "ids", "begins", "ends", "decoded"],
+                )
+                begun, tokens, rows = i + 1, 0, []
 
     return encode
 

@@ -35,7 +35,7 @@ from pageloom.llm.shingles import slices, word_hashes
 _CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "digit": b"0123456789",
+    "numeral": b"0123456789",
     "space": b" \t\r\v\f",
     "line": b"\n",
     "stop": b".?",
