@@ -33,12 +33,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import over_batches
 from pageloom.session import work_dir, written
 
+MOST_TASKS = 1 << 16  # that a single read is dealt out to
 # Fixed values of the seekable format and of WARC 1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -59,9 +60,15 @@ class Archive:
     index: DataFrame
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark resolves it by, so that executors write the
+    bundles where Spark writes the index."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+    """The file system of a qualified folder, and its path there."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
@@ -236,7 +243,7 @@ def write_archive(
     date: str = "1970-01-01T00:00:00Z",
 ) -> Archive:
     """Writes bundles and index below ``folder``, by default in the shared work folder."""
-    folder = folder or f"{work_dir(pages.sparkSession)}/warc"
+    folder = qualified(pages.sparkSession, folder or f"{work_dir(pages.sparkSession)}/warc")
     store, root = _store(folder)
     store.create_dir(f"{root}/bundles", recursive=True)
     rows = with_response(pages, id_col, url_col, payload_col, revisit_from)
@@ -315,23 +322,38 @@ def _reader(folder: str, payload: bool):
 def read_archive(archive: Archive, payload: bool = True) -> DataFrame:
     """All records, bundle by bundle and frame by frame; digests are checked."""
     bundles = archive.index.select("bundle").distinct()
+    # A name is a few bytes but a bundle much work, so each is a task of its own.
+    bundles = bundles.repartition(max(1, min(bundles.count(), MOST_TASKS)))
     return over_batches(bundles, _reader(f"{archive.folder}/bundles", payload), RECORD_SCHEMA)
 
 
 def _fetcher(folder: str):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
+        name, source, frames, at, data = None, None, [], None, b""
         for batch in batches:
             for row in batch.to_pylist():
-                with store.open_input_file(f"{root}/{row['bundle']}") as source:
-                    data = _frame(source, seek_table(source)[row["frame"]])
+                if row["bundle"] != name:
+                    if source is not None:
+                        source.close()
+                    name, at = row["bundle"], None
+                    source = store.open_input_file(f"{root}/{name}")
+                    frames = seek_table(source)
+                if row["frame"] != at:
+                    at, data = row["frame"], _frame(source, frames[row["frame"]])
                 yield pa.RecordBatch.from_pylist([parse_record(data, row["offset"])[0]], RECORD_ARROW)
+        if source is not None:
+            source.close()
 
     return fetch
 
 
 def fetch_records(archive: Archive, wanted: DataFrame) -> DataFrame:
-    """Random access: the records whose record_id is in ``wanted``, one frame read for each."""
+    """Random access: the records whose record_id is in ``wanted``. Of their bundles the seek
+    tables are read, and each frame that holds one, once for each task."""
     rows = archive.index.join(wanted.select("record_id").distinct(), "record_id", "left_semi")
     rows = rows.dropDuplicates(["record_id"]).select("bundle", "frame", "offset")
+    frames = rows.select("bundle", "frame").distinct().count()
+    rows = rows.repartition(max(1, min(frames, MOST_TASKS)), "bundle", "frame")
+    rows = rows.sortWithinPartitions("bundle", "frame", "offset")
     return over_batches(rows, _fetcher(f"{archive.folder}/bundles"), RECORD_SCHEMA)

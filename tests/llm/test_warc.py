@@ -77,6 +77,26 @@ def test_single_records(spark):
     assert fetch_records(found, index.filter("false")).count() == 0
 
 
+def test_bundles_are_read_by_many_tasks(spark):
+    rows = [(i, f"https://a.example/{i}", f"<p>{i}</p>" * 50) for i in range(100)]
+    found = archive(spark, rows, frame_bytes=1, bundle_bytes=1)
+    assert found.index.select("bundle").distinct().count() == 100
+    records = read_archive(found)
+    by_task = records.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 30 and max(r["count"] for r in by_task) < 20
+    assert summary(records) == expected(rows, 0)
+    some = fetch_records(found, found.index.filter("page_id % 3 = 0"))
+    assert sorted(r.page_id for r in some.collect()) == list(range(0, 100, 3))
+
+
+def test_folders_with_and_without_scheme(spark, tmp_path):
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/named"):
+        found = archive(spark, folder=folder)
+        assert found.folder.startswith("file:")
+        assert summary(read_archive(found)) == expected(ROWS, 0)
+        assert os.listdir(folder.removeprefix("file://") + "/bundles")
+
+
 def test_empty_table(spark):
     assert read_archive(archive(spark, [])).count() == 0
 
