@@ -9,7 +9,7 @@ import numpy as np
 
 from pageloom.llm.packing import slices
 
-WINDOW = 1 << 20  # bytes; longer strings are aligned part by part
+WINDOW = 1 << 18  # bytes; longer strings are aligned part by part
 
 
 class Csr(NamedTuple):

@@ -6,10 +6,11 @@ bytes they cover, make two incidence matrices; their product A * B^T holds the p
 that share bytes, and those whose bytes end together are links. Places where tokens of both end
 cut a text into groups (``incidence``).
 
-Texts are cut where a letter A-Z or a-z is followed by a space and such a letter. No token
-of either tokenizer crosses such a place: A splits there before it merges, and no piece of B
-has a space after another character. So a segment is encoded and aligned once while it is in
-a task's table, which holds ``most_chars`` characters and goes with the task.
+Texts are cut where a visible ASCII character is followed by one space and another such
+character. No token of either tokenizer crosses such a place: A splits there before it
+merges, and no piece of B has a space after another character. So a segment is encoded and
+aligned once while it is in a task's table, which holds about ``most_bytes`` and goes with
+the task.
 
 Links of ids over the corpus: where tokens end together one's bytes are an end of the
 other's. So all pairs of ids that can ever be linked follow from the two vocabularies, a
@@ -31,6 +32,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ from pageloom.llm.incidence import align
 from pageloom.llm.packing import slices
 from pageloom.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, load
 
-_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
 _SUM_COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_group_pairs")
 
 
@@ -75,10 +77,11 @@ class Vocabularies:
             for i, token in enumerate(tokens):
                 if token:
                     ids[token].append(i)
-        pairs = {(a, b) for a, t in enumerate(self.a) for i in range(len(t)) for b in ids_b.get(t[i:], ())}
-        pairs |= {(a, b) for b, t in enumerate(self.b) for i in range(len(t)) for a in ids_a.get(t[i:], ())}
-        self.pair_a, self.pair_b = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
-        self._keys = self.pair_a * len(self.b) + self.pair_b
+        n = len(self.b)
+        keys = [a * n + b for a, t in enumerate(self.a) for i in range(len(t)) for b in ids_b.get(t[i:], ())]
+        keys += [a * n + b for b, t in enumerate(self.b) for i in range(len(t)) for a in ids_a.get(t[i:], ())]
+        self._keys = np.unique(np.array(keys, np.int64))
+        self.pair_a, self.pair_b = np.divmod(self._keys, n)
 
     def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.searchsorted(self._keys, a * len(self.b) + b).astype(np.int32)
@@ -104,14 +107,23 @@ class _Surfaces:
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
         self.names = [f"{i}{end}" for i in range(len(tokens)) for end in (",", "|", ";", "")]
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return self.data[slices(self.starts[ids], self.sizes[ids])].tobytes()
+    def spell(self, ids: np.ndarray, numbers: np.ndarray, data: list[bytes]) -> np.ndarray:
+        """Whether the bytes of each sequence, ``numbers`` ids long, are those of ``data``."""
+        joined = self.data[slices(self.starts[ids], self.sizes[ids])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.cumsum(numbers)].tolist()
+        return np.array([joined[a:b] == d for a, b, d in zip([0, *ends[:-1]], ends, data)], bool)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one array, and how many each list has."""
+    numbers = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(numbers.sum())), numbers
 
 
 class Aligner:
     """Encodes and aligns segments; new ones together, known ones by a table."""
 
-    def __init__(self, a_path: str, b_path: str, most_chars: int = 1 << 23):
+    def __init__(self, a_path: str, b_path: str, most_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers  # reads the setting above
 
@@ -120,7 +132,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.of_a, self.of_b = _Surfaces(self.words.a), _Surfaces(self.words.b)
-        self.most_chars = most_chars
+        self.most_bytes = most_bytes
         self._reset()
 
     def _reset(self) -> None:
@@ -134,19 +146,13 @@ class Aligner:
 
     def learn(self, segments: list[str]) -> None:
         """Takes new segments into the table; each begins with a space."""
-        found_a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        found_b = [np.array(x, np.int64) for x in self.b.encode([s[1:] for s in segments], num_threads=1)]
-        right = np.array(
-            [
-                self.of_a.joined(a) == (data := s.encode()) and self.of_b.joined(b) == data
-                for s, a, b in zip(segments, found_a, found_b)
-            ],
-            bool,
-        )
-        kept = np.flatnonzero(right)
-        none = np.zeros(0, np.int64)
-        a, b = (np.concatenate([none, *[found[i] for i in kept]]) for found in (found_a, found_b))
-        n_a, n_b = (np.array([len(found[i]) if ok else 0 for i, ok in enumerate(right)]) for found in (found_a, found_b))
+        encoded = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+        found_a, n_a = _flat(encoded)
+        found_b, n_b = _flat(self.b.encode([s[1:] for s in segments], num_threads=1))
+        data = [s.encode() for s in segments]
+        right = self.of_a.spell(found_a, n_a, data) & self.of_b.spell(found_b, n_b, data)
+        a, b = found_a[np.repeat(right, n_a)], found_b[np.repeat(right, n_b)]
+        n_a, n_b = np.where(right, n_a, 0), np.where(right, n_b, 0)
         aligned = align(self.of_a.sizes[a], self.of_b.sizes[b])
         own = np.repeat(np.arange(len(segments)), n_a)  # segment of each A token
         per = lambda at, weights=None: np.bincount(at, weights, len(segments)).astype(np.int64)
@@ -182,7 +188,8 @@ class Aligner:
 
     def rows(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray]]:
         """Sums, groups and links of each text."""
-        if self.chars > self.most_chars:
+        # A string and its groups, their entries, and their numbers.
+        if 400 * len(self.codes) + 8 * self.chars + 4 * len(self.links) > self.most_bytes:
             self._reset()
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
         if new := [s for s in dict.fromkeys(s for segments in cut for s in segments) if s not in self.codes]:
@@ -233,7 +240,7 @@ def align_tokens(
     b_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    part_chars: int = 1 << 21,
+    part_chars: int = 1 << 19,
 ) -> DataFrame:
     """Of every whole text: id; n_a and n_b (tokens), n_groups, n_links, n_overlaps (pairs that
     share bytes), n_group_pairs (pairs in one group); groups, as ``a1,a2|b1;a3|b2,b3``; and

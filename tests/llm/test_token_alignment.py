@@ -117,7 +117,7 @@ def test_empty_table(spark):
 
 
 def test_small_table_of_segments(libraries):
-    tool = Aligner(A, B, most_chars=20)
+    tool = Aligner(A, B, most_bytes=5_000)
     for text in [t for t in TEXTS if t] * 2:
         sums, groups, _ = tool.rows([text])[0]
         a, b, wanted, _ = plain(text, libraries)
