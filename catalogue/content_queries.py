@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.inputs import PARTS, origin_of, pages, table
+from catalogue.inputs import PARTS, html_pages, origin_of, pages, table
 from catalogue.registry import query
 from pageloom.functions import render as R
 from pageloom.functions import text as X
 from pageloom.functions.events import parse_events
 from pageloom.operators import aggregates as A
 from pageloom.operators.content import extract_content, link_targets
-from pageloom.session import spread
 
 # The article of a test page and, in SQL, what the rules make of it. In these
 # pages only <p> and <b> stay open, and only there.
@@ -35,7 +34,7 @@ TITLE = DECODE.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")
 
 
 def _content(spark, sf_dir, *fields):
-    rows = spread(pages(spark, sf_dir), "page_id").select("page_id", "html")
+    rows = html_pages(spark, sf_dir).select("page_id", "html")
     return extract_content(rows, fields).drop("error")
 
 
@@ -50,7 +49,7 @@ _TAGS = ("article", "a", "b", "br", "h1", "li", "meta", "p", "title")
     FROM pages, t WHERE opened > 0""",
 )
 def parse_events_query(spark, sf_dir):
-    parsed = spread(pages(spark, sf_dir), "page_id").select(
+    parsed = html_pages(spark, sf_dir).select(
         "page_id", F.explode(parse_events(F.col("html"), ()).events).alias("e")
     )
     return (
@@ -76,7 +75,7 @@ def title(spark, sf_dir):
     SELECT page_id, pos::BIGINT AS pos, href, origin || href AS target FROM f""",
 )
 def links(spark, sf_dir):
-    found = link_targets(spread(pages(spark, sf_dir), "page_id"))
+    found = link_targets(html_pages(spark, sf_dir))
     return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "target")
 
 
@@ -86,7 +85,7 @@ def links(spark, sf_dir):
       origin || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM p""",
 )
 def distinct_urls(spark, sf_dir):
-    found = link_targets(spread(pages(spark, sf_dir), "page_id"), ("url",))
+    found = link_targets(html_pages(spark, sf_dir), ("url",))
     return A.distinct_urls(found.select(origin_of().alias("origin"), "target"), ("origin", "target"))
 
 
@@ -104,7 +103,7 @@ def meta_refresh(spark, sf_dir):
     html = F.when(
         F.col("page_id") % 4 == 0, F.replace("html", F.lit("<head>"), tag)
     ).otherwise(F.col("html"))
-    rows = spread(pages(spark, sf_dir), "page_id").select("page_id", "url", html.alias("html"))
+    rows = html_pages(spark, sf_dir).select("page_id", "url", html.alias("html"))
     return link_targets(rows).filter("pos = 0").select("page_id", "href", "target")
 
 
@@ -145,7 +144,7 @@ def _with_code(spark, sf_dir):
     added = F.concat(
         F.lit(_PRES[0]), "page_id", F.lit(_PRES[1]), "page_id", F.lit(_PRES[2])
     )
-    return spread(pages(spark, sf_dir), "page_id").select(
+    return html_pages(spark, sf_dir).select(
         "page_id", F.replace("html", F.lit("</article>"), added).alias("html")
     )
 

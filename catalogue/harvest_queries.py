@@ -13,6 +13,7 @@ from catalogue.inputs import (
     graph_pages,
     graph_seeds,
     graph_url,
+    html_pages,
     origin_of,
     pages,
     seeds,
@@ -38,7 +39,7 @@ from pageloom.plans.export import (
 )
 from pageloom.plans.harvest import harvest, sitemap_harvest
 from pageloom.schemas import PAGES, PAGES_FULL
-from pageloom.session import spread, work_dir
+from pageloom.session import work_dir
 from pageloom.sources import sitemaps as S
 from pageloom.sources.exports import read_export
 from pageloom.streaming.captures import stream_dedup, stream_diff_export, stream_pages
@@ -235,7 +236,7 @@ def crawl_dedup(spark, sf_dir):
       FROM f GROUP BY ALL)""",
 )
 def first_seen_query(spark, sf_dir):
-    found = link_targets(spread(pages(spark, sf_dir), "page_id"))
+    found = link_targets(html_pages(spark, sf_dir))
     queue = found.select(
         F.xxhash64(origin_of()).alias("seed_id"),
         F.col("target").alias("url"),
@@ -291,7 +292,7 @@ def _saved(spark, sf_dir):
 def _export(spark, sf_dir, fmt="md", **options):
     return export_rows(
         _saved(spark, sf_dir),
-        pages(spark, sf_dir),
+        html_pages(spark, sf_dir),
         HarvestConfig(format=fmt, **options),
         date=F.lit(1700000000),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.session import spread
 from pageloom.sources.pages import read_pages
 
 LOCS = 10_000  # locations per derived sitemap document
@@ -47,6 +48,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages for queries that parse them; the small tables are one split each."""
+    return spread(pages(spark, sf_dir), "page_id")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -173,7 +179,7 @@ def graph_pages(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataF
 
     With ``copies`` every third page has the HTML of the page before it.
     """
-    base = pages(spark, sf_dir)
+    base = html_pages(spark, sf_dir)
     number = (F.floor(F.col("page_id") / SITES) + 1).cast("bigint")
     rows = base.select("page_id", number.alias("n"), "html")
     source = rows

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.inputs import PARTS, origin_of, origins, pages, robots, seeds, slug_sql, table
+from catalogue.inputs import PARTS, html_pages, origin_of, origins, pages, robots, seeds, slug_sql, table
 from catalogue.registry import query
 from pageloom.functions import urls as U
 from pageloom.functions.events import parse_links
 from pageloom.operators import aggregates as A
 from pageloom.operators import filters as P
 from pageloom.operators import joins as J
-from pageloom.session import spread
 from pageloom.sources.robots import robots_rules
 from pageloom.sources.seeds import clean_seed_lines
 
@@ -103,7 +102,7 @@ def url_resolve(spark, sf_dir):
 )
 def normalize_url(spark, sf_dir):
     extra = F.array(*[F.lit(h) for h in ("../x", "?q=1", "//H.example/y", "mailto:a@b", "")])
-    found = spread(pages(spark, sf_dir), "page_id").select(
+    found = html_pages(spark, sf_dir).select(
         "page_id", "url", parse_links(F.col("html")).alias("links")
     )
     return found.select(
@@ -366,7 +365,7 @@ def max_pages(spark, sf_dir):
 )
 def page_number(spark, sf_dir):
     rows = pages(spark, sf_dir).select(origin_of().alias("origin"), "page_id")
-    return A.page_number(rows, "origin", "page_id", run=50)
+    return A.page_number(rows, "origin", "page_id")
 
 
 @query(

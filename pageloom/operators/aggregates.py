@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.session import work_dir, written
+
 
 def pages_per_seed(saved: DataFrame, key: str = "seed") -> DataFrame:
     """A1."""
@@ -42,29 +44,33 @@ def first_seen(queue: DataFrame) -> DataFrame:
     return queue.groupBy("seed_id", "url").agg(F.min("ord").alias("ord"))
 
 
-def page_number(
-    saved: DataFrame, key: str, order: str, run: int = 10_000, name: str = "number"
-) -> DataFrame:
-    """Running number per key by the whole-number column ``order``.
+def page_number(saved: DataFrame, key: str, order: str | list[str], name: str = "number") -> DataFrame:
+    """Running number per key by ``order`` (one or more columns), from 1.
 
-    Rows are numbered within runs of ``run`` order values, and runs get the
-    number of rows before them. The largest window is a run or the list of a
-    key's runs, so a key with a billion rows is no single task.
+    Rows are range-partitioned by key and order and sorted, so a key's rows lie in
+    neighbouring partitions and each knows its place within its own. A key's rows in each
+    partition are counted; their sums over the partitions before are the offsets. No task
+    holds more than a partition, whatever a key's share of the rows and however dense its
+    order values are; a window only sees one count for each partition of a key. Rows with
+    equal order are numbered one after the other, in any order, and split as well; NULL is
+    a key like others. The sorted rows are a work table.
     """
-    runs = saved.withColumn("_run", F.floor(F.col(order) / run))
-    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        runs.groupBy(key, "_run")
-        .agg(F.count("*").alias("_rows"))
-        .select(key, "_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    )
-    within = F.row_number().over(Window.partitionBy(key, "_run").orderBy(order))
-    return (
-        runs.withColumn("_at", within)
-        .join(offsets, [key, "_run"])
-        .withColumn(name, F.col("_before") + F.col("_at"))
-        .select(*saved.columns, name)
+    orders = [order] if isinstance(order, str) else list(order)
+    ranged = saved.withColumn("_tie", F.monotonically_increasing_id())
+    by = [key, *orders, "_tie"]
+    ranged = ranged.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    ranged = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    ranged = written(ranged, f"{work_dir(saved.sparkSession)}/ranged")
+    counts = ranged.groupBy(key, "_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col(key).alias("_key"),
+        F.col("_part").alias("_of"),
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
     )
+    same = (F.col("_part") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key"))
+    numbered = ranged.join(offsets, same).withColumn(name, F.col("_at") + F.col("_offset"))
+    return numbered.select(*saved.columns, name)
 
 
 def last_write_wins(

@@ -11,14 +11,19 @@ not change during a crawl, and the text of a URL neither. So the saved pages
 and their hashes are all the memory a level needs: a URL that was taken from
 the queue before is either saved, or refused again, or its text is known.
 
-Each level is one write to the work folder: lineage stays short and a lost
+Only the newest capture of a URL is parsed, once for the whole crawl. What it links to lies
+in a table bucketed by URL, so a level moves its own rows to that table and never the table;
+and of it only the part between the first and the last URL of the level is scanned.
+
+Each level is one job, a write to the work folder: lineage stays short and a lost
 executor costs one level at most. What levels have saved is merged into one narrow
 table at intervals, so a level reads a bounded number of tables. The driver sees
-counts only. Work tables are removed when the result has been written.
+counts and two URLs a level. Work tables are removed when the result has been written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +57,7 @@ from pageloom.operators.joins import (
     robots_policies,
     seen_anti,
 )
-from pageloom.session import removed, spread, work_dir, written
+from pageloom.session import Bucketed, bucketed, observed, removed, work_dir, written
 
 SAVED = ("seed_id", "seed", "url", "depth", "ord", "page_id", "error")
 MERGE_LEVELS = 8  # levels whose saved pages are read as tables of their own
@@ -73,34 +78,40 @@ def origin_of_seed(seed: Column) -> Column:
     return url_origin(base_of(seed))
 
 
-def link_index(pages: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
-    """``url, page_id, sha1, targets, error`` of the newest capture of each URL, where
-    that is a page.
-
-    Which captures count is settled on narrow columns. Only captures that pass the
-    response gate, of the hosts that seeds name, are parsed, once for the whole crawl;
-    after it this narrow table is read. Targets keep queue order, refresh tag first,
-    first of equals. ``error`` tells why the links of a page could not be read.
-    """
+def newest_captures(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``page_id, url`` of the newest capture of each URL of the origins in ``hosts``, where
+    that passes the response gate; settled on narrow columns."""
     extra = [c for c in ("captured_at",) if c in pages.columns]
-    hosts = seeds.select(over(origin_of_seed, "seed").alias("_origin")).distinct()
-    named = pages.withColumn("url", over(page_key, "url")).withColumn("ok", response_gate(pages))
+    named = pages.select(over(page_key, "url").alias("url"), "page_id", response_gate(pages).alias("ok"), *extra)
     own = named.withColumn("_origin", over(url_origin, "url")).join(hosts, "_origin", "left_semi")
-    newest = latest_captures(own.select("url", "page_id", "ok", *extra), "url", "ok")
-    raw = own.filter("ok").select(
+    return latest_captures(own.drop("_origin"), "url", "ok").filter("ok").select("page_id", "url")
+
+
+def page_links(pages: DataFrame, captures: DataFrame) -> DataFrame:
+    """``url, page_id, sha1, targets, error`` of the given captures (``page_id, url``), which
+    alone are parsed. Targets keep queue order, refresh tag first, first of equals.
+    ``error`` tells why the links of a page could not be read."""
+    raw = pages.select("page_id", "html").join(captures, "page_id").select(
         "url",
         "page_id",
         content_sha1(F.col("html")).alias("sha1"),
         parse_links(F.col("html")).alias("_links"),
     )
     targets = over(queue_targets, "url", "_links").alias("targets")
-    index = written(
-        raw.select("url", "page_id", "sha1", targets, "_links.error"), f"{folder}/links"
-    )
-    return written(
-        index.join(newest.filter("ok").select("page_id"), "page_id", "left_semi"),
-        f"{folder}/index",
-    )
+    return raw.select("url", "page_id", "sha1", targets, "_links.error")
+
+
+def link_index(pages: DataFrame, seeds: DataFrame, folder: str) -> Bucketed:
+    """Links of the newest captures of the hosts that seeds name, bucketed by URL.
+
+    Hosts and captures are written before they are joined with, so Spark knows how small
+    they are: HTML stays where it is scanned unless the captures wanted exceed its limit
+    for broadcasts; then that of the wanted ones is exchanged once, by page.
+    """
+    hosts = seeds.select(over(origin_of_seed, "seed").alias("_origin")).distinct()
+    hosts = written(hosts, f"{folder}/hosts")
+    captures = written(newest_captures(pages, hosts), f"{folder}/captures")
+    return bucketed(page_links(pages, captures), f"{folder}/index", "url")
 
 
 def select_urls(urls: DataFrame, policies: DataFrame | None, cfg: HarvestConfig) -> DataFrame:
@@ -123,83 +134,121 @@ def crawl(
     """Saved pages as ``seed_id, seed, url, depth, ord, page_id, error``."""
     spark = pages.sparkSession
     folder = work_dir(spark)
-    index = link_index(spread(pages, "page_id"), seeds, folder)
+    seeds = written(seeds.select("seed_id", "seed"), f"{folder}/seeds")
+    index = link_index(pages, seeds, folder)
     policies = None
     if robots is not None:
         policies = written(robots_policies(robots, cfg.agent), f"{folder}/robots")
-    frontier = seeds.select(
-        "seed_id",
-        "seed",
-        over(base_of, "seed").alias("base"),
-    ).select("*", F.col("base").alias("url"), F.array().cast("array<bigint>").alias("ord"))
-
     saved = _Levels(spark, folder)
-    saved_total, depth, length = 0, 0, 0
-    while True:
-        new = frontier.groupBy("seed_id", "url").agg(
-            F.min(F.struct("ord", "seed", "base")).alias("_first")
-        )
-        if saved:
-            new = seen_anti(new, saved.seen())
-        new = new.select("seed_id", "url", "_first.*")
-        fetched = fetch_join(select_urls(new, policies, cfg), index)
-        found = first_by_hash(
-            fetched.select(
-                "seed_id", "sha1", "ord", "seed", "base", "url", "page_id", "error", "targets"
-            ),
-            saved.seen() if saved else None,
-        ).withColumn("depth", F.lit(depth))
+    _walk(first_frontier(seeds), lambda reach: _reader(index.rows, reach), policies, cfg, saved, folder)
+    result = written(saved.table().select(*SAVED), f"{folder}/saved")
+    index.removed()
+    for name in ("seeds", "hosts", "captures", "robots", "found", "kept", "seen"):
+        removed(spark, f"{folder}/{name}")
+    return result
+
+
+def first_frontier(seeds: DataFrame) -> DataFrame:
+    rows = seeds.select("seed_id", "seed", over(base_of, "seed").alias("base"))
+    return rows.select("*", F.col("base").alias("url"), F.array().cast("array<bigint>").alias("ord"))
+
+
+def next_frontier(found: DataFrame) -> DataFrame:
+    """The links of a level's pages, in queue order."""
+    return found.select(
+        "seed_id", "seed", "base", "ord", F.posexplode("targets").alias("pos", "url")
+    ).select(
+        "seed_id", "seed", "base", "url", F.concat("ord", F.array(F.col("pos").cast("bigint"))).alias("ord")
+    )
+
+
+Fetch = Callable[[DataFrame], DataFrame]  # URLs to their rows in the link index
+
+
+def level_pages(
+    frontier: DataFrame, seen: DataFrame | None, fetch: Fetch, policies: DataFrame | None, cfg: HarvestConfig
+) -> DataFrame:
+    """What a level saves: new URLs, selected, captured, with a text that is new to the
+    seed. Of their targets those in the seed's scope."""
+    new = frontier.groupBy("seed_id", "url").agg(F.min(F.struct("ord", "seed", "base")).alias("_first"))
+    if seen is not None:
+        new = seen_anti(new, seen)
+    new = new.select("seed_id", "url", "_first.*")
+    fetched = fetch(select_urls(new, policies, cfg)).select(
+        "seed_id", "sha1", "ord", "seed", "base", "url", "page_id", "error", "targets"
+    )
+    base = F.col("base")
+    return first_by_hash(fetched, seen).withColumn("targets", F.filter("targets", lambda t: t.startswith(base)))
+
+
+def _reader(index: DataFrame, reach: tuple[str, str] | None) -> Fetch:
+    """Looks URLs up in the part of the index from the first to the last of them."""
+    part = index if reach is None else index.filter(F.col("url").between(*reach))
+    return lambda urls: fetch_join(urls, part)
+
+
+def _walk(
+    frontier: DataFrame | None,
+    fetch_of: Callable[[tuple[str, str] | None], Fetch],
+    policies: DataFrame | None,
+    cfg: HarvestConfig,
+    saved: _Levels,
+    folder: str,
+    entering: dict[int, DataFrame] | None = None,
+    saved_total: int = 0,
+) -> None:
+    """Level by level until nothing is left. ``entering`` holds URLs that join at a depth of
+    their own; ``fetch_of`` gives the look-up for a range of URLs, None for any."""
+    entering = dict(entering or {})
+    if frontier is not None:
+        entering[0] = frontier
+    depth, length, frontier, reach = min(entering, default=0), 0, None, None
+    told = {
+        "rows": F.count(F.lit(1)),
+        "first": F.min(F.array_min("targets")),
+        "last": F.max(F.array_max("targets")),
+    }
+    while entering or frontier is not None:
+        joining = entering.pop(depth, None)
+        if joining is not None:
+            frontier, reach = joining if frontier is None else frontier.unionByName(joining), None
+        seen = saved.seen() if saved else None
+        found = level_pages(frontier, seen, fetch_of(reach), policies, cfg).withColumn("depth", F.lit(depth))
         if length >= LONG_ORD:
             found = found.repartitionByRange("ord").sortWithinPartitions("ord")
             found = found.withColumn("ord", F.array(F.monotonically_increasing_id()))
             length = 1
         path = f"{folder}/found/{depth}"
-        found = written(found, path)
-        count = found.count()
-        if cfg.max_pages is not None and saved_total + count > cfg.max_pages:
-            earlier = saved.seen() if saved else None
+        found, level = observed(found, path, **told)
+        if cfg.max_pages is not None and saved_total + level["rows"] > cfg.max_pages:
             path = f"{folder}/kept/{depth}"
-            found = written(_within_limit(found, earlier, cfg.max_pages), path)
-            count = found.count()
+            found, level = observed(_within_limit(found, seen, cfg.max_pages), path, **told)
         saved.hold(found, path)
-        saved_total += count
-        if count == 0 or (cfg.depth and depth >= cfg.depth):
-            break
-        frontier = (
-            _open_seeds(found, saved.seen(), cfg.max_pages, saved_total)
-            .filter(depth_limit(F.col("depth"), cfg.depth))
-            .select(
-                "seed_id", "seed", "base", "ord", F.posexplode("targets").alias("pos", "target")
-            )
-            .filter(F.col("target").startswith(F.col("base")))
-            .select(
-                "seed_id",
-                "seed",
-                "base",
-                F.col("target").alias("url"),
-                F.concat("ord", F.array(F.col("pos").cast("bigint"))).alias("ord"),
-            )
-        )
+        saved_total += level["rows"]
+        frontier = None
+        # Without targets in scope the next level is only what enters there.
+        if level["first"] is not None and not (cfg.depth and depth >= cfg.depth):
+            reach = (level["first"], level["last"])
+            open_ = _open_seeds(found, saved.seen(), cfg.max_pages, saved_total)
+            frontier = next_frontier(open_.filter(depth_limit(F.col("depth"), cfg.depth)))
+        if frontier is None and entering:
+            depth = min(entering) - 1
         depth += 1
         length += 1
-    result = written(saved.table().select(*SAVED), f"{folder}/saved")
-    for name in ("links", "index", "robots", "found", "kept", "seen"):
-        removed(spark, f"{folder}/{name}")
-    return result
 
 
 class _Levels:
     """The written tables of all levels so far."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, before: DataFrame | None = None):
         self.spark, self.folder = spark, folder
         self.schema: StructType | None = None
         self.paths: list[str] = []  # of all levels
-        self.merged: DataFrame | None = None  # seen pages of the first levels
+        self.merged = before  # seen pages from before the walk, and of its first levels
         self.since: list[str] = []  # levels after those
 
     def __bool__(self) -> bool:
-        return bool(self.paths)
+        return bool(self.paths) or self.merged is not None
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*paths)

@@ -17,7 +17,7 @@ from pageloom.operators.aggregates import last_write_wins
 from pageloom.operators.content import extract_content
 from pageloom.operators.joins import diff_join
 from pageloom.schemas import EXPORT, EXPORT_KEYS
-from pageloom.session import folder_numbers, removed, spread, work_dir, written
+from pageloom.session import folder_numbers, removed, work_dir, written
 
 SNAPSHOT_BATCHES = 16  # batches after which a snapshot of what stands is written
 
@@ -43,19 +43,22 @@ def export_rows(
     pages: DataFrame,
     cfg: HarvestConfig = HarvestConfig(),
     date: Column | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """The export table of saved pages.
 
-    Duplicate paths are settled on ids first. Pages that no path needs are dropped by a
+    Duplicate paths are settled on ids first, in a table that is written, so Spark knows
+    its size when it plans the joins with it. Pages that no path needs are dropped by a
     semi-join on ids before parsing, each page is parsed once, and its content, a
-    fraction of the HTML, is joined to the paths. Where the ids are few Spark broadcasts
-    them and HTML stays where it is scanned; else its runtime filter drops most other
-    pages before the HTML of those needed is exchanged once. ``date`` is epoch seconds;
-    the hash leaves it out.
+    fraction of the HTML, is joined to the paths. Up to Spark's limit for broadcasts the
+    ids go to the pages and HTML stays where it is scanned; beyond it the HTML of
+    the pages is exchanged once, unless they lie bucketed by ``page_id``. ``date`` is epoch
+    seconds; the hash leaves it out. ``folder`` is where the work table goes, by default a
+    new one below the shared work folder.
     """
-    writes = planned_writes(saved, cfg.format)
+    writes = written(planned_writes(saved, cfg.format), folder or f"{work_dir(saved.sparkSession)}/writes")
     extra = ["captured_at"] if "captured_at" in pages.columns else []
-    bodies = spread(pages.select("page_id", "html", *extra), "page_id")
+    bodies = pages.select("page_id", "html", *extra)
     needed = bodies.join(writes.select("page_id"), "page_id", "left_semi")
     content = extract_content(needed, body_fields(cfg.format)).join(writes, "page_id")
     captured = F.col("captured_at") if extra else F.lit(None).cast("timestamp")
@@ -165,8 +168,9 @@ def raw_html_rows(
     saved: DataFrame, pages: DataFrame, cfg: HarvestConfig = HarvestConfig()
 ) -> DataFrame:
     """K4: sibling rows with the captured HTML, next to each exported file. Nothing is
-    parsed; paths are settled on ids."""
+    parsed; paths are settled on ids, as in ``export_rows``."""
     writes = planned_writes(saved, cfg.format).select("domain", "out_path", "page_id")
+    writes = written(writes, f"{work_dir(saved.sparkSession)}/writes")
     return writes.join(pages.select("page_id", "html"), "page_id").select(
         "domain",
         F.regexp_replace("out_path", r"\.[^./]+\z", ".raw.html").alias("out_path"),

@@ -1,13 +1,15 @@
-"""Session settings and the two places where the plan leaves pure DataFrames:
-spreading small inputs over the cores, and written work tables."""
+"""Session settings, and where a plan leaves pure DataFrames: work tables that are written
+and read again, bucketed by a key where many joins on it follow."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Runtime settings the library relies on. Skewed joins are split by AQE, so the
 # hot key of a site that holds a third of all pages is shared between tasks.
@@ -20,9 +22,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
-SPREAD_BYTES = 1 << 30
-
-
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session, for tests and the bench."""
     builder = (
@@ -39,23 +38,16 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; no job is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that is too small to be split.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out to all of them.
 
-    A file of a few megabytes is one scan task, which would parse all its pages
-    in one Python worker. Only inputs of up to ``SPREAD_BYTES`` are moved, however
-    many cores there are; larger inputs keep their scan splits. The rows and the
-    results are the same either way.
+    A file is split at its row groups only, so a small table of one group is one task,
+    however many cores wait. For plain scans: their splits are known without a job.
     """
-    if estimated_bytes(df) < SPREAD_BYTES:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(key))
-    return df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan._jdf.rdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, F.col(key))
 
 
 def work_dir(spark: SparkSession, root: str | None = None) -> str:
@@ -84,6 +76,48 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, path: str, **wanted: Column) -> tuple[DataFrame, dict]:
+    """``written``, with aggregates of the rows that come out of the same job."""
+    seen = Observation()
+    told = df.observe(seen, *[rule.alias(name) for name, rule in wanted.items()])
+    return written(told, path), seen.get
+
+
+class Bucketed(NamedTuple):
+    """A work table whose rows lie in files by hash of a key: a join on the key moves the
+    other side only, as often as it is read."""
+
+    rows: DataFrame
+    name: str
+    path: str
+
+    def removed(self) -> None:
+        spark = self.rows.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        removed(spark, self.path)
+
+
+def attached(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> Bucketed:
+    """The table that ``bucketed`` has written at ``path``, in this or another session."""
+    name = f"pageloom_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+        f"INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return Bucketed(spark.table(name), name, path)
+
+
+def bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> Bucketed:
+    """Writes ``df`` in ``buckets`` sorted files (one for each shuffle partition)."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"pageloom_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    dealt.option("path", path).saveAsTable(name)
+    return Bucketed(spark.table(name), name, path)
+
+
 def _store(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())

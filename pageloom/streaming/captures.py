@@ -69,7 +69,8 @@ def stream_diff_export(
         )
         newest = latest_captures(captures, "url", "ok", *(["captured_at"] if timed else []))
         urls = select_urls(newest.filter("ok").drop("ok"), policies, cfg)
-        urls = written(urls, f"{folder}/batches/{batch_id}")
+        own = f"{folder}/batches/{batch_id}"
+        urls = written(urls, f"{own}/urls")
         when = [F.coalesce(F.unix_micros("captured_at"), F.lit(0))] if timed else []
         saved = scope_join(urls, scopes).select(
             "seed_id",
@@ -79,8 +80,8 @@ def stream_diff_export(
             F.array(*when, F.col("page_id")).alias("ord"),
             "page_id",
         )
-        write_changes(export_rows(saved, batch, cfg), path, batch_id)
-        removed(batch.sparkSession, f"{folder}/batches/{batch_id}")
+        write_changes(export_rows(saved, batch, cfg, folder=f"{own}/writes"), path, batch_id)
+        removed(batch.sparkSession, own)
 
     return (
         pages.writeStream.foreachBatch(export_batch)

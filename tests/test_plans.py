@@ -366,7 +366,8 @@ def test_crawl_parses_own_gated_pages_only(spark):
 
     rows = MINI + [(20, "https://else/", 200, "text/html", "x"), (21, f"{H}/docs/z", 404, "text/html", "y")]
     index = link_index(_pages(spark, rows), _seeds(spark, f"{H}/docs/"), work_dir(spark))
-    assert {r.page_id for r in index.collect()} == {1, 2, 3, 4}
+    assert {r.page_id for r in index.rows.collect()} == {1, 2, 3, 4}
+    index.removed()
 
 
 def test_what_stands_is_read_from_few_tables(spark, tmp_path):
