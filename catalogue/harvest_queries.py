@@ -10,6 +10,8 @@ from catalogue.inputs import (
     LOCS,
     PARTS,
     SITES,
+    TOPS,
+    TREE_SQL,
     graph_pages,
     graph_seeds,
     graph_url,
@@ -20,6 +22,8 @@ from catalogue.inputs import (
     sitemap_documents,
     sitemaps,
     slug_sql,
+    tree_pages,
+    tree_seeds,
 )
 from catalogue.registry import query
 from catalogue.url_queries import PLACED, placed
@@ -38,6 +42,8 @@ from pageloom.plans.export import (
     write_export,
 )
 from pageloom.plans.harvest import harvest, sitemap_harvest
+from pageloom.plans.recrawl import Recrawl
+from pageloom.plans.shared import shared_crawl
 from pageloom.schemas import PAGES, PAGES_FULL
 from pageloom.session import work_dir
 from pageloom.sources import sitemaps as S
@@ -183,6 +189,55 @@ def crawl_rules(spark, sf_dir):
     return saved.select("seed", "url", F.col("depth").cast("bigint").alias("depth"))
 
 
+@query(
+    "crawl_shared",
+    f"""WITH RECURSIVE {TREE_SQL}, r(top, site, n, d) AS (
+      SELECT n, site, n, 0 FROM t WHERE n < {TOPS}
+      UNION SELECT r.top, r.site, x.n, d + 1 FROM r
+      JOIN t x ON x.site = r.site AND {_STEP}
+      JOIN t s ON s.site = r.site AND s.n = r.top AND starts_with(x.bits, s.bits)
+      WHERE d < (SELECT 1 + floor(log2(max(n))) FROM t)),
+    least AS (SELECT top, site, n, min(d) AS depth FROM r GROUP BY ALL)
+    SELECT s.page_id AS seed_id, s.url AS seed, t.url, t.page_id, depth::BIGINT AS depth
+    FROM least JOIN t USING (site, n) JOIN t s ON s.site = least.site AND s.n = top""",
+)
+def crawl_shared(spark, sf_dir):
+    """C1 for seeds whose folders lie in each other, in one walk."""
+    pages_ = tree_pages(spark, sf_dir).drop("n")
+    saved = shared_crawl(tree_seeds(spark, sf_dir), pages_, cfg=UNLIMITED)
+    return saved.select("seed_id", "seed", "url", "page_id", F.col("depth").cast("bigint").alias("depth"))
+
+
+@query(
+    "crawl_waves",
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_reach("(SELECT max(n) FROM g)", "x.page_id % 25 <> 9")}
+    SELECT seed, url, depth::BIGINT AS depth,
+      CASE WHEN page_id % 10 = 3 THEN page_id + 1000000000 ELSE page_id END AS page_id
+    FROM least JOIN g USING (site, n)""",
+)
+def crawl_waves(spark, sf_dir):
+    """C1 kept up to date over three waves: most pages; the others, and some once more with
+    the text that is known; some that are refused by then."""
+    rows = graph_pages(spark, sf_dir)
+    state = Recrawl(spark, f"{work_dir(spark)}/log", graph_seeds(spark, sf_dir), cfg=UNLIMITED)
+    modulo = F.col("page_id") % 10
+
+    def wave(part, at, name=0, status=200):
+        return part.select(
+            (F.col("page_id") + name).alias("page_id"),
+            "url",
+            "html",
+            F.lit(status).alias("status"),
+            F.lit("text/html").alias("content_type"),
+            F.timestamp_seconds(F.lit(at)).alias("captured_at"),
+        )
+
+    state.update(wave(rows.filter(modulo != 7), 1))
+    state.update(wave(rows.filter(modulo == 7), 2).unionByName(wave(rows.filter(modulo == 3), 2, 10**9)))
+    state.update(wave(rows.filter(F.col("page_id") % 25 == 9), 3, 2 * 10**9, 404))
+    return state.saved().select("seed", "url", F.col("depth").cast("bigint").alias("depth"), "page_id")
+
+
 # Six pages of a site lie less than four levels deep.
 @query(
     "crawl_max_pages",

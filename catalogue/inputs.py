@@ -214,6 +214,47 @@ def graph_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+TOPS = 16  # pages of each tree below this number are seeds
+
+
+def _tree_path(number):
+    """The bits of a page's number after the first, as folders."""
+    return F.regexp_replace(F.substring(F.bin(number), 2, 64), "(.)", "$1/")
+
+
+def tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as SITES trees of folders: page n lies in the folder of page n // 2 and
+    links to 2n, 2n+1 and n+1."""
+    rows = html_pages(spark, sf_dir).select(
+        "page_id", F.pmod("page_id", F.lit(SITES)).alias("site"),
+        (F.floor(F.col("page_id") / SITES) + 1).cast("bigint").alias("n"), "html",
+    )
+    links = F.concat(
+        *[
+            F.concat(F.lit('<a href="/d/'), _tree_path(target), F.lit('">next</a>'))
+            for target in (F.col("n") * 2, F.col("n") * 2 + 1, F.col("n") + 1)
+        ]
+    )
+    return rows.select(
+        "page_id",
+        "n",
+        F.concat(F.lit("https://t"), "site", F.lit(".example/d/"), _tree_path(F.col("n"))).alias("url"),
+        F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), links)).alias("html"),
+    )
+
+
+def tree_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages of each tree, whose folders lie in each other."""
+    tops = tree_pages(spark, sf_dir).filter(F.col("n") < TOPS)
+    return tops.select(F.col("page_id").alias("seed_id"), F.col("url").alias("seed"))
+
+
+TREE_SQL = rf"""t AS (
+  SELECT page_id, site, n, bits, 'https://t' || site || '.example/d/'
+    || regexp_replace(bits, '(.)', '\1/', 'g') AS url
+  FROM (SELECT page_id, page_id % {SITES} AS site, page_id // {SITES} + 1 AS n,
+    substr(bin(page_id // {SITES} + 1), 2) AS bits FROM pages))"""
+
 GRAPH_SQL = f"""g AS (
   SELECT page_id, page_id % {SITES} AS site, page_id // {SITES} + 1 AS n,
     'https://s' || (page_id % {SITES}) || '.example/d/' AS seed,
