@@ -36,9 +36,12 @@ from pageloom.plans.crawl import crawl
 from pageloom.plans.export import (
     changed_rows,
     diff_status,
+    export_log,
     export_rows,
     planned_writes,
     raw_html_rows,
+    standing_export,
+    write_changes,
     write_export,
 )
 from pageloom.plans.harvest import harvest, sitemap_harvest
@@ -434,6 +437,58 @@ def diff_skip(spark, sf_dir):
     return changed_rows(current, previous).select("domain", "out_path")
 
 
+def _version(spark, sf_dir, keep, text):
+    """An export of those pages, with texts of their own."""
+    won = last_write_wins(placed(spark, sf_dir).select("domain", "out_path", "page_id", "url"), order="page_id")
+    rows = won.filter(keep).withColumns(
+        {
+            "format": F.lit("md"),
+            "title": F.lit(""),
+            "content": F.concat(F.lit("text "), "page_id", text),
+            "captured_at": F.lit(None).cast("timestamp"),
+        }
+    )
+    return rows.withColumn("content_sha1", content_sha1(F.col("content"))).drop("page_id")
+
+
+@query(
+    "export_versions",
+    f"""WITH {PLACED}, c AS (SELECT domain, out_path, max(page_id) AS page_id FROM w GROUP BY ALL)
+    SELECT 0 AS version, domain, out_path, 'text ' || page_id || ' one' AS content FROM c WHERE page_id % 3 <> 0
+    UNION ALL SELECT 1, domain, out_path, 'text ' || page_id || CASE WHEN page_id % 5 = 0 THEN ' two' ELSE ' one' END
+    FROM c WHERE page_id % 3 <> 1
+    UNION ALL SELECT 2, domain, out_path, 'text ' || page_id || ' one' FROM c""",
+)
+def export_versions(spark, sf_dir):
+    """Complete exports in which pages go and come back, read as of each version."""
+    path = f"{work_dir(spark)}/export"
+    page_id, one = F.col("page_id"), F.lit(" one")
+    edited = F.when(page_id % 5 == 0, " two").otherwise(one)
+    write_changes(_version(spark, sf_dir, page_id % 3 != 0, one), path, 0, complete=True)
+    write_changes(_version(spark, sf_dir, page_id % 3 != 1, edited), path, 1, complete=True)
+    write_changes(_version(spark, sf_dir, F.lit(True), one), path, 2, complete=True)
+    read = [
+        standing_export(spark, path, n).select(F.lit(n).alias("version"), "domain", "out_path", "content") for n in range(3)
+    ]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query(
+    "export_log",
+    f"""WITH {PLACED}, c AS (SELECT domain, out_path, max(page_id) AS page_id FROM w GROUP BY ALL)
+    SELECT 0::BIGINT AS version, count(*) FILTER (page_id % 3 <> 0) AS written, 0::BIGINT AS removed FROM c
+    UNION ALL SELECT 1, count(*) FILTER (page_id % 3 = 0 OR (page_id % 3 = 2 AND page_id % 5 = 0)),
+      count(*) FILTER (page_id % 3 = 1) FROM c""",
+)
+def export_log_query(spark, sf_dir):
+    path = f"{work_dir(spark)}/export"
+    page_id = F.col("page_id")
+    edited = F.when(page_id % 5 == 0, " two").otherwise(" one")
+    write_changes(_version(spark, sf_dir, page_id % 3 != 0, F.lit(" one")), path, 0, complete=True)
+    write_changes(_version(spark, sf_dir, page_id % 3 != 1, edited), path, 1, complete=True)
+    return export_log(spark, path)
+
+
 @query(
     "previous_export",
     f"""WITH {PLACED}, c AS (SELECT domain, out_path, max(page_id) AS page_id FROM w GROUP BY ALL)

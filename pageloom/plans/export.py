@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,25 +95,30 @@ def write_export(export: DataFrame, path: str, mode: str = "overwrite") -> None:
     export.hint("rebalance", "domain").write.mode(mode).partitionBy("domain").parquet(path)
 
 
-def _batches(spark: SparkSession, path: str) -> DataFrame:
-    """An export kept in batches, with the ``batch_id`` of each row."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The batches of an export that are whole: their manifest is written last."""
+    return folder_numbers(spark, f"{path}/_manifest")
+
+
+def _batches(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    """The rows of these batches of an export, with their ``batch_id``."""
     schema = f"{EXPORT}, batch_id bigint"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not numbers:
         return spark.createDataFrame([], schema)
+    folders = [f"{path}/batch_id={n}" for n in numbers]
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
 
 def standing_hashes(spark: SparkSession, path: str, before: int) -> DataFrame:
     """Hash and capture time of what stands at each path after the batches before
-    ``before``. Reads the last snapshot and the batches after it, keys and hashes only."""
+    ``before``; the hash of a path that was removed is NULL. Reads the last snapshot and
+    the batches after it, keys and hashes only."""
     state = f"{path}/_standing"
     schema = "domain string, out_path string, format string, content_sha1 string, captured_at timestamp, batch bigint"
-    snapshots = [n for n in folder_numbers(spark, f"{state}/snapshots") if n < before]
+    whole = [n for n in versions(spark, path) if n < before]
+    snapshots = [n for n in folder_numbers(spark, f"{state}/snapshots") if n in whole]
     last = max(snapshots, default=-1)
-    later = [n for n in folder_numbers(spark, f"{state}/batches") if last < n < before]
+    later = [n for n in whole if n > last]
     rows = spark.createDataFrame([], schema)
     for kind, numbers in (("snapshots", snapshots[-1:]), ("batches", later)):
         if numbers:
@@ -136,34 +140,66 @@ def not_late(current: DataFrame, standing: DataFrame) -> DataFrame:
     )
 
 
-def write_changes(export: DataFrame, path: str, batch_id: int) -> None:
-    """K3: write the rows that differ from what stands at their paths.
+def write_changes(export: DataFrame, path: str, batch_id: int, complete: bool = False) -> None:
+    """K3: write the rows that differ from what stands at their paths, as a new version.
 
-    A capture older than what stands changes nothing. A batch owns the folder
-    ``batch_id=N`` and overwrites it, so a batch that is run again after a failure
-    leaves one copy. What stands is kept in narrow tables, one for each batch and every
-    ``SNAPSHOT_BATCHES`` one that merges them, so a batch reads a bounded number.
+    A capture older than what stands changes nothing. With ``complete`` the export is all
+    there is: what stands at other paths is removed, which is noted with a NULL hash. A batch
+    owns the folder ``batch_id=N`` and overwrites it, so a batch that is run again after a
+    failure leaves one copy; readers see it when its manifest is there, which counts what
+    it has written and removed. What stands is kept in narrow tables, one for each batch
+    and every ``SNAPSHOT_BATCHES`` one that merges them, so a batch reads a bounded number.
     """
     spark = export.sparkSession
     folder, state = work_dir(spark), f"{path}/_standing"
+    removed(spark, f"{path}/_manifest/batch={batch_id}")
     standing = written(standing_hashes(spark, path, batch_id), f"{folder}/standing")
     current = written(not_late(export, standing), f"{folder}/current")
     write_export(changed_rows(current, standing), f"{path}/batch_id={batch_id}")
     narrow = current.select(*EXPORT_KEYS, "content_sha1", "captured_at")
+    if complete:
+        narrow = narrow.unionByName(vanished_rows(export, standing))
     narrow.write.mode("overwrite").parquet(f"{state}/batches/batch={batch_id}")
+    own = spark.read.schema(narrow.schema).parquet(f"{state}/batches/batch={batch_id}")
     if batch_id % SNAPSHOT_BATCHES == SNAPSHOT_BATCHES - 1:
-        merged = standing_hashes(spark, path, batch_id + 1)
-        merged.write.mode("overwrite").parquet(f"{state}/snapshots/batch={batch_id}")
+        kept = standing.join(own, list(EXPORT_KEYS), "left_anti")
+        kept.unionByName(own).write.mode("overwrite").parquet(f"{state}/snapshots/batch={batch_id}")
+    manifest = [(_batches(spark, path, [batch_id]).count(), own.filter("content_sha1 IS NULL").count())]
+    told = spark.createDataFrame(manifest, "written bigint, removed bigint")
+    told.write.mode("overwrite").parquet(f"{path}/_manifest/batch={batch_id}")
     removed(spark, folder)
 
 
-def standing_export(spark: SparkSession, path: str) -> DataFrame:
-    """The documents an export kept in batches holds now."""
-    rows = _batches(spark, path)
+def vanished_rows(export: DataFrame, standing: DataFrame) -> DataFrame:
+    """Paths that stand and are not in a complete export, without a hash."""
+    keys = list(EXPORT_KEYS)
+    gone = standing.filter("content_sha1 IS NOT NULL").join(export.select(*keys), keys, "left_anti")
+    nothing = {"content_sha1": F.lit(None).cast("string"), "captured_at": F.lit(None).cast("timestamp")}
+    return gone.select(*keys, *[value.alias(name) for name, value in nothing.items()])
+
+
+def standing_export(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The documents an export kept in batches holds now, or held after ``version``."""
+    numbers = [n for n in versions(spark, path) if version is None or n <= version]
+    if version is not None and version not in numbers:
+        raise ValueError(f"no version {version}; there are {numbers}")
+    rows = _batches(spark, path, numbers)
+    live = standing_hashes(spark, path, max(numbers, default=-1) + 1).filter("content_sha1 IS NOT NULL")
     newest = rows.groupBy(*EXPORT_KEYS).agg(F.max("batch_id").alias("batch_id"))
+    newest = newest.join(live.select(*EXPORT_KEYS), list(EXPORT_KEYS), "left_semi")
     return rows.join(newest, [*EXPORT_KEYS, "batch_id"], "left_semi").drop("batch_id")
 
 
+def export_log(spark: SparkSession, path: str) -> DataFrame:
+    """``version, written, removed`` of each version."""
+    schema = "written bigint, removed bigint, batch bigint"
+    folders = [f"{path}/_manifest/batch={n}" for n in versions(spark, path)]
+    if not folders:
+        return spark.createDataFrame([], "version bigint, written bigint, removed bigint")
+    rows = spark.read.schema(schema).option("basePath", f"{path}/_manifest").parquet(*folders)
+    return rows.select(F.col("batch").alias("version"), "written", "removed")
+
+
 def raw_html_rows(
     saved: DataFrame, pages: DataFrame, cfg: HarvestConfig = HarvestConfig()
 ) -> DataFrame:

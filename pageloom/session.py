@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -79,8 +80,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def observed(df: DataFrame, path: str, **wanted: Column) -> tuple[DataFrame, dict]:
     """``written``, with aggregates of the rows that come out of the same job."""
     seen = Observation()
-    told = df.observe(seen, *[rule.alias(name) for name, rule in wanted.items()])
-    return written(told, path), seen.get
+    rules = [rule.alias(name) for name, rule in wanted.items()]
+    table = written(df.observe(seen, *rules), path)
+    try:
+        return table, seen.get
+    except Py4JJavaError:  # rows that turned out to be none are not observed
+        return table, table.agg(*rules).first().asDict()
 
 
 class Bucketed(NamedTuple):

@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.config import HarvestConfig
@@ -160,6 +161,43 @@ def test_batches_hold_changes_only(spark, tmp_path):
     assert len(standing) == len(MINI) and "more" in standing["docs/a.md"]
 
 
+def test_versions_of_an_export(spark, tmp_path):
+    from pageloom.plans.export import export_log, versions
+
+    path = str(tmp_path / "export")
+    assert standing_export(spark, path).count() == 0 and export_log(spark, path).count() == 0
+    write_changes(_export(spark), path, 0, complete=True)
+    write_changes(_export(spark, rows=MINI[1:]), path, 1, complete=True)  # docs/index.md has gone
+    write_changes(_export(spark, rows=MINI[:1]), path, 2)  # is back; the others stay
+    write_changes(_export(spark, rows=MINI[:2]), path, 5, complete=True)
+
+    def paths(version=None):
+        return sorted(r.out_path for r in standing_export(spark, path, version).collect())
+
+    every = ["docs/a.md", "docs/b.md", "docs/c.md", "docs/e.md", "docs/index.md"]
+    assert paths(0) == paths(2) == every and paths(1) == every[:-1]
+    assert paths() == paths(5) == ["docs/a.md", "docs/index.md"]
+    log = {r.version: (r.written, r.removed) for r in export_log(spark, path).collect()}
+    assert log == {0: (5, 0), 1: (0, 1), 2: (1, 0), 5: (0, 3)} and versions(spark, path) == [0, 1, 2, 5]
+    with pytest.raises(ValueError):
+        standing_export(spark, path, 3)
+
+
+def test_a_version_without_manifest_is_not_read(spark, tmp_path, monkeypatch):
+    from pageloom.plans import export as E
+
+    path = str(tmp_path / "export")
+    write_changes(_export(spark), path, 0)
+    edited = [(i, u, s, c, h + "<p>more</p>") for i, u, s, c, h in MINI]
+    with monkeypatch.context() as broken:
+        broken.setattr(E, "vanished_rows", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write_changes(_export(spark, rows=edited), path, 1, complete=True)
+    assert not any("more" in r.content for r in standing_export(spark, path).collect())
+    write_changes(_export(spark, rows=edited), path, 1)
+    assert all("more" in r.content or r.out_path == "docs/e.md" for r in standing_export(spark, path).collect())
+
+
 def test_colliding_paths_keep_the_last(spark):
     rows = MINI + [(7, f"{H}/docs/a.html?x", 200, "text/html", "late")]
     kept = {r.out_path: r.url for r in _export(spark, "txt", rows=rows).collect()}
