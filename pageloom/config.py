@@ -23,6 +23,7 @@ class HarvestConfig:
     save_html: bool = False  # keep the raw page next to its export
     agent: str = "*"  # name looked up in robots rules
     robots_missing: bool = True  # verdict for an origin without robots row
+    seen_filter: int = 0  # words of the filter that spares look-ups of seen URLs; 0 = none
 
     def __post_init__(self):
         if self.format not in FORMATS:

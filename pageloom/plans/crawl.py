@@ -57,6 +57,7 @@ from pageloom.operators.joins import (
     robots_policies,
     seen_anti,
 )
+from pageloom.operators.membership import SeenFilter
 from pageloom.session import Bucketed, bucketed, observed, removed, work_dir, written
 
 SAVED = ("seed_id", "seed", "url", "depth", "ord", "page_id", "error")
@@ -143,7 +144,7 @@ def crawl(
     _walk(first_frontier(seeds), lambda reach: _reader(index.rows, reach), policies, cfg, saved, folder)
     result = written(saved.table().select(*SAVED), f"{folder}/saved")
     index.removed()
-    for name in ("seeds", "hosts", "captures", "robots", "found", "kept", "seen"):
+    for name in ("seeds", "hosts", "captures", "robots", "found", "kept", "seen", "filter", "asked"):
         removed(spark, f"{folder}/{name}")
     return result
 
@@ -166,13 +167,18 @@ Fetch = Callable[[DataFrame], DataFrame]  # URLs to their rows in the link index
 
 
 def level_pages(
-    frontier: DataFrame, seen: DataFrame | None, fetch: Fetch, policies: DataFrame | None, cfg: HarvestConfig
+    frontier: DataFrame,
+    seen: DataFrame | None,
+    fetch: Fetch,
+    policies: DataFrame | None,
+    cfg: HarvestConfig,
+    passed: SeenFilter | None = None,
 ) -> DataFrame:
     """What a level saves: new URLs, selected, captured, with a text that is new to the
     seed. Of their targets those in the seed's scope."""
     new = frontier.groupBy("seed_id", "url").agg(F.min(F.struct("ord", "seed", "base")).alias("_first"))
     if seen is not None:
-        new = seen_anti(new, seen)
+        new = seen_anti(new, seen) if passed is None else passed.unseen(new, seen)
     new = new.select("seed_id", "url", "_first.*")
     fetched = fetch(select_urls(new, policies, cfg)).select(
         "seed_id", "sha1", "ord", "seed", "base", "url", "page_id", "error", "targets"
@@ -200,6 +206,9 @@ def _walk(
     """Level by level until nothing is left. ``entering`` holds URLs that join at a depth of
     their own; ``fetch_of`` gives the look-up for a range of URLs, None for any."""
     entering = dict(entering or {})
+    passed = SeenFilter(saved.spark, folder, ["seed_id", "url"], cfg.seen_filter) if cfg.seen_filter else None
+    if passed and saved:
+        passed.add(saved.seen())
     if frontier is not None:
         entering[0] = frontier
     depth, length, frontier, reach = min(entering, default=0), 0, None, None
@@ -213,7 +222,7 @@ def _walk(
         if joining is not None:
             frontier, reach = joining if frontier is None else frontier.unionByName(joining), None
         seen = saved.seen() if saved else None
-        found = level_pages(frontier, seen, fetch_of(reach), policies, cfg).withColumn("depth", F.lit(depth))
+        found = level_pages(frontier, seen, fetch_of(reach), policies, cfg, passed).withColumn("depth", F.lit(depth))
         if length >= LONG_ORD:
             found = found.repartitionByRange("ord").sortWithinPartitions("ord")
             found = found.withColumn("ord", F.array(F.monotonically_increasing_id()))
@@ -224,6 +233,8 @@ def _walk(
             path = f"{folder}/kept/{depth}"
             found, level = observed(_within_limit(found, seen, cfg.max_pages), path, **told)
         saved.hold(found, path)
+        if passed:
+            passed.add(found)
         saved_total += level["rows"]
         frontier = None
         # Without targets in scope the next level is only what enters there.
