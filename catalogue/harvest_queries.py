@@ -52,6 +52,8 @@ from pageloom.session import work_dir
 from pageloom.sources import sitemaps as S
 from pageloom.sources.exports import read_export
 from pageloom.streaming.captures import stream_dedup, stream_diff_export, stream_pages
+from pageloom.streaming.newest import FOUND as NEWEST
+from pageloom.streaming.newest import stream_newest
 
 _DOC = f"origin || '/sitemap-' || (page_id // {LOCS}) || '.xml'"
 
@@ -151,6 +153,18 @@ def bfs_depth(spark, sf_dir):
     return saved.select("seed", "url", F.col("depth").cast("bigint").alias("depth"))
 
 
+@query(
+    "crawl_seen_filter",
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_reach(BITS)}
+    SELECT seed, url, depth::BIGINT AS depth FROM least JOIN g USING (site, n)""",
+)
+def crawl_seen_filter(spark, sf_dir):
+    """P8, J2 by the filter of seen URLs."""
+    cfg = HarvestConfig(max_pages=None, seen_filter=1 << 12)
+    saved = crawl(graph_seeds(spark, sf_dir), graph_pages(spark, sf_dir), cfg=cfg)
+    return saved.select("seed", "url", F.col("depth").cast("bigint").alias("depth"))
+
+
 def _graph_robots(spark, sf_dir):
     return graph_seeds(spark, sf_dir).select(
         F.regexp_extract("seed", "^(https://[^/]*)", 1).alias("origin"),
@@ -538,21 +552,72 @@ def _run(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-@query("stream_dedup", "SELECT DISTINCT split_part(url, '#', 1) AS url FROM pages")
+@query(
+    "stream_dedup",
+    """SELECT split_part(url, '#', 1) AS url,
+      CASE WHEN bool_or(page_id % 2 = 0) THEN 0 ELSE 1 END AS wave FROM pages GROUP BY ALL""",
+)
 def stream_dedup_query(spark, sf_dir):
-    """ST1: the captures and copies of them, file by file in batches of their own."""
+    """ST1: the captures and copies of them, each wave a run of its own; a page is told by the
+    first wave that has its URL."""
+    folder = work_dir(spark)
+    rows = pages(spark, sf_dir)
+    for n, part in enumerate((rows.filter("page_id % 2 = 0"), rows, rows.filter("page_id % 3 = 0"))):
+        part.write.mode("append").parquet(f"{folder}/in/wave={n}")
+        found = spark.readStream.schema(f"{PAGES}, wave int").parquet(f"{folder}/in")
+        unique = stream_dedup(found).select("url", "wave")
+        _run(
+            unique.writeStream.format("parquet")
+            .option("path", f"{folder}/urls")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+        )
+    return spark.read.schema("url string, wave int").parquet(f"{folder}/urls")
+
+
+# Waves of captures: all pages; even ones again, some of them changed; all of them as they
+# were before the second wave.
+_CAPTURED = """c AS (
+  SELECT wave, moment, page_id + name AS page_id, split_part(url, '#', 1) AS url, sha1(html || mark) AS sha1
+  FROM (SELECT 1 AS wave, 10 AS moment, page_id, 0 AS name, url, html, '' AS mark FROM pages
+    UNION ALL SELECT 2, 20, page_id, 1000000000, url, html, CASE WHEN page_id % 3 = 0 THEN 'x' ELSE '' END
+      FROM pages WHERE page_id % 2 = 0
+    UNION ALL SELECT 3, 15, page_id, 2000000000, url, html, '' FROM pages)),
+  o AS (SELECT *, moment * 10000000000 + page_id AS place FROM c),
+  b AS (SELECT *, max(place) OVER earlier AS known, arg_max(sha1, place) OVER earlier AS known_sha1 FROM o
+    WINDOW earlier AS (PARTITION BY url ORDER BY wave, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(
+    "stream_newest",
+    f"""WITH {_CAPTURED} SELECT url, page_id, sha1, CASE WHEN known IS NULL THEN 'new'
+      WHEN sha1 = known_sha1 THEN 'unchanged' ELSE 'changed' END AS status
+    FROM b WHERE known IS NULL OR place > known""",
+)
+def stream_newest_query(spark, sf_dir):
+    """ST1 with a memory of newest captures, over three waves and as many restarts."""
     folder = work_dir(spark)
     rows = pages(spark, sf_dir)
-    for part in (rows.filter("page_id % 2 = 0"), rows, rows.filter("page_id % 3 = 0")):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    found = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    unique = stream_dedup(found).select("url")
-    _run(
-        unique.writeStream.format("parquet")
-        .option("path", f"{folder}/urls")
-        .option("checkpointLocation", f"{folder}/checkpoint")
+    edited = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html"))
+
+    def captures(part, name, moment, html="html"):
+        return part.select(
+            (F.col("page_id") + name).alias("page_id"), "url", html, F.timestamp_seconds(F.lit(moment)).alias("captured_at")
+        )
+
+    waves = (
+        captures(rows, 0, 10),
+        captures(rows.filter("page_id % 2 = 0"), 10**9, 20, edited.alias("html")),
+        captures(rows, 2 * 10**9, 15),
     )
-    return spark.read.schema("url string").parquet(f"{folder}/urls")
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{folder}/in")
+        found = stream_newest(stream_pages(spark, f"{folder}/in", f"{PAGES}, captured_at timestamp"), keep_seconds=3600)
+        _run(
+            found.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+        )
+    return spark.read.schema(NEWEST).parquet(f"{folder}/out").select("url", "page_id", "sha1", "status")
 
 
 # Two waves of captures of the given addresses. Of the second, ids leave modulo 5: 0 new
@@ -608,7 +673,7 @@ def stream_diff_export_query(spark, sf_dir):
     folder = work_dir(spark)
     schema = PAGES_FULL
     for wave in _waves(spark, sf_dir):
-        wave.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        wave.write.mode("append").parquet(f"{folder}/in")
         stream_diff_export(
             stream_pages(spark, f"{folder}/in", schema),
             seeds(spark, sf_dir),

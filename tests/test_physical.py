@@ -15,7 +15,7 @@ READS_HTML = {
 # Queries whose result is read back from tables they have written.
 WRITTEN = {
     "bfs_depth", "crawl_filters", "crawl_rules", "crawl_max_pages", "harvest_routes", "crawl_shared", "crawl_waves", "page_number",
-    "export_versions", "export_log",
+    "export_versions", "export_log", "crawl_seen_filter", "stream_newest",
     "domain_partition", "export_tree", "previous_export", "stream_dedup", "stream_diff_export",
 }
 
