@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,27 +210,3 @@ def raw_html_rows(
         F.lit("html").alias("format"),
         F.col("html").alias("content"),
     )
-
-
-def write_tree(export: DataFrame, root: str) -> None:
-    """K1 as files: ``root/domain/out_path``, parents made as needed.
-
-    ``root`` must be a folder that all nodes mount. A file is written under a
-    name of its own, unlike that of any other attempt on any node, and renamed, so a
-    retried or doubled task leaves the same whole file.
-    """
-
-    def put(rows) -> None:
-        own, made = uuid.uuid4().hex, set()
-        for row in rows:
-            target = os.path.join(root, row.domain, row.out_path)
-            folder = os.path.dirname(target)
-            if folder not in made:
-                os.makedirs(folder, exist_ok=True)
-                made.add(folder)
-            part = f"{target}.{own}.part"
-            with open(part, "w", encoding="utf-8", newline="") as out:
-                out.write(row.content)
-            os.replace(part, target)
-
-    export.select("domain", "out_path", "content").foreachPartition(put)

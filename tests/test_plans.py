@@ -16,9 +16,9 @@ from pageloom.plans.export import (
     standing_export,
     write_changes,
     write_export,
-    write_tree,
 )
 from pageloom.plans.harvest import harvest
+from pageloom.sources.tree import published, read_tree, write_tree
 from pageloom.streaming.captures import stream_dedup, stream_diff_export, stream_pages
 
 H = "https://h"
@@ -209,13 +209,6 @@ def test_sinks(spark, tmp_path):
     write_export(rows, str(tmp_path / "table"))
     back = spark.read.parquet(str(tmp_path / "table"))
     assert sorted(r.out_path for r in back.collect()) == sorted(r.out_path for r in rows.collect())
-    write_tree(rows, str(tmp_path / "tree"))
-    write_tree(rows, str(tmp_path / "tree"))
-    files = sorted(str(p.relative_to(tmp_path / "tree")) for p in (tmp_path / "tree").rglob("*.*")
-                   if p.is_file())
-    assert files == sorted(f"{r.domain}/{r.out_path}" for r in rows.collect())
-    index = (tmp_path / "tree" / "h" / "docs" / "index.md").read_text()
-    assert index.startswith("---\ntitle: \nurl: https://h/docs/\ndate_scraped: 0\n---\n")
     saved = _pages(spark).select(
         F.lit(0).cast("bigint").alias("seed_id"), F.lit(f"{H}/docs/").alias("seed"), "url",
         F.lit(0).alias("depth"), F.array(F.col("page_id")).alias("ord"), "page_id")
@@ -223,6 +216,43 @@ def test_sinks(spark, tmp_path):
     assert raw["docs/e.raw.html"] == "x"
 
 
+def test_trees_are_published_whole(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    rows = _export(spark).cache()
+    assert published(root) == []
+    write_tree(rows, root)
+    write_tree(rows.repartition(4), root)  # once more, by more tasks
+    files = {str(p.relative_to(tmp_path / "tree" / "version=0")): p.read_text()
+             for p in (tmp_path / "tree" / "version=0").rglob("*") if p.is_file()}
+    assert files == {f"{r.domain}/{r.out_path}": r.content for r in rows.collect()}
+    assert files["h/docs/index.md"].startswith("---\ntitle: \nurl: https://h/docs/\ndate_scraped: 0\n---\n")
+    size = sum(len(text.encode()) for text in files.values())
+    assert published(root) == [{"version": 0, "files": len(MINI), "bytes": size}]
+    write_tree(rows.limit(2), f"file://{root}", version=3)
+    assert [m["version"] for m in published(root)] == [0, 3] and read_tree(spark, root).count() == 2
+    back = sorted(map(tuple, read_tree(spark, root, 0).collect()))
+    assert back == sorted((r.domain, r.out_path, r.content) for r in rows.collect())
+    assert not list((tmp_path / "tree" / "_staged").iterdir())
+
+
+def test_a_failed_tree_leaves_nothing_listed(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    rows = _export(spark).repartition(4)
+    broken = rows.withColumn("content", F.when(F.col("out_path").contains("/c."), F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    outside = rows.withColumn("out_path", F.when(F.col("out_path").contains("/c."), "../../x").otherwise(F.col("out_path")))
+    for bad in (broken, outside):
+        with pytest.raises(Exception):  # noqa: B017
+            write_tree(bad, root, version=1)
+        assert published(root) == [] and not (tmp_path / "tree" / "version=1").exists()
+        assert not list((tmp_path / "tree" / "_staged").iterdir()) and not (tmp_path / "x").exists()
+    write_tree(rows, root, version=1)
+    with pytest.raises(Exception):  # noqa: B017
+        write_tree(rows.limit(1), root, version=1, overwrite=False)
+    assert read_tree(spark, root, 1).count() == len(MINI)
+    with pytest.raises(ValueError):
+        read_tree(spark, root, 2)
+
+
 def test_stream_of_captures(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     pages = _pages(spark).select("page_id", "url", "html").coalesce(1)
