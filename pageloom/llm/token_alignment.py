@@ -6,11 +6,11 @@ bytes they cover, make two incidence matrices; their product A * B^T holds the p
 that share bytes, and those whose bytes end together are links. Places where tokens of both end
 cut a text into groups (``incidence``).
 
-Texts are cut where a visible ASCII character is followed by one space and another such
+Texts are cut where a visible Latin character is followed by one space and another such
 character. No token of either tokenizer crosses such a place: A splits there before it
 merges, and no piece of B has a space after another character. So a segment is encoded and
-aligned once while it is in a task's table, which holds about ``most_bytes`` and goes with
-the task.
+aligned once while it is in a task's table, which goes with the task. When that has reached
+about ``most_bytes``, the segments that were met once only are dropped from it.
 
 Links of ids over the corpus: where tokens end together one's bytes are an end of the
 other's. So all pairs of ids that can ever be linked follow from the two vocabularies, a
@@ -45,7 +45,9 @@ from pageloom.llm.incidence import align
 from pageloom.llm.packing import slices
 from pageloom.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, load
 
-_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
+# Visible characters up to U+024F: no version of Unicode takes one for white space.
+_CUT = re.compile("(?<=[!-~¡-ɏ])(?= [!-~¡-ɏ])")
+_WHOLE = re.compile("(?s) [!-~¡-ɏ](?:[^▁]*[!-~¡-ɏ])?")  # segments that may be joined again
 _SUM_COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_group_pairs")
 
 
@@ -107,6 +109,19 @@ class _Surfaces:
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
         self.names = [f"{i}{end}" for i in range(len(tokens)) for end in (",", "|", ";", "")]
 
+    def shares(self, ids: np.ndarray, numbers: np.ndarray, runs: list[list[str]], data: list[bytes]) -> np.ndarray:
+        """How many ids each segment of the runs has, by its bytes; a segment that is a run
+        of its own has all of them, whatever their bytes."""
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        own = np.fromiter(map(len, data), np.int64, len(data))
+        ends = np.cumsum(self.sizes[ids])
+        before = np.concatenate([[0], ends])[np.cumsum(numbers) - numbers]  # bytes before each run
+        starts = np.cumsum(lengths) - lengths
+        inside = np.cumsum(own) - np.repeat((np.cumsum(own) - own)[starts], lengths)
+        last = np.searchsorted(ends, np.repeat(before, lengths) + inside, "right")
+        last[starts + lengths - 1] = np.cumsum(numbers)
+        return np.diff(last, prepend=0)
+
     def spell(self, ids: np.ndarray, numbers: np.ndarray, data: list[bytes]) -> np.ndarray:
         """Whether the bytes of each sequence, ``numbers`` ids long, are those of ``data``."""
         joined = self.data[slices(self.starts[ids], self.sizes[ids])].tobytes()
@@ -114,6 +129,20 @@ class _Surfaces:
         return np.array([joined[a:b] == d for a, b, d in zip([0, *ends[:-1]], ends, data)], bool)
 
 
+def _joined(segments: list[str], most: int = 64) -> list[list[str]]:
+    """Segments in runs that are encoded as one text, as tokens end where they do."""
+    runs: list[list[str]] = []
+    is_open = False
+    for segment in segments:
+        whole = _WHOLE.fullmatch(segment) is not None
+        if is_open and whole and len(runs[-1]) < most:
+            runs[-1].append(segment)
+        else:
+            runs.append([segment])
+        is_open = whole
+    return runs
+
+
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids in one array, and how many each list has."""
     numbers = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -123,7 +152,7 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Encodes and aligns segments; new ones together, known ones by a table."""
 
-    def __init__(self, a_path: str, b_path: str, most_bytes: int = 48 << 20):
+    def __init__(self, a_path: str, b_path: str, most_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers  # reads the setting above
 
@@ -139,17 +168,39 @@ class Aligner:
         self.codes: dict[str, int] = {}
         self.chars = 0
         self.texts: list[str] = []  # groups of each segment
-        self.sums = np.zeros((0, len(_SUM_COLUMNS)), np.int64)
+        self.sums = np.zeros((0, len(_SUM_COLUMNS)), np.int32)
         self.right = np.zeros(0, bool)
         self.links = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int32)  # how often each segment was met
+
+    def _tidy(self) -> None:
+        """Keeps the segments met more than once, unless those are too many as well."""
+        # A string and its groups, their entries, and their numbers.
+        if 400 * len(self.codes) + 8 * self.chars + 4 * len(self.links) <= self.most_bytes:
+            return
+        kept = np.flatnonzero(self.met > 1)
+        if 2 * len(kept) > len(self.codes):
+            self._reset()
+            return
+        sizes = self.sums[kept, 3].astype(np.int64)
+        self.links = self.links[slices(self.starts[kept], sizes)]
+        self.starts = np.cumsum(sizes) - sizes
+        self.sums, self.right = self.sums[kept], self.right[kept]
+        self.texts = [self.texts[i] for i in kept]
+        names = list(self.codes)
+        self.codes = {names[i]: n for n, i in enumerate(kept)}
+        self.chars = sum(map(len, self.codes))
+        self.met = np.zeros(len(kept), np.int32)
 
     def learn(self, segments: list[str]) -> None:
         """Takes new segments into the table; each begins with a space."""
-        encoded = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        found_a, n_a = _flat(encoded)
-        found_b, n_b = _flat(self.b.encode([s[1:] for s in segments], num_threads=1))
         data = [s.encode() for s in segments]
+        runs = _joined(segments)
+        texts = ["".join(run) for run in runs]
+        found_a, n_a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        found_b, n_b = _flat(self.b.encode([t[1:] for t in texts], num_threads=1))
+        n_a, n_b = self.of_a.shares(found_a, n_a, runs, data), self.of_b.shares(found_b, n_b, runs, data)
         right = self.of_a.spell(found_a, n_a, data) & self.of_b.spell(found_b, n_b, data)
         a, b = found_a[np.repeat(right, n_a)], found_b[np.repeat(right, n_b)]
         n_a, n_b = np.where(right, n_a, 0), np.where(right, n_b, 0)
@@ -162,7 +213,8 @@ class Aligner:
         overlaps = n_a + n_b - per(own[last])  # tokens of a group overlap in a chain
         columns = [n_a, n_b, per(own[last]), per(linked), overlaps, per(own[last], aligned.group_sizes)]
         assert int(overlaps.sum()) == aligned.overlaps
-        self.sums = np.concatenate([self.sums, np.stack(columns, 1)])
+        self.sums = np.concatenate([self.sums, np.stack(columns, 1).astype(np.int32)])
+        self.met = np.concatenate([self.met, np.zeros(len(segments), np.int32)])
         self.right = np.concatenate([self.right, right])
         sizes = per(linked)
         self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(sizes) - sizes])
@@ -188,20 +240,20 @@ class Aligner:
 
     def rows(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray]]:
         """Sums, groups and links of each text."""
-        # A string and its groups, their entries, and their numbers.
-        if 400 * len(self.codes) + 8 * self.chars + 4 * len(self.links) > self.most_bytes:
-            self._reset()
+        self._tidy()
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
         if new := [s for s in dict.fromkeys(s for segments in cut for s in segments) if s not in self.codes]:
             self.learn(new)
-        out = []
+        out, met = [], []
         for segments in cut:
             at = np.fromiter(map(self.codes.__getitem__, segments), np.int64, len(segments))
+            met.append(at)
             if not len(at) or not self.right[at].all():
                 at = at[:0]
-            sums = self.sums[at]
+            sums = self.sums[at].astype(np.int64)
             links = self.links[slices(self.starts[at], sums[:, 3])]
             out.append((sums.sum(axis=0), ";".join([self.texts[i] for i in at.tolist()]), links))
+        self.met += np.bincount(np.concatenate(met), minlength=len(self.met)).astype(np.int32)
         return out
 
 
@@ -263,15 +315,13 @@ def link_counts(aligned: DataFrame, words: Vocabularies) -> np.ndarray:
 
 
 def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(links: pa.Array) -> pa.Array:
         counts, best = shared.value
-        for batch in batches:
-            lists = batch.column(1)
-            at = lists.flatten().to_numpy()
-            ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-            sums = [np.concatenate([[0], np.cumsum(x[at].astype(np.int64))]) for x in (best, counts)]
-            columns = [pa.array(x[ends[1:]] - x[ends[:-1]]) for x in sums]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "n_best", "count_sum"])
+        at = links.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.diff(links.offsets.to_numpy()))])
+        sums = [np.concatenate([[0], np.cumsum(x[at].astype(np.int64))]) for x in (best, counts)]
+        columns = [pa.array(x[ends[1:]] - x[ends[:-1]]) for x in sums]
+        return pa.StructArray.from_arrays(columns, names=["n_best", "count_sum"])
 
     return score
 
@@ -285,7 +335,6 @@ def token_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     words = vocabularies(a_path, b_path)
     counts = link_counts(found, words)
     shared = docs.sparkSession.sparkContext.broadcast((counts, words.best(counts)))
-    rows = found.select(F.struct(*[c for c in found.columns if c != "links"]).alias("row"), "links")
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = over_batches(rows, _scorer(shared), f"row {kind}, n_best long, count_sum long")
-    return scored.select("row.*", "n_best", "count_sum")
+    score = F.arrow_udf(_scorer(shared), "struct<n_best: bigint, count_sum: bigint>")
+    scored = found.withColumn("_scores", score("links"))
+    return scored.select(*[c for c in found.columns if c != "links"], "_scores.n_best", "_scores.count_sum")
