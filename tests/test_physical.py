@@ -1,5 +1,7 @@
 """What the plans must and must not hold."""
 
+import re
+
 import pytest
 from conftest import SF
 
@@ -57,6 +59,58 @@ def test_exports_parse_needed_pages_once(spark):
     assert plan.index("LeftSemi") > parser and "Inner" in plan[:parser]
 
 
+def _above(plan: str, scan: str, top: str) -> list[str]:
+    """The nodes from the one named ``top`` down to the scan that reads ``scan``."""
+    lines = [line for line in plan.splitlines() if re.search(r"\w", line)]
+    at = next(i for i, line in enumerate(lines) if "Scan" in line and scan in line)
+    depth = lambda line: re.search(r"[A-Za-z*(]", line).start()
+    chain = [lines[at]]
+    for line in reversed(lines[:at]):
+        if depth(line) < depth(chain[-1]):
+            chain.append(line)
+            if top in line:
+                return chain
+    raise AssertionError(f"no {top} above the scan of {scan}")
+
+
+def test_exports_leave_html_where_it_is_scanned(spark):
+    from catalogue.harvest_queries import _saved
+    from pageloom.config import HarvestConfig
+    from pageloom.plans.export import export_rows, raw_html_rows
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    export = export_rows(_saved(spark, SF), pages, HarvestConfig(), date=None)
+    export.collect()
+    chain = "\n".join(_above(_plan(export), "html:string", "ArrowEvalPython"))
+    assert "BroadcastHashJoin" in chain and "Exchange" not in chain
+    raw = raw_html_rows(_saved(spark, SF), pages)
+    raw.collect()
+    assert "Exchange" not in "\n".join(_above(_plan(raw), "html:string", "BroadcastHashJoin"))
+
+
+def test_levels_read_the_link_index_without_an_exchange(spark):
+    from catalogue.inputs import graph_pages, graph_seeds
+    from pageloom.config import HarvestConfig
+    from pageloom.plans.crawl import _reader, first_frontier, level_pages, link_index
+    from pageloom.session import work_dir
+
+    index = link_index(graph_pages(spark, SF), graph_seeds(spark, SF), work_dir(spark))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large level
+    try:
+        frontier = first_frontier(graph_seeds(spark, SF))
+        level = level_pages(frontier, None, _reader(index.rows, None), None, HarvestConfig())
+        assert level.count() == 5
+        reach = ("https://s0", "https://s1")
+        plan = _plan(level_pages(frontier, None, _reader(index.rows, reach), None, HarvestConfig()))
+        chain = _above(plan, "targets:array", "SortMergeJoin [url")
+        assert "Bucketed: true" in chain[0] and "GreaterThanOrEqual(url" in chain[0]
+        assert "Exchange" not in "\n".join(chain)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        index.removed()
+
+
 def test_sitemaps_are_parsed_once(spark):
     from catalogue.inputs import sitemaps
     from pageloom.sources.sitemaps import listed_urls
