@@ -118,12 +118,12 @@ def select_main_text(spark, sf_dir):
     return _content(spark, sf_dir, "plain_text")
 
 
-@query(
-    "cleaned_html",
-    f"""WITH {ARTICLE} SELECT page_id, '<article>'
+CLEANED = f"""{ARTICLE}, cleaned AS (SELECT page_id, '<article>'
       || replace({DECODE.format("replace(art, '<br>', '<br/>')")}, '&', '&amp;')
-      || repeat('</b></p>', open_b) || '</article>' AS html_cleaned FROM a""",
-)
+      || repeat('</b></p>', open_b) || '</article>' AS html_cleaned FROM a)"""
+
+
+@query("cleaned_html", f"WITH {CLEANED} SELECT page_id, html_cleaned FROM cleaned")
 def cleaned_html(spark, sf_dir):
     return _content(spark, sf_dir, "html_cleaned")
 
@@ -184,6 +184,7 @@ def _documents(spark, sf_dir, rule):
     return table(spark, sf_dir, "documents").select("doc_id", rule(text).alias("text"))
 
 
+# The patterns of the text rules, in the queries below.
 def _rule_sql(pattern: str, replacement: str) -> str:
     return (
         f"SELECT doc_id, regexp_replace({_TEXT}, '{pattern}', {replacement}, 'g') AS text "
@@ -264,13 +265,13 @@ def render_json_record(spark, sf_dir):
     return _rendered(spark, sf_dir, R.json_record)
 
 
-@query(
-    "render_txt",
-    f"""WITH {ARTICLE} SELECT page_id, trim({DECODE.format('''regexp_replace(regexp_replace(
+PLAIN = f"""{ARTICLE}, plain AS (SELECT page_id, trim({DECODE.format('''regexp_replace(regexp_replace(
       replace(regexp_replace(art, '\\s+', ' ', 'g'), '<b>', ''),
       '</?(h1|p|br)>', E'\\n', 'g'), ' *\\n[ \\n]*', E'\\n', 'g')''')}, E' \\n') AS content
-    FROM a""",
-)
+    FROM a)"""
+
+
+@query("render_txt", f"WITH {PLAIN} SELECT page_id, content FROM plain")
 def render_txt(spark, sf_dir):
     return _content(spark, sf_dir, *R.body_fields("txt")).select(
         "page_id", R.render("txt").alias("content")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.content_queries import MARKDOWN, TITLE
+from catalogue.content_queries import CLEANED, MARKDOWN, PLAIN, TITLE
 from catalogue.inputs import (
     GRAPH_SQL,
     LOCS,
@@ -397,25 +397,27 @@ def summary_totals(spark, sf_dir):
 
 @query(
     "domain_partition",
-    f"""WITH {PLACED} SELECT domain, count(DISTINCT out_path) AS files FROM w GROUP BY domain""",
+    f"""WITH {_WON}, {PLAIN} SELECT domain, count(*) AS files, sum(length(content))::BIGINT AS chars
+    FROM won JOIN plain USING (page_id) GROUP BY domain""",
 )
 def domain_partition(spark, sf_dir):
     """K2: what the partitioned sink holds after a full text export."""
     path = f"{work_dir(spark)}/export"
     write_export(_export(spark, sf_dir, "txt"), path)
-    return spark.read.parquet(path).groupBy("domain").agg(F.count("*").alias("files"))
+    files, chars = F.count("*").alias("files"), F.sum(F.length("content")).alias("chars")
+    return spark.read.parquet(path).groupBy("domain").agg(files, chars)
 
 
 @query(
     "export_tree",
-    f"""WITH {PLACED} SELECT DISTINCT domain, replace(out_path, '.md', '.html') AS out_path,
-      'html' AS format FROM w""",
+    f"""WITH {_WON}, {CLEANED} SELECT domain, replace(out_path, '.md', '.html') AS out_path,
+      'html' AS format, html_cleaned AS content FROM won JOIN cleaned USING (page_id)""",
 )
 def export_tree(spark, sf_dir):
-    """K1 with cleaned HTML."""
+    """Cleaned HTML as documents."""
     path = f"{work_dir(spark)}/export"
     write_export(_export(spark, sf_dir, "html"), path)
-    return spark.read.parquet(path).select("domain", "out_path", "format")
+    return spark.read.parquet(path).select("domain", "out_path", "format", "content")
 
 
 @query(
