@@ -8,12 +8,14 @@ Then the pairs whose joint table explains most of what is left are boosted in th
 way, by trees that split one feature and each half by the other. A score is the sum of
 the looked-up values, as one vectorised addition for each table.
 
-The model is trained on a bounded sample: ``sample_rows`` labelled rows, drawn by hash
+The model is trained on a bounded sample: ``sample_rows`` labelled ids, drawn by hash
 over all that teach. Every row is scored.
 
 Defined results: a NULL text counts as empty; an empty text is scored like any other;
 without labelled rows, or with one class only, the score is the share of that class
-(0.5 without any). Rows repeat as they come. NULL ids count as empty text in the fold.
+(0.5 without any). Rows repeat as they come. NULL ids count as empty text in the fold and
+teach nothing. An id that has both labels teaches nothing; of several texts under one id the
+one with the smallest features teaches, so the model does not depend on the order of rows.
 Other columns are ignored, whatever their names.
 """
 
@@ -217,9 +219,9 @@ def fit(
 
 def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = features(batch.column(1))
+        found = features(batch.column(2))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=["label", "x"]
+            [batch.column(0), batch.column(1), pa.array(list(found), pa.list_(pa.float64()))], names=["id", "label", "x"]
         )
 
 
@@ -233,27 +235,28 @@ def fit_quality(
     sample_rows: int = 20_000,
 ) -> AdditiveModel:
     """Trains on a sample of labels where ``teaches`` (a condition on the id) holds."""
-    drawn = F.xxhash64(F.col(id_col)) / F.lit(2.0**63)  # in -1 ... 1
-    known = labels.filter(teaches & F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"), drawn.alias("drawn")
+    label = F.col(label_col).cast("double")
+    known = (
+        labels.filter(teaches & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.min(label).alias("label"), F.max(label).alias("most"))
+        .filter("label = most")
+        .select("id", "label", (F.xxhash64("id") / F.lit(2.0**63)).alias("drawn"))  # in -1 ... 1
     )
     number = known.count()
-    # Few rows beyond those wanted pass the first test, whatever the size of the table.
+    # Few ids beyond those wanted pass the first test, whatever the size of the table.
     chosen = (
         known.filter(F.col("drawn") <= -1 + 4.0 * sample_rows / max(1, number))
-        .orderBy("drawn", "id", "label")
+        .orderBy("drawn", "id")
         .limit(sample_rows)
         .select("id", "label")
-        .dropDuplicates(["id"])
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # At most sample_rows narrow rows are broadcast.
-    found = (
-        texts.join(F.broadcast(chosen), "id")
-        .limit(sample_rows)
-        .select("label", "text")
-    )
-    found = over_batches(found, _featurer, "label double, x array<double>").toArrow()
+    # At most sample_rows narrow rows are broadcast; features are numbers, one row for each id.
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    found = over_batches(rows, _featurer, f"id {kind}, label double, x array<double>")
+    found = found.groupBy("id").agg(F.min(F.struct("label", "x")).alias("row")).select("row.label", "row.x").toArrow()
     y = found.column(0).to_numpy()
     x = np.array(found.column(1).to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in

@@ -106,6 +106,66 @@ def test_features_do_not_depend_on_batches():
     assert whole[2][FEATURES.index("shout")] == pytest.approx(0.25)
 
 
+def plain_features(text):
+    """The features of a text, character by character and word by word."""
+    import re
+    from collections import Counter
+
+    kinds = {
+        "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "numeral": "0123456789",
+        "space": " \t\r\v\f", "line": "\n", "stop": ".?", "comma": ",;:", "shout": "!", "bar": "|",
+        "symbol": "#$%&*+/<=>@\\^_`{}~", "quote": "'\"()[]-",
+    }
+    data = (text or "").encode()
+    out = {k: sum(b in v.encode() for b in data) / max(1, len(data)) for k, v in kinds.items()}
+    out["other"] = 1 - sum(out.values()) if data else 0.0
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data.lower())
+    n = max(1, len(words))
+    counts = Counter(words)
+    out |= {
+        "log_bytes": np.log1p(len(data)),
+        "log_words": np.log1p(len(words)),
+        "word_bytes": sum(map(len, words)) / n,
+        "short_words": sum(len(w) <= 3 for w in words) / n,
+        "long_words": sum(len(w) > 14 for w in words) / n,
+        "distinct_words": len(counts) / n,
+        "top_word": max(counts.values(), default=0) / n,
+        "doubled_words": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "line_words": np.log1p(len(words) / (data.count(b"\n") + 1)),
+    }
+    return [out[name] for name in FEATURES]
+
+
+def test_features_against_loops(spark):
+    texts = ["", None, "a b c", "SHOUT!! 12 12\n\n", "é|— ok ok ok", "tab\tand\x0bline\x0cfeed  "]
+    texts += [r.text for r in documents(spark).limit(60).collect()]
+    assert np.allclose(features(pa.array(texts, pa.string())), [plain_features(t) for t in texts])
+
+
+def test_quality_does_not_depend_on_the_order_of_rows(spark):
+    docs = documents(spark).select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    both = labels.limit(20)
+    odd = labels.unionByName(both.withColumn("quality", 1 - F.col("quality")))  # these have both labels
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))  # two texts under each id
+    one, other = (
+        {(r.doc_id, r.held_out): r.score for r in quality(d, l).filter("doc_id % 7 = 0").orderBy("score").collect()}
+        for d, l in ((twice, odd), (twice.repartition(5, "text"), odd.repartition(3)))
+    )
+    assert one == other
+    without = labels.join(both.select("doc_id"), "doc_id", "left_anti")
+    x, y = (fit_quality(docs, table, F.lit(True)).log_odds(np.zeros((1, len(FEATURES)))) for table in (odd, without))
+    assert x == y
+
+
+def test_quality_query_columns_may_stand_in_the_input(spark):
+    docs = documents(spark).limit(20).select("doc_id", "text", F.lit(1).alias("score"), F.lit(2).alias("held_out"),
+                                             F.lit(3).alias("predicted"), F.lit(4).alias("label"), F.lit(5).alias("x"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality(docs, labels).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert quality(docs, labels).count() == 20
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame(
         [(1, None, 5), (2, "", 5), (None, "text", 5), (4, "word " * 200_000, 5)], "doc_id long, text string, quality int"
