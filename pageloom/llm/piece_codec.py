@@ -4,8 +4,8 @@ A text is normalised by the longest rule of the model's compiled character map t
 fits at each place; each normalised character knows the bytes of the text it came
 from. The normalised text is cut where a space follows another character, as no piece
 crosses such a place, and each distinct segment is merged into pieces once while it is in
-a task's table, which holds about ``most_bytes`` and goes with the task. Each piece gets the
-byte span of its first to its last character; the space put before a text and pieces of
+a worker's table. When that has reached about ``most_bytes``, and at the end of a task, the
+segments that were met once only are dropped from it. Each piece gets the byte span of its first to its last character; the space put before a text and pieces of
 one character's bytes get the empty span at their place and that character's span.
 
 Defined results: a NULL or empty text has no pieces and decodes to an empty text;
@@ -34,7 +34,9 @@ class _Segments(dict):
         self.model = model
         self.pieces = np.zeros((3, 1 << 16), np.int32)  # id, begin, end (in characters)
         self.places = np.zeros((2, 1 << 14), np.int64)  # first piece, number of pieces
-        self.used = self.chars = 0
+        self.used = self.chars = self.pending = 0
+        self.met = np.zeros(0, np.int64)  # how often each segment was met
+        self.noted: list[np.ndarray] = []  # codes that are not counted yet
 
     def _room(self, buffer: np.ndarray, more: int, used: int) -> np.ndarray:
         if used + more <= buffer.shape[1]:
@@ -46,6 +48,30 @@ class _Segments(dict):
         """About the bytes held: a string, its entry and its numbers, and its characters."""
         return 250 * len(self) + 2 * self.chars + self.pieces.nbytes + self.places.nbytes
 
+    def note(self, codes: np.ndarray) -> None:
+        self.noted.append(codes)
+        self.pending += len(codes)
+        if self.pending > 1 << 18:
+            self._count()
+
+    def _count(self) -> None:
+        counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.noted]), minlength=len(self))
+        counts[: len(self.met)] += self.met
+        self.met, self.noted, self.pending = counts, [], 0
+
+    def shrink(self) -> None:
+        """Keeps the segments met more than once since the last time."""
+        self._count()
+        kept = np.flatnonzero(self.met > 1)
+        names = list(self)
+        starts, sizes = self.places[:, kept]
+        self.pieces = self.pieces[:, slices(starts, sizes)]
+        self.places = np.stack([np.cumsum(sizes) - sizes, sizes])
+        self.clear()
+        self.update({names[i]: n for n, i in enumerate(kept)})
+        self.used, self.chars = int(sizes.sum()), sum(map(len, self))
+        self.met = np.zeros(len(kept), np.int64)
+
     def _encode(self, segment: str, ids: list[int], sizes: list[int]) -> None:
         """Appends the ids of a segment and their characters. Of the bytes of an unknown
         character all but the last have none."""
@@ -83,7 +109,7 @@ class _Segments(dict):
 
 
 class Codec:
-    def __init__(self, model: PieceModel, normal: Normaliser, most_bytes: int = 48 << 20):
+    def __init__(self, model: PieceModel, normal: Normaliser, most_bytes: int = 80 << 20):
         self.model, self.normal, self.most_bytes = model, normal, most_bytes
         self.forget()
         surfaces = []
@@ -106,7 +132,9 @@ class Codec:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and the begin and end byte of each piece in the text."""
         if self.segments.size > self.most_bytes:
-            self.forget()
+            self.segments.shrink()
+            if 2 * self.segments.size > self.most_bytes:
+                self.forget()
         normal = self.normal
         plain = not normal.units and not normal.trim
         if plain:
@@ -128,6 +156,7 @@ class Codec:
         if new := [w for w in set(words) if w not in known]:
             known.add(new)
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        known.note(codes)
         ids, first, last = known.pieces
         starts, sizes = known.places
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -183,7 +212,7 @@ def _encoder(path: str, most_tokens: int):
             for batch in batches:
                 yield from encoded(tool, batch)
         finally:
-            tool.forget()
+            tool.segments.shrink()
 
     def encoded(tool: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begun, tokens, rows = 0, 0, []

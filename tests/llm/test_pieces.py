@@ -60,6 +60,17 @@ def test_ids_text_and_spans(library):
         assert at == len(raw)
 
 
+def test_a_small_table_changes_nothing(library):
+    model = load(MODEL)
+    for most in (700_000, 760_000):  # little more than its empty arrays
+        tool = Codec(model, normaliser(MODEL), most_bytes=most)
+        for i, text in enumerate(texts(300) * 2):
+            assert tool.encode(text)[0].tolist() == library.encode(text), text
+            if i % 50 == 0:
+                tool.segments.shrink()
+        assert tool.segments.size < 3 * most
+
+
 def test_decoding_any_ids(library):
     tool, draw = codec(MODEL), random.Random(2)
     bytes_ = list(load(MODEL).byte_ids.values())
