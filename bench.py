@@ -44,6 +44,8 @@ HEADLINE = (
     "domain_partition",
     "export_tree",
     "harvest_routes",
+    "crawl_shared",
+    "page_number",
     "stream_diff_export",
 )
 
