@@ -26,6 +26,8 @@ columns are ignored, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -152,7 +154,7 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Encodes and aligns segments; new ones together, known ones by a table."""
 
-    def __init__(self, a_path: str, b_path: str, most_bytes: int = 96 << 20):
+    def __init__(self, a_path: str, b_path: str, most_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers  # reads the setting above
 
@@ -257,8 +259,25 @@ class Aligner:
         return out
 
 
+def _release() -> None:
+    """Gives back to the system what a task has held; its worker lives on beside others."""
+    vocabularies.cache_clear()
+    load.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _aligned(a_path: str, b_path: str, part_chars: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from aligned(batches)
+        finally:
+            _release()
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = None
         for batch in batches:
             tool = tool or Aligner(a_path, b_path)
