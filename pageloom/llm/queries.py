@@ -78,7 +78,7 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), MODEL))
+    return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), MODEL, machine=True))
 
 
 def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

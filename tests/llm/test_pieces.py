@@ -46,8 +46,9 @@ def test_dropping_the_tables_changes_nothing(library):
         assert machine.count(normal.text(text), 64) == len(library.encode(text))
 
 
-def test_ids_text_and_spans(library):
-    tool = codec(MODEL)
+@pytest.mark.parametrize("machine", [False, True])
+def test_ids_text_and_spans(library, machine):
+    tool = codec(MODEL, machine)
     for text in texts(400):
         ids, begins, ends = tool.encode(text)
         want = library.encode(text)
