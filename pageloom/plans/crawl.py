@@ -19,6 +19,7 @@ Each level is one job, a write to the work folder: lineage stays short and a los
 executor costs one level at most. What levels have saved is merged into one narrow
 table at intervals, so a level reads a bounded number of tables. The driver sees
 counts and two URLs a level. Work tables are removed when the result has been written.
+Where levels stay thin, many of them are one job (``stretch``).
 """
 
 from __future__ import annotations
@@ -58,11 +59,15 @@ from pageloom.operators.joins import (
     seen_anti,
 )
 from pageloom.operators.membership import SeenFilter
+from pageloom.plans.stretch import ENDLESS, numbered_index, walk_stretch
 from pageloom.session import Bucketed, bucketed, observed, removed, work_dir, written
 
 SAVED = ("seed_id", "seed", "url", "depth", "ord", "page_id", "error")
 MERGE_LEVELS = 8  # levels whose saved pages are read as tables of their own
 LONG_ORD = 16  # elements from which on places are numbered anew
+SLIM_LEVELS = 8  # thin levels in a row from which on many are walked in one job
+SLIM_ROWS = 1024  # pages of a thin level at most
+SLIM_SHARE = 16  # and it has less than this part of what was saved
 
 
 def queue_targets(url: Column, links: Column) -> Column:
@@ -141,10 +146,10 @@ def crawl(
     if robots is not None:
         policies = written(robots_policies(robots, cfg.agent), f"{folder}/robots")
     saved = _Levels(spark, folder)
-    _walk(first_frontier(seeds), lambda reach: _reader(index.rows, reach), policies, cfg, saved, folder)
+    _walk(first_frontier(seeds), lambda reach: _reader(index.rows, reach), index.rows, policies, cfg, saved, folder)
     result = written(saved.table().select(*SAVED), f"{folder}/saved")
     index.removed()
-    for name in ("seeds", "hosts", "captures", "robots", "found", "kept", "seen", "filter", "asked"):
+    for name in ("seeds", "hosts", "captures", "robots", "found", "kept", "seen", "filter", "asked", "stretch"):
         removed(spark, f"{folder}/{name}")
     return result
 
@@ -196,6 +201,7 @@ def _reader(index: DataFrame, reach: tuple[str, str] | None) -> Fetch:
 def _walk(
     frontier: DataFrame | None,
     fetch_of: Callable[[tuple[str, str] | None], Fetch],
+    index: DataFrame,
     policies: DataFrame | None,
     cfg: HarvestConfig,
     saved: _Levels,
@@ -204,7 +210,8 @@ def _walk(
     saved_total: int = 0,
 ) -> None:
     """Level by level until nothing is left. ``entering`` holds URLs that join at a depth of
-    their own; ``fetch_of`` gives the look-up for a range of URLs, None for any."""
+    their own; ``fetch_of`` gives the look-up for a range of URLs, None for any, in ``index``.
+    Thin levels go many at a time, where nothing else enters and it spares levels."""
     entering = dict(entering or {})
     passed = SeenFilter(saved.spark, folder, ["seed_id", "url"], cfg.seen_filter) if cfg.seen_filter else None
     if passed and saved:
@@ -212,35 +219,58 @@ def _walk(
     if frontier is not None:
         entering[0] = frontier
     depth, length, frontier, reach = min(entering, default=0), 0, None, None
-    told = {
-        "rows": F.count(F.lit(1)),
-        "first": F.min(F.array_min("targets")),
-        "last": F.max(F.array_max("targets")),
-    }
+    slim, pause, numbered = 0, SLIM_LEVELS, None
     while entering or frontier is not None:
         joining = entering.pop(depth, None)
         if joining is not None:
             frontier, reach = joining if frontier is None else frontier.unionByName(joining), None
         seen = saved.seen() if saved else None
-        found = level_pages(frontier, seen, fetch_of(reach), policies, cfg, passed).withColumn("depth", F.lit(depth))
-        if length >= LONG_ORD:
-            found = found.repartitionByRange("ord").sortWithinPartitions("ord")
-            found = found.withColumn("ord", F.array(F.monotonically_increasing_id()))
-            length = 1
+        stretch = None
+        if slim >= SLIM_LEVELS and not entering and seen is not None:
+            if numbered is None:
+                numbered = numbered_index(select_urls(index, policies, cfg), f"{folder}/stretch")
+            most = cfg.depth - depth + 1 if cfg.depth else ENDLESS
+            stretch = walk_stretch(frontier, seen, *numbered, f"{folder}/stretch/{depth}", most, cfg.max_pages)
         path = f"{folder}/found/{depth}"
+        if stretch is None:
+            steps = 1
+            found = level_pages(frontier, seen, fetch_of(reach), policies, cfg, passed).withColumn("depth", F.lit(depth))
+            if length >= LONG_ORD:
+                found = found.repartitionByRange("ord").sortWithinPartitions("ord")
+                found = found.withColumn("ord", F.array(F.monotonically_increasing_id()))
+                length = 1
+        else:
+            found, steps = stretch
+            found = found.withColumn("depth", F.lit(depth) + F.col("step")).drop("step")
+            length = 1
+        depth += steps - 1
+        last = F.col("depth") == depth
+        told = {
+            "rows": F.count(F.lit(1)),
+            "deepest": F.count_if(last),
+            "first": F.min(F.when(last, F.array_min("targets"))),
+            "last": F.max(F.when(last, F.array_max("targets"))),
+        }
         found, level = observed(found, path, **told)
-        if cfg.max_pages is not None and saved_total + level["rows"] > cfg.max_pages:
+        if stretch is None and cfg.max_pages is not None and saved_total + level["rows"] > cfg.max_pages:
             path = f"{folder}/kept/{depth}"
             found, level = observed(_within_limit(found, seen, cfg.max_pages), path, **told)
         saved.hold(found, path)
         if passed:
             passed.add(found)
         saved_total += level["rows"]
+        if level["deepest"] > SLIM_ROWS or level["deepest"] * SLIM_SHARE >= saved_total:
+            slim = 0
+        elif slim >= SLIM_LEVELS and steps < 3:  # what it links to lies all over
+            slim, pause = -pause, 2 * pause
+        else:
+            slim = min(slim + 1, SLIM_LEVELS)
+            pause = pause if stretch is None else SLIM_LEVELS
         frontier = None
         # Without targets in scope the next level is only what enters there.
         if level["first"] is not None and not (cfg.depth and depth >= cfg.depth):
             reach = (level["first"], level["last"])
-            open_ = _open_seeds(found, saved.seen(), cfg.max_pages, saved_total)
+            open_ = _open_seeds(found.filter(last), saved.seen(), cfg.max_pages, saved_total)
             frontier = next_frontier(open_.filter(depth_limit(F.col("depth"), cfg.depth)))
         if frontier is None and entering:
             depth = min(entering) - 1

@@ -239,7 +239,9 @@ class Recrawl:
             entering[0] = first_frontier(self.seeds.join(restarts.filter("restart = 0"), "seed_id", "left_semi"))
         folder = f"{self.work}/walk/{version}"
         levels = _Levels(self.spark, folder, seen if kept["rows"] else None)
-        _walk(None, self._fetch_of(self._links()), self.policies, cfg, levels, folder, entering, kept["rows"])
+        links = self._links()
+        index = reduce(DataFrame.unionByName, links)
+        _walk(None, self._fetch_of(links), index, self.policies, cfg, levels, folder, entering, kept["rows"])
         names = [c.split()[0] for c in _SAVED.split(", ")]
         found, told = observed(levels.table().select(*names), self._path("saved", version), rows=F.count(F.lit(1)))
         queued = found.select("seed_id", F.explode("targets").alias("url"), (F.col("depth") + 1).alias("depth"))

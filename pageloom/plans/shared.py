@@ -171,10 +171,10 @@ def shared_crawl(
     if own_queue is not None:
         alone = written(seeds.join(own_queue, ["origin", "word", "place"], "left_semi"), f"{folder}/alone")
         levels = _Levels(spark, folder)
-        _walk(first_frontier(alone), lambda reach: _reader(index.rows, reach), policies, cfg, levels, folder)
+        _walk(first_frontier(alone), lambda reach: _reader(index.rows, reach), index.rows, policies, cfg, levels, folder)
         result = result.unionByName(levels.table().select(*RESULT))
     result = written(result, f"{folder}/saved")
     index.removed()
-    for name in ("seeds", "hosts", "captures", "robots", "scopes", "lengths", "levels", "left", "gone", "alone", "found", "kept", "seen"):
+    for name in ("seeds", "hosts", "captures", "robots", "scopes", "lengths", "levels", "left", "gone", "alone", "found", "kept", "seen", "stretch"):
         removed(spark, f"{folder}/{name}")
     return result
