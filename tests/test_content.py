@@ -202,3 +202,16 @@ def test_links_and_refresh(spark):
         (1, 0, "next.html", "https://h/d/next.html"), (1, 1, "b", "https://h/d/b"),
         (2, 0, "a", "https://h/d/a"), (2, 1, "b", "https://h/d/b"),
         (3, 1, "b", "https://h/d/b")]
+
+
+def test_a_batch_is_sent_in_parts():
+    """What a worker holds does not grow with the pages of a batch."""
+    import pyarrow as pa
+
+    from pageloom.functions import events
+
+    pages = ["<p>a</p>" * 5_000, None, "<p>b</p>", "x"] * 8
+    parts = iter(events._parse_batch(pa.array(pages), ()))
+    sizes = [(len(part), len(part.field("events").flatten())) for part in parts]
+    assert sum(n for n, _ in sizes) == len(pages) and sum(e for _, e in sizes) == 8 * (15_000 + 3 + 1)
+    assert len(sizes) > 3 and max(e for _, e in sizes) <= events.CHUNK + 15_000
