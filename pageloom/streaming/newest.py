@@ -35,19 +35,20 @@ def known_captures(pages: DataFrame) -> DataFrame:
 
 
 def _tracker(keep_ms: int):
-    """One URL's captures of a batch, in order of time, against what is known of it."""
+    """One URL's captures of a batch, in order of time, against what is known of it. Called
+    for every URL, so it makes no frame that it can spare and none of records."""
 
     def track(key: tuple, parts: Iterator, state) -> Iterator:
         import pandas as pd
 
-        columns = ["url", "page_id", "at", "sha1", "status"]
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([], columns=columns)
             return
         known = state.get if state.exists else None
         rows = sorted(  # what is known from a batch comes first
-            (bool(r.told), int(r.at), int(r.page_id), r.sha1) for part in parts for r in part.itertuples(index=False)
+            (bool(told), int(at), int(page_id), sha1)
+            for part in parts
+            for told, at, page_id, sha1 in zip(*[part[c].array for c in ("told", "at", "page_id", "sha1")])
         )
         out = []
         for told, at, page_id, sha1 in rows:
@@ -60,7 +61,9 @@ def _tracker(keep_ms: int):
         if known is not None:
             state.update(known)
             state.setTimeoutTimestamp(max(known[0] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            columns = ("url", "page_id", "at", "sha1", "status")
+            yield pd.DataFrame(dict(zip(columns, map(list, zip(*out)))))
 
     return track
 

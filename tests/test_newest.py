@@ -1,8 +1,9 @@
 """The stream's memory of newest captures: as in batch, over restarts, and no longer than asked."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from pageloom.streaming.newest import FOUND, known_captures, stream_newest
+from pageloom.streaming.newest import FOUND, _tracker, known_captures, stream_newest
 
 SCHEMA = "page_id bigint, url string, html string, captured_at timestamp"
 KNOWN = "url string, page_id bigint, captured_at timestamp, sha1 string"
@@ -70,3 +71,31 @@ def test_memory_begins_with_a_batch(spark, tmp_path):
     stream = Stream(spark, tmp_path, known)
     told, size = stream.wave((4, "a", "two", 120), (5, "a", "old", 105), (6, "c", "x", 120))
     assert told == [("a", 4, "unchanged"), ("c", 6, "new")] and size == 3
+
+
+def test_what_tells_nothing_makes_no_frame():
+    """The tracker runs once a URL; an empty frame costs more than the comparison."""
+
+    class State:
+        hasTimedOut, exists, get = False, True, (200, 9, "one")
+
+        def remove(self):
+            self.exists = False
+
+        def update(self, known):
+            self.get = known
+
+        def setTimeoutTimestamp(self, at):
+            self.until = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    track, state = _tracker(1000), State()
+    late = pd.DataFrame({"told": [True], "at": [100], "page_id": [1], "sha1": ["old"]})
+    assert list(track(("u",), iter([late]), state)) == [] and state.get == (200, 9, "one")
+    newer = pd.DataFrame({"told": [True, False], "at": [400, 300], "page_id": [3, 2], "sha1": ["two", "two"]})
+    (found,) = track(("u",), iter([newer]), state)
+    assert found.values.tolist() == [["u", 3, 400, "two", "unchanged"]] and list(found.columns) == ["url", "page_id", "at", "sha1", "status"]
+    state.hasTimedOut = True
+    assert list(track(("u",), iter([]), state)) == [] and not state.exists
