@@ -60,7 +60,7 @@ from pageloom.operators.joins import (
 )
 from pageloom.operators.membership import SeenFilter
 from pageloom.plans.stretch import ENDLESS, numbered_index, walk_stretch
-from pageloom.session import Bucketed, bucketed, observed, removed, work_dir, written
+from pageloom.session import Bucketed, bucketed, buckets_for, observed, removed, work_dir, written
 
 SAVED = ("seed_id", "seed", "url", "depth", "ord", "page_id", "error")
 MERGE_LEVELS = 8  # levels whose saved pages are read as tables of their own
@@ -116,8 +116,9 @@ def link_index(pages: DataFrame, seeds: DataFrame, folder: str) -> Bucketed:
     """
     hosts = seeds.select(over(origin_of_seed, "seed").alias("_origin")).distinct()
     hosts = written(hosts, f"{folder}/hosts")
-    captures = written(newest_captures(pages, hosts), f"{folder}/captures")
-    return bucketed(page_links(pages, captures), f"{folder}/index", "url")
+    captures, told = observed(newest_captures(pages, hosts), f"{folder}/captures", rows=F.count(F.lit(1)))
+    buckets = buckets_for(pages.sparkSession, told["rows"])
+    return bucketed(page_links(pages, captures), f"{folder}/index", "url", buckets)
 
 
 def select_urls(urls: DataFrame, policies: DataFrame | None, cfg: HarvestConfig) -> DataFrame:
@@ -146,7 +147,7 @@ def crawl(
     if robots is not None:
         policies = written(robots_policies(robots, cfg.agent), f"{folder}/robots")
     saved = _Levels(spark, folder)
-    _walk(first_frontier(seeds), lambda reach: _reader(index.rows, reach), index.rows, policies, cfg, saved, folder)
+    _walk(first_frontier(seeds), lambda reach: _reader(index, reach), index.rows, policies, cfg, saved, folder)
     result = written(saved.table().select(*SAVED), f"{folder}/saved")
     index.removed()
     for name in ("seeds", "hosts", "captures", "robots", "found", "kept", "seen", "filter", "asked", "stretch"):
@@ -192,10 +193,11 @@ def level_pages(
     return first_by_hash(fetched, seen).withColumn("targets", F.filter("targets", lambda t: t.startswith(base)))
 
 
-def _reader(index: DataFrame, reach: tuple[str, str] | None) -> Fetch:
+def _reader(index: Bucketed | DataFrame, reach: tuple[str, str] | None) -> Fetch:
     """Looks URLs up in the part of the index from the first to the last of them."""
-    part = index if reach is None else index.filter(F.col("url").between(*reach))
-    return lambda urls: fetch_join(urls, part)
+    rows, dealt = (index.rows, index.dealt) if isinstance(index, Bucketed) else (index, lambda urls: urls)
+    part = rows if reach is None else rows.filter(F.col("url").between(*reach))
+    return lambda urls: fetch_join(dealt(urls), part)
 
 
 def _walk(

@@ -18,7 +18,8 @@ and limits are those the log was begun with.
 A row of ``saved`` or ``queue`` counts unless a later version has walked its seed again from
 that depth or above. A version counts as a whole once it is ``done``; one that failed is
 dropped and done again. After ``COMPACT`` waves the links that count are written as one table, so
-a level looks into a bounded number.
+a level looks into a bounded number. A walk of more than ``LONG`` levels makes one table of its
+own of what lies around its seeds, so all further levels look into that alone.
 """
 
 from __future__ import annotations
@@ -46,9 +47,21 @@ from pageloom.plans.crawl import (
     origin_of_seed,
     page_links,
 )
-from pageloom.session import Bucketed, attached, bucketed, folder_numbers, observed, removed, work_dir, written
+from pageloom.session import (
+    BUCKET_ROWS,
+    Bucketed,
+    attached,
+    bucketed,
+    buckets_for,
+    folder_numbers,
+    observed,
+    removed,
+    work_dir,
+    written,
+)
 
 COMPACT = 8  # versions of links that a look-up reads at most
+LONG = 4  # levels of a walk that look into several tables before it makes one of them
 
 _CAPTURES = "url string, page_id bigint, ok boolean, captured_at timestamp"
 _LINKS = "url string, page_id bigint, sha1 string, targets array<string>, error string"
@@ -83,8 +96,8 @@ class Recrawl:
         self.policies = None
         if robots is not None:
             self.policies = written(robots_policies(robots, cfg.agent), f"{self.work}/robots")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables: dict[tuple[str, int], Bucketed] = {}
+        self.own: Bucketed | None = None  # the table that a long walk has made
 
     # The log
 
@@ -110,18 +123,18 @@ class Recrawl:
         kept = rows.join(again, "seed_id", "left").filter(~F.coalesce(replaced, F.lit(False)))
         return kept.drop("_again", "version")
 
-    def _links(self) -> list[DataFrame]:
+    def _links(self) -> list[Bucketed]:
         """Tables that hold the links of each URL once, all bucketed by URL."""
         whole = max(self.versions("compacted"), default=0)
         found = [("whole", whole)] if whole else []
         found += [("links", n) for n in self.versions("links") if n > whole]
         tables = []
         for i, (kind, n) in enumerate(found):
-            rows = self._table(kind, n).rows
+            table = self._table(kind, n)
             if i + 1 < len(found):
-                later = self._read("captures", _CAPTURES, n + 1).select("url").distinct()
-                rows = rows.join(later, "url", "left_anti")
-            tables.append(rows)
+                later = table.dealt(self._read("captures", _CAPTURES, n + 1).select("url")).distinct()
+                table = table._replace(rows=table.rows.join(later, "url", "left_anti"))
+            tables.append(table)
         return tables
 
     def _table(self, kind: str, version: int) -> Bucketed:
@@ -131,10 +144,10 @@ class Recrawl:
             self.tables[kind, version] = attached(self.spark, self._path(kind, version), schema, "url", buckets)
         return self.tables[kind, version]
 
-    def _write_table(self, rows: DataFrame, kind: str, version: int) -> DataFrame:
-        count = self.spark.range(1).select(F.lit(self.buckets).alias("buckets"))
+    def _write_table(self, rows: DataFrame, kind: str, version: int, buckets: int) -> DataFrame:
+        count = self.spark.range(1).select(F.lit(buckets).alias("buckets"))
         count.write.mode("overwrite").parquet(self._path(f"{kind}_buckets", version))
-        self.tables[kind, version] = bucketed(rows, self._path(kind, version), "url", self.buckets)
+        self.tables[kind, version] = bucketed(rows, self._path(kind, version), "url", buckets)
         return self.tables[kind, version].rows
 
     def _forget(self, version: int) -> None:
@@ -143,19 +156,37 @@ class Recrawl:
             self.tables.pop((kind, version), None)
             removed(self.spark, self._path(kind, version))
 
-    def _fetch_of(self, links: list[DataFrame]):
+    def _fetch_of(self, links: list[Bucketed], walked: DataFrame, folder: str):
+        """Look-ups for a walk of the seeds in ``walked``."""
+        tables, asked = list(links), 0
+
         def reader(reach: tuple[str, str] | None) -> Fetch:
-            parts = [p if reach is None else p.filter(F.col("url").between(*reach)) for p in links]
+            nonlocal tables, asked
+            if len(tables) > 1 and asked >= LONG:
+                tables = [self._around(tables, walked, f"{folder}/links")]
+            asked += 1
+            parts = [t.rows if reach is None else t.rows.filter(F.col("url").between(*reach)) for t in tables]
 
             def fetch(urls: DataFrame) -> DataFrame:
                 if len(parts) > 1:  # looked up in each, so not worked out for each
                     urls = written(urls, f"{work_dir(self.spark, self.work)}/urls")
-                return reduce(DataFrame.unionByName, [fetch_join(urls, part) for part in parts])
+                met = [fetch_join(t.dealt(urls), part) for t, part in zip(tables, parts)]
+                return reduce(DataFrame.unionByName, met)
 
             return fetch
 
         return reader
 
+    def _around(self, tables: list[Bucketed], walked: DataFrame, path: str) -> Bucketed:
+        """One table of the links from the first base of the seeds to what begins with the last."""
+        first, last = walked.agg(F.min("base"), F.max("base")).first()
+        rows = reduce(DataFrame.unionByName, [t.rows for t in tables])
+        if first is not None:
+            rows = rows.filter((F.col("url") >= first) & (F.col("url") <= last + chr(0x10FFFF)))
+        buckets = buckets_for(self.spark, sum(t.buckets for t in tables) * BUCKET_ROWS)
+        self.own = bucketed(rows, path, "url", buckets)
+        return self.own
+
     # A wave
 
     def _newer(self, pages: DataFrame) -> DataFrame:
@@ -181,11 +212,11 @@ class Recrawl:
         old = self._links()
         captures, told = observed(self._newer(pages), self._path("captures", version), parsed=F.count_if("ok"))
         fresh = page_links(pages, captures.filter("ok").select("page_id", "url"))
-        links = self._write_table(fresh, "links", version)
+        links = self._write_table(fresh, "links", version, buckets_for(self.spark, told["parsed"]))
 
         own = captures.select("url", "ok").join(links.select("url", F.col("sha1").alias("_new")), "url", "left")
         if old:
-            known = reduce(DataFrame.unionByName, old).select("url", F.col("sha1").alias("_known"))
+            known = reduce(DataFrame.unionByName, [t.rows for t in old]).select("url", F.col("sha1").alias("_known"))
             own = own.join(known, "url", "left")
         else:
             own = own.withColumn("_known", F.lit(None).cast("string"))
@@ -203,8 +234,8 @@ class Recrawl:
             result["saved"] = self._walk_again(restarts, version)
         self.spark.range(1).write.mode("overwrite").parquet(self._path("done", version))
         if len(self._links()) >= COMPACT:
-            whole = reduce(DataFrame.unionByName, self._links())
-            self._write_table(whole, "whole", version)
+            whole = reduce(DataFrame.unionByName, [t.rows for t in self._links()])
+            self._write_table(whole, "whole", version, buckets_for(self.spark, whole.count()))
             self.spark.range(1).write.mode("overwrite").parquet(self._path("compacted", version))
         return result
 
@@ -240,8 +271,10 @@ class Recrawl:
         folder = f"{self.work}/walk/{version}"
         levels = _Levels(self.spark, folder, seen if kept["rows"] else None)
         links = self._links()
-        index = reduce(DataFrame.unionByName, links)
-        _walk(None, self._fetch_of(links), index, self.policies, cfg, levels, folder, entering, kept["rows"])
+        index = reduce(DataFrame.unionByName, [t.rows for t in links])
+        walked = self.seeds.join(restarts, "seed_id", "left_semi")
+        fetch_of = self._fetch_of(links, walked, folder)
+        _walk(None, fetch_of, index, self.policies, cfg, levels, folder, entering, kept["rows"])
         names = [c.split()[0] for c in _SAVED.split(", ")]
         found, told = observed(levels.table().select(*names), self._path("saved", version), rows=F.count(F.lit(1)))
         queued = found.select("seed_id", F.explode("targets").alias("url"), (F.col("depth") + 1).alias("depth"))
@@ -254,6 +287,9 @@ class Recrawl:
             self._path("queue", version)
         )
         restarts.write.mode("overwrite").parquet(self._path("restarts", version))
+        if self.own is not None:
+            self.own.removed()
+            self.own = None
         removed(self.spark, folder)
         return told["rows"]
 

@@ -136,7 +136,7 @@ def shared_crawl(
         if saved:
             before = reduce(DataFrame.unionByName, [s.select("origin", "url", "word", "sha1", "bits") for s in saved])
             new = without(new, _merged(before, "origin", "url", "word"), ["origin", "url", "word"])
-        fetched = fetch_join(select_urls(new, policies, cfg), reach)
+        fetched = fetch_join(index.dealt(select_urls(new, policies, cfg)), reach)
         if saved:
             fetched = without(fetched, _merged(before, "origin", "word", "sha1"), ["origin", "word", "sha1"])
         level, range_ = observed(fetched.withColumn("depth", F.lit(depth)), f"{folder}/levels/{depth}", **told)
@@ -171,7 +171,7 @@ def shared_crawl(
     if own_queue is not None:
         alone = written(seeds.join(own_queue, ["origin", "word", "place"], "left_semi"), f"{folder}/alone")
         levels = _Levels(spark, folder)
-        _walk(first_frontier(alone), lambda reach: _reader(index.rows, reach), index.rows, policies, cfg, levels, folder)
+        _walk(first_frontier(alone), lambda reach: _reader(index, reach), index.rows, policies, cfg, levels, folder)
         result = result.unionByName(levels.table().select(*RESULT))
     result = written(result, f"{folder}/saved")
     index.removed()

@@ -88,6 +88,9 @@ def observed(df: DataFrame, path: str, **wanted: Column) -> tuple[DataFrame, dic
         return table, table.agg(*rules).first().asDict()
 
 
+BUCKET_ROWS = 1 << 14  # rows of a work table that are worth a bucket of their own
+
+
 class Bucketed(NamedTuple):
     """A work table whose rows lie in files by hash of a key: a join on the key moves the
     other side only, as often as it is read."""
@@ -95,6 +98,15 @@ class Bucketed(NamedTuple):
     rows: DataFrame
     name: str
     path: str
+    key: str
+    buckets: int
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` by hash of the key, to be joined with the table. It may have fewer buckets
+        than an exchange has partitions, and then Spark would exchange the table as well."""
+        if self.buckets >= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            return rows
+        return rows.repartition(self.buckets, self.key)
 
     def removed(self) -> None:
         spark = self.rows.sparkSession
@@ -110,7 +122,14 @@ def attached(spark: SparkSession, path: str, schema: StructType, key: str, bucke
         f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
         f"INTO {buckets} BUCKETS LOCATION '{path}'"
     )
-    return Bucketed(spark.table(name), name, path)
+    return Bucketed(spark.table(name), name, path, key, buckets)
+
+
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    """How many buckets a table of about so many rows gets: each look-up opens all of them, so
+    not more than the rows or the cores are worth, and one for each shuffle partition at most."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS)))
 
 
 def bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> Bucketed:
@@ -120,7 +139,7 @@ def bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) ->
     name = f"pageloom_{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
     dealt.option("path", path).saveAsTable(name)
-    return Bucketed(spark.table(name), name, path)
+    return Bucketed(spark.table(name), name, path, key, buckets)
 
 
 def _store(spark: SparkSession, path: str):

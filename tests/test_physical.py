@@ -111,6 +111,32 @@ def test_levels_read_the_link_index_without_an_exchange(spark):
         index.removed()
 
 
+def test_a_level_opens_few_buckets_of_a_small_index(spark):
+    """As many as the cores, not as the partitions of an exchange; and the index still stays where it is."""
+    from pageloom.config import HarvestConfig
+    from pageloom.plans.crawl import _reader, first_frontier, level_pages, link_index
+    from pageloom.session import work_dir
+
+    rows = [(i, f"https://h/{i or ''}", f'<a href="/{i + 1}">n</a>{i}') for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    seeds = spark.createDataFrame([(0, "https://h/")], "seed_id bigint, seed string")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        index = link_index(pages, seeds, work_dir(spark))
+        assert len(index.rows.inputFiles()) <= spark.sparkContext.defaultParallelism
+        level = level_pages(first_frontier(seeds), None, _reader(index, None), None, HarvestConfig())
+        assert [r.page_id for r in level.collect()] == [0]
+        chain = _above(_plan(level), "targets:array", "SortMergeJoin [url")
+        assert "Bucketed: true" in chain[0] and "Exchange" not in "\n".join(chain)
+        index.removed()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_sitemaps_are_parsed_once(spark):
     from catalogue.inputs import sitemaps
     from pageloom.sources.sitemaps import listed_urls

@@ -93,3 +93,31 @@ def test_a_failed_wave_is_done_again(spark, tmp_path, monkeypatch):
             state.update(captures(spark, rows[2:]))
     assert state.update(captures(spark, rows[2:])) == {"parsed": 2, "changed": 2, "seeds": 1, "saved": 2}
     assert in_order(state.saved()) == in_order(crawl(seeds, captures(spark, rows)))
+
+
+def test_a_long_walk_looks_into_one_table(spark, tmp_path, monkeypatch):
+    """Few levels look URLs up version by version; many, or other partitions, change no result."""
+    rows = [(100 * s + i, f"https://h{s}/{i or ''}", 200, "text/html", f'<a href="/{i + 1}">n</a>{s} {i}', 1)
+            for s in range(3) for i in range(9)]
+    seeds = spark.createDataFrame([(s, f"https://h{s}/") for s in range(3)], "seed_id bigint, seed string")
+    looked = []
+    kept = recrawl.written
+
+    def written(df, path):
+        looked.extend([path] if path.endswith("/urls") else [])
+        return kept(df, path)
+
+    monkeypatch.setattr(recrawl, "written", written)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        state = Recrawl(spark, str(tmp_path / "log"), seeds)
+        state.update(captures(spark, rows))
+        tables = spark.catalog.listTables()
+        edits = [(900 + s, f"https://h{s}/2", 200, "text/html", f'<a href="/3">n</a>edit {s}', 2) for s in (0, 1)]
+        assert state.update(captures(spark, edits)) == {"parsed": 2, "changed": 2, "seeds": 2, "saved": 14}
+        assert len(looked) == recrawl.LONG
+        assert len(spark.catalog.listTables()) == len(tables) + 1  # the links of the wave
+        assert in_order(state.saved()) == in_order(crawl(seeds, captures(spark, [*rows, *edits])))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
